@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rowwarden import fixed
@@ -142,53 +142,54 @@ def _finish(found: Column, current_year: int) -> Column:
     )
 
 
-def with_birthdate(
-    df: DataFrame,
-    source: str,
-    out: str,
-    *,
-    current_year: int,
-    day_first: bool = True,
-    number: str | None = None,
-    timestamp: str | None = None,
-) -> DataFrame:
-    """Add ``out`` = struct(value, status, message) for the birth date in ``source``.
-
-    ``number`` and ``timestamp`` name optional columns with the typed cell; where one is set it is used in place of
-    the text.  The work is staged over several projections so that no regular expression runs twice.
-    """
-    text, parts, month, year, found = (f"__{out}_{s}" for s in ("text", "parts", "month", "year", "found"))
-    t = F.col(text)
-    df = df.withColumn(text, tx.normalize_whitespace(F.col(source)))
-    has_letter = t.rlike("[A-Za-z]")
+def _text_cases(text: Column, day_first: bool, current_year: int) -> Column:
+    has_letter = text.rlike("[A-Za-z]")
 
     def pick(first: int, second: int, third: int, fourth: int) -> Column:
         return F.when(
             has_letter,
-            F.when(t.rlike(_MONTH_FIRST), F.regexp_extract(t, _MONTH_FIRST, first))
-            .when(t.rlike(_YEAR_FIRST), F.regexp_extract(t, _YEAR_FIRST, second))
-            .when(t.rlike(_DAY_MONTH_YEAR), F.regexp_extract(t, _DAY_MONTH_YEAR, third))
-            .when(t.rlike(_MONTH_DAY_YEAR), F.regexp_extract(t, _MONTH_DAY_YEAR, fourth)),
+            F.when(text.rlike(_MONTH_FIRST), F.regexp_extract(text, _MONTH_FIRST, first))
+            .when(text.rlike(_YEAR_FIRST), F.regexp_extract(text, _YEAR_FIRST, second))
+            .when(text.rlike(_DAY_MONTH_YEAR), F.regexp_extract(text, _DAY_MONTH_YEAR, third))
+            .when(text.rlike(_MONTH_DAY_YEAR), F.regexp_extract(text, _MONTH_DAY_YEAR, fourth)),
         )
 
-    df = df.withColumns({
-        parts: F.split(F.regexp_replace(t, r"^[^0-9]+|[^0-9]+\z", ""), "[^0-9]+"),
-        month: tx.lookup(fixed.MONTHS, F.lower(pick(1, 2, 1, 1))),
-        year: pick(2, 1, 2, 2),
-    })
-    cases = F.when(t.isNull() | (t == ""), _undated("empty", ""))
-    if timestamp:
-        ts = F.col(timestamp)
-        cases = F.when(ts.isNotNull(), _dated(F.year(ts), F.month(ts), "fixed", MSG_DATE_CELL)).when(
-            t.isNull() | (t == ""), _undated("empty", "")
-        )
-    if number:
-        cases = cases.when(F.col(number).isNotNull(), _number_cases(F.col(number), current_year))
-    cases = cases.when(F.col(month).isNotNull(), _named_cases(F.col(month), F.col(year), current_year)).otherwise(
-        _digit_cases(t, F.col(parts), day_first, current_year)
+    pieces = F.struct(
+        F.split(F.regexp_replace(text, r"^[^0-9]+|[^0-9]+\z", ""), "[^0-9]+").alias("parts"),
+        tx.lookup(fixed.MONTHS, F.lower(pick(1, 2, 1, 1))).alias("month"),
+        pick(2, 1, 2, 2).alias("year"),
     )
-    return (
-        df.withColumn(found, cases)
-        .withColumn(out, _finish(F.col(found), current_year))
-        .drop(text, parts, month, year, found)
+    return tx.let(
+        pieces,
+        lambda p: F.when(p.month.isNotNull(), _named_cases(p.month, p.year, current_year)).otherwise(
+            _digit_cases(text, p.parts, day_first, current_year)
+        ),
     )
+
+
+def parse_birthdate(
+    text: Column,
+    *,
+    current_year: int,
+    day_first: bool = True,
+    number: Column | None = None,
+    timestamp: Column | None = None,
+) -> Column:
+    """struct(value, status, message) of a birth date; status is empty, fixed, review or unparseable.
+
+    ``number`` and ``timestamp`` are the typed cell where there is one; a value there is used in place of the text.
+    """
+
+    def cases(t: Column) -> Column:
+        read = F.when(F.coalesce(t, F.lit("")) == "", _undated("empty", ""))
+        if timestamp is not None:
+            read = F.when(
+                timestamp.isNotNull(), _dated(F.year(timestamp), F.month(timestamp), "fixed", MSG_DATE_CELL)
+            ).otherwise(read)
+        if number is not None:
+            read = F.when(number.isNotNull(), _number_cases(number, current_year)).otherwise(read)
+        return tx.let(
+            F.coalesce(read, _text_cases(t, day_first, current_year)), lambda found: _finish(found, current_year)
+        )
+
+    return tx.let(tx.normalize_whitespace(text), cases)

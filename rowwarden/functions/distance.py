@@ -8,6 +8,8 @@ fall back to the row-by-row recurrence.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,16 +58,35 @@ def _fold_masks(masks: Column, full: Column, top: Column, length: Column) -> Col
     return F.aggregate(masks, start, step, lambda s: s.dist)
 
 
-def distance_to_word(text: Column, word: str) -> Column:
-    """Distance from ``text`` to a constant word of 1..62 characters; the word's masks are built at planning time."""
+def _masks_of(word: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, char in enumerate(word):
         masks[char] = masks.get(char, 0) | (1 << i)
-    table = F.create_map(*[x for c, m in masks.items() for x in (F.lit(c), _long(m))])
-    scanned = F.transform(_chars(text), lambda c: F.coalesce(F.try_element_at(table, c), _long(0)))
-    n = len(word)
-    folded = _fold_masks(scanned, _long((1 << n) - 1), _long(1 << (n - 1)), F.lit(n))
-    return F.when(F.length(text) == 0, F.lit(n)).otherwise(folded)
+    return masks
+
+
+def word_table(words: Sequence[str]) -> Column:
+    """Constant words of 1..62 characters as an array of struct(ord, word, size, masks), built at planning time."""
+    def entry(i: int, word: str) -> Column:
+        masks = F.create_map(*[x for c, m in _masks_of(word).items() for x in (F.lit(c), _long(m))])
+        return F.struct(
+            F.lit(i).alias("ord"), F.lit(word).alias("word"), F.lit(len(word)).alias("size"), masks.alias("masks")
+        )
+
+    return F.array(*[entry(i, w) for i, w in enumerate(words)])
+
+
+def distance_to_entry(text: Column, entry: Column) -> Column:
+    """Distance from ``text`` to an entry of ``word_table``."""
+    scanned = F.transform(_chars(text), lambda c: F.coalesce(F.try_element_at(entry.masks, c), _long(0)))
+    top = _shift_left(_long(1), entry["size"] - 1)
+    folded = _fold_masks(scanned, _shift_left(_long(1), entry["size"]) - 1, top, entry["size"])
+    return F.when(F.length(text) == 0, entry["size"]).otherwise(folded)
+
+
+def distance_to_word(text: Column, word: str) -> Column:
+    """Distance from ``text`` to one constant word."""
+    return F.element_at(F.transform(word_table([word]), lambda e: distance_to_entry(text, e)), 1)
 
 
 def _distance_short(pattern: Column, text: Column) -> Column:

@@ -23,6 +23,15 @@ def lookup(values: dict, key: Column) -> Column:
     return F.try_element_at(literal_map(values), key)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Long rule ladders refer to their input many times.  Binding it keeps the expression small even where the optimizer
+    moves a filter on the result below the projection that computes it.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_whitespace(text: Column) -> Column:
     """Collapse every run of white space to one space, drop zero-width characters, trim.
 
@@ -32,6 +41,12 @@ def normalize_whitespace(text: Column) -> Column:
     return F.when(text.rlike(_NEEDS_TIDYING), tidied).otherwise(text)
 
 
+def tidy_or_null(text: Column) -> Column:
+    """``normalize_whitespace`` with NULL for text of which nothing remains."""
+    tidied = F.trim(F.regexp_replace(F.regexp_replace(text, fixed.ZERO_WIDTH, ""), _WS_RUN, " "))
+    return F.when(text.rlike(_NEEDS_TIDYING), null_if_empty(tidied)).when(text != "", text)
+
+
 def trim_ws(text: Column) -> Column:
     """Trim all Unicode white space, not only spaces."""
     return F.regexp_replace(text, _WS_ENDS, "")

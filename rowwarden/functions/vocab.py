@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rowwarden import fixed
 from rowwarden.functions import text as tx
-from rowwarden.functions.distance import distance_to_word, max_edits
+from rowwarden.functions.distance import distance_to_entry, max_edits, word_table
 
 _FAR = 1000
 
@@ -37,40 +37,40 @@ def match_vocabulary(raw: Column, terms: Sequence[str]) -> Column:
             F.lit(distance).cast("int").alias("distance"),
         )
 
+    spelled = F.array(*[F.lit(t) for t in by_key.values()])
+
     def nearest(key: Column) -> Column:
-        def scored(i: int, term_key: str, term: str) -> Column:
+        def scored(entry: Column) -> Column:
             # A distance above 3 can never be accepted, whatever the lengths.
-            close = F.levenshtein(key, F.lit(term_key), 6) != -1
-            allowed = max_edits(F.greatest(F.length(key), F.lit(len(term_key))))
+            close = F.levenshtein(key, entry.word, 6) != -1
             return F.struct(
-                F.when(close, distance_to_word(key, term_key)).otherwise(F.lit(_FAR)).alias("distance"),
-                F.lit(i).alias("ord"),
-                F.lit(term).alias("term"),
-                allowed.alias("allowed"),
+                F.when(close, distance_to_entry(key, entry)).otherwise(F.lit(_FAR)).alias("distance"),
+                entry.ord.alias("ord"),
+                max_edits(F.greatest(F.length(key), entry["size"])).alias("allowed"),
             )
 
-        ranked = F.array_sort(F.array(*[scored(i, k, t) for i, (k, t) in enumerate(by_key.items())]))
-        return F.element_at(
-            F.transform(
-                F.array(ranked),
-                lambda r: F.when(F.get(r, F.lit(0)).distance > F.get(r, F.lit(0)).allowed, outcome("unknown"))
-                .when(
-                    F.get(r, F.lit(1)).distance == F.get(r, F.lit(0)).distance,
-                    outcome("ambiguous"),
-                )
-                .otherwise(outcome("corrected", F.get(r, F.lit(0)).term, F.get(r, F.lit(0)).distance)),
-            ),
-            1,
-        )
+        def decide(ranked: Column) -> Column:
+            first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+            return (
+                F.when(first.distance > first.allowed, outcome("unknown"))
+                .when(second.distance == first.distance, outcome("ambiguous"))
+                .otherwise(outcome("corrected", F.get(spelled, first.ord), first.distance))
+            )
 
-    def by(key: Column) -> Column:
-        found = tx.lookup(by_key, key)
-        status = F.when(tx.trim_ws(raw) == found, "exact").otherwise("normalized")
-        return F.when(key == "", outcome("unknown")).when(found.isNotNull(), outcome(status, found, 0)).otherwise(
-            nearest(key)
+        return tx.let(F.array_sort(F.transform(word_table(list(by_key)), scored)), decide)
+
+    def by(keys: Column) -> Column:
+        status = F.when(tx.trim_ws(raw) == keys.found, "exact").otherwise("normalized")
+        return (
+            F.when(keys.key == "", outcome("unknown"))
+            .when(keys.found.isNotNull(), outcome(status, keys.found, 0))
+            .otherwise(nearest(keys.key))
         )
 
-    return F.element_at(F.transform(F.array(tx.vocab_key(raw)), by), 1)
+    def with_exact(key: Column) -> Column:
+        return tx.let(F.struct(key.alias("key"), tx.lookup(by_key, key).alias("found")), by)
+
+    return tx.let(tx.vocab_key(raw), with_exact)
 
 
 def cell_outcomes(cell: Column, terms: Sequence[str]) -> Column:
