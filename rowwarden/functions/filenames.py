@@ -37,17 +37,19 @@ def is_accepted_upload(name: Column) -> Column:
 def tokenize(name: Column) -> Column:
     """Lower-case runs of letters and digits of the base name, accents folded."""
     words = F.trim(F.regexp_replace(F.lower(tx.fold(base_name(name))), "[^a-z0-9]+", " "))
-    return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
+    return F.array_remove(F.split(words, " "), "")
 
 
 def video_extension_in(name: Column, preset: Preset) -> Column:
     """The first of the preset's video extensions found anywhere in the name, a comma read as a full stop."""
-    candidate = F.translate(tx.fold(base_name(name)), ",", ".")
-    found = F.lit(None).cast("string")
-    for ext in reversed(preset.video_ext):
-        pattern = "(?i)" + ext.replace(".", r"\.") + "(?![a-z0-9])"
-        found = F.when(candidate.rlike(pattern), ext).otherwise(found)
-    return found
+    def first(candidate: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for ext in reversed(preset.video_ext):
+            pattern = "(?i)" + ext.replace(".", r"\.") + "(?![a-z0-9])"
+            found = F.when(candidate.rlike(pattern), ext).otherwise(found)
+        return found
+
+    return tx.let(F.translate(tx.fold(base_name(name)), ",", "."), first)
 
 
 def _contains_any(text: Column, words: Sequence[str]) -> Column:
@@ -59,13 +61,15 @@ def _contains_any(text: Column, words: Sequence[str]) -> Column:
 
 def classify_file(name: Column, preset: Preset) -> Column:
     """video, assent, icf or other."""
-    base = F.lower(base_name(name))
-    return (
-        F.when(video_extension_in(name, preset).isNotNull(), "video")
-        .when(_contains_any(base, preset.assent_match) & extension_of(base).isin(*preset.assent_ext), "assent")
-        .when(_contains_any(base, preset.icf_match), "icf")
-        .otherwise("other")
-    )
+    def kind(base: Column) -> Column:
+        return (
+            F.when(video_extension_in(base, preset).isNotNull(), "video")
+            .when(_contains_any(base, preset.assent_match) & extension_of(base).isin(*preset.assent_ext), "assent")
+            .when(_contains_any(base, preset.icf_match), "icf")
+            .otherwise("other")
+        )
+
+    return tx.let(F.lower(base_name(name)), kind)
 
 
 def derive_environment(name: Column) -> Column:
@@ -93,8 +97,12 @@ def descriptive_token(tokens: Column) -> Column:
     return F.coalesce(F.try_element_at(useful, F.lit(-1)), F.lit(""))
 
 
-def derive_expression(tokens: Column, preset: Preset) -> Column:
-    """struct(expression, token, fuzzy) of a tokenized video name.  A negation in any spelling wins."""
+def derive_expression(name: Column, preset: Preset) -> Column:
+    """struct(expression, token, fuzzy) of a video name.  A negation in any spelling wins."""
+    return tx.let(tokenize(name), lambda tokens: _expression_of(tokens, preset))
+
+
+def _expression_of(tokens: Column, preset: Preset) -> Column:
     target = preset.neutral_token
 
     def decide(at: Column) -> Column:
@@ -116,8 +124,9 @@ def derive_expression(tokens: Column, preset: Preset) -> Column:
             F.struct(F.lit("Neutral").alias("expression"), word.alias("token"), (word != target).alias("fuzzy"))
         )
 
-    position = F.array_position(F.transform(tokens, lambda t: is_neutralish(t, preset)), True).cast("int")
-    return F.element_at(F.transform(F.array(position), decide), 1)
+    return tx.let(
+        F.array_position(F.transform(tokens, lambda t: is_neutralish(t, preset)), True).cast("int"), decide
+    )
 
 
 def _clean_root(root: str) -> str:
@@ -126,8 +135,7 @@ def _clean_root(root: str) -> str:
 
 def _first_segment(rest: Column) -> Column:
     """First folder of a relative path; empty where the file is not inside a folder."""
-    tidy = F.regexp_replace(F.regexp_replace(rest, "/+", "/"), "^/|/$", "")
-    return F.when(tidy.contains("/"), F.substring_index(tidy, "/", 1)).otherwise("")
+    return F.regexp_extract(rest, "^/*([^/]+)/+[^/]", 1)
 
 
 def participant_folder_of(path: Column, root: str) -> Column:

@@ -23,7 +23,10 @@ def normalize_shared_link(url: Column) -> Column:
 
     Anything that is not a web address is returned trimmed; NULL and blank give an empty string.
     """
-    link = tx.trim_ws(F.coalesce(url, F.lit("")))
+    return tx.let(tx.trim_ws(F.coalesce(url, F.lit(""))), _durable)
+
+
+def _durable(link: Column) -> Column:
     origin = F.lower(F.regexp_extract(link, r"(?i)^https?://[^/?#]+", 0))
     path = F.regexp_extract(link, r"(?i)^https?://[^/?#]+([^?#]*)", 1)
     query = F.regexp_extract(link, r"^[^?#]*\?([^#]*)", 1)
@@ -45,7 +48,10 @@ def normalize_shared_link(url: Column) -> Column:
 
 def parse_folder_url(raw: Column) -> Column:
     """struct(input, ok, path, reason) of one pasted folder address; NULL for a blank one."""
-    given = tx.trim_ws(raw)
+    return tx.let(tx.trim_ws(raw), _folder_address)
+
+
+def _folder_address(given: Column) -> Column:
     is_web = given.rlike(_WEB)
     host = F.regexp_extract(F.lower(given), _HOST, 1)
     web_path = F.regexp_replace(F.regexp_extract(given, r"(?i)^https?://[^/?#]*([^?#]*)", 1), r"(?i)^/home", "")
@@ -53,7 +59,7 @@ def parse_folder_url(raw: Column) -> Column:
     # '+' is a plain character in a path, so it is protected from form decoding.
     decoded = F.coalesce(F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))), encoded)
     trimmed = F.regexp_replace(decoded, r"/+\z", "")
-    path = F.when(trimmed.startswith("/") | (trimmed == ""), trimmed).otherwise(F.concat(F.lit("/"), trimmed))
+    rooted = tx.let(trimmed, lambda p: F.when(p.startswith("/") | (p == ""), p).otherwise(F.concat(F.lit("/"), p)))
 
     def out(ok: bool, value: Column | None, reason: str) -> Column:
         return F.struct(
@@ -66,8 +72,9 @@ def parse_folder_url(raw: Column) -> Column:
         F.when(given.rlike(_SHARE_LINK), out(False, None, REASON_SHARE))
         .when(is_web & (host == ""), out(False, None, REASON_INVALID))
         .when(is_web & ~host.rlike(_STORAGE_HOST), out(False, None, REASON_HOST))
-        .when(path == "", out(False, None, REASON_EMPTY))
-        .otherwise(out(True, path, "")),
+        .otherwise(
+            tx.let(rooted, lambda p: F.when(p == "", out(False, None, REASON_EMPTY)).otherwise(out(True, p, "")))
+        ),
     )
 
 
