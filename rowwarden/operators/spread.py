@@ -59,15 +59,15 @@ def running_offset(counts: DataFrame, position: str, n: str, out: str) -> DataFr
     Two levels: sums per block of 65,536 positions, then positions inside each block.  The only unpartitioned window
     runs over one row per block.
     """
-    blocked = counts.withColumn("_block", block_of(F.col(position)))
-    totals = blocked.groupBy("_block").agg(F.sum(n).alias("_total"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    blocked = counts.withColumn("_ro_block", block_of(F.col(position)))
+    totals = blocked.groupBy("_ro_block").agg(F.sum(n).alias("_ro_total"))
+    before = Window.orderBy("_ro_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_ro_block", F.coalesce(F.sum("_ro_total").over(before), F.lit(0)).alias("_ro_base"))
+    inside = Window.partitionBy("_ro_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        blocked.join(bases, "_block")
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(n).over(inside), F.lit(0)))
-        .drop("_block", "_base")
+        blocked.join(bases, "_ro_block")
+        .withColumn(out, F.col("_ro_base") + F.coalesce(F.sum(n).over(inside), F.lit(0)))
+        .drop("_ro_block", "_ro_base")
     )
 
 
