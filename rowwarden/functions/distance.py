@@ -4,6 +4,8 @@ Spark's ``levenshtein`` scores a swap 2, so it cannot stand in; it never exceeds
 which makes it a cheap pre-filter.  The distance itself is the bit-parallel formulation of Hyyro (2003): one fold over
 the characters of one string, with the other held as bit masks in a BIGINT.  Both strings longer than 62 characters
 fall back to the row-by-row recurrence.
+
+Expressions are assembled as SQL text: they are long, and text is parsed in one call.
 """
 
 from __future__ import annotations
@@ -13,130 +15,92 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = 62
-
-
-def _long(value: int | Column) -> Column:
-    return F.lit(value).cast("bigint")
-
-
-def _shift_left(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", value, bits)
+from rowwarden.functions import text as tx
 
+_WORD = 62
 
-def _chars(text: Column) -> Column:
-    return F.split(text, "")
-
-
-def _fold_masks(masks: Column, full: Column, top: Column, length: Column) -> Column:
-    """Distance from the per-character match masks of the scanned string."""
-
-    def step(s: Column, pm: Column) -> Column:
-        swap = _shift_left(F.bitwise_not(s.d0).bitwiseAND(pm), F.lit(1)).bitwiseAND(s.old)
-        d0 = (
-            (pm.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp)
-            .bitwiseOR(pm).bitwiseOR(s.vn).bitwiseOR(swap).bitwiseAND(full)
-        )
-        hp = s.vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(s.vp)).bitwiseAND(full))
-        hn = d0.bitwiseAND(s.vp)
-        hp1 = _shift_left(hp, F.lit(1)).bitwiseOR(_long(1)).bitwiseAND(full)
-        hn1 = _shift_left(hn, F.lit(1)).bitwiseAND(full)
-        up = F.when(hp.bitwiseAND(top) != 0, 1).otherwise(0)
-        down = F.when(hn.bitwiseAND(top) != 0, 1).otherwise(0)
-        return F.struct(
-            hn1.bitwiseOR(F.bitwise_not(d0.bitwiseOR(hp1)).bitwiseAND(full)).alias("vp"),
-            hp1.bitwiseAND(d0).alias("vn"),
-            d0.alias("d0"),
-            pm.alias("old"),
-            (s.dist + up - down).cast("int").alias("dist"),
-        )
 
-    start = F.struct(
-        full.alias("vp"), _long(0).alias("vn"), _long(0).alias("d0"), _long(0).alias("old"),
-        length.cast("int").alias("dist"),
+def _fold_masks(masks: str, size: str) -> str:
+    """Distance from the per-character match masks of the scanned string; ``size`` is the length of the other."""
+    full, top = f"(shiftleft(1L, {size}) - 1L)", f"shiftleft(1L, {size} - 1)"
+    swap = "(shiftleft(~s.d0 & pm, 1) & s.old)"
+    d0 = f"(((((pm & s.vp) + s.vp) ^ s.vp) | pm | s.vn | {swap}) & {full})"
+    hp, hn = f"(s.vn | (~({d0} | s.vp) & {full}))", f"({d0} & s.vp)"
+    hp1, hn1 = f"((shiftleft({hp}, 1) | 1L) & {full})", f"(shiftleft({hn}, 1) & {full})"
+    step = (
+        f"named_struct('vp', {hn1} | (~({d0} | {hp1}) & {full}), 'vn', {hp1} & {d0}, 'd0', {d0}, 'old', pm, "
+        f"'dist', s.dist + if(({hp} & {top}) <> 0L, 1, 0) - if(({hn} & {top}) <> 0L, 1, 0))"
     )
-    return F.aggregate(masks, start, step, lambda s: s.dist)
-
+    start = f"named_struct('vp', {full}, 'vn', 0L, 'd0', 0L, 'old', 0L, 'dist', cast({size} as int))"
+    return f"aggregate({masks}, {start}, (s, pm) -> {step}, s -> s.dist)"
 
-def _masks_of(word: str) -> dict[str, int]:
-    masks: dict[str, int] = {}
-    for i, char in enumerate(word):
-        masks[char] = masks.get(char, 0) | (1 << i)
-    return masks
 
+def word_table_sql(words: Sequence[str]) -> str:
+    """Constant words of 1..62 characters as an array of struct(ord, word, size, masks)."""
+    entries = []
+    for i, word in enumerate(words):
+        masks: dict[str, int] = {}
+        for at, char in enumerate(word):
+            masks[char] = masks.get(char, 0) | (1 << at)
+        table = ", ".join(f"{tx.quote(c)}, {m}L" for c, m in masks.items())
+        entries.append(f"named_struct('ord', {i}, 'word', {tx.quote(word)}, 'size', {len(word)}, 'masks', map({table}))")
+    return f"array({', '.join(entries)})"
 
-def word_table(words: Sequence[str]) -> Column:
-    """Constant words of 1..62 characters as an array of struct(ord, word, size, masks), built at planning time."""
-    def entry(i: int, word: str) -> Column:
-        masks = F.create_map(*[x for c, m in _masks_of(word).items() for x in (F.lit(c), _long(m))])
-        return F.struct(
-            F.lit(i).alias("ord"), F.lit(word).alias("word"), F.lit(len(word)).alias("size"), masks.alias("masks")
-        )
 
-    return F.array(*[entry(i, w) for i, w in enumerate(words)])
+def distance_to_entry_sql(text: str, entry: str) -> str:
+    """Distance from ``text`` to an entry of the word table."""
+    scanned = f"transform(split({text}, ''), ch -> coalesce(try_element_at({entry}.masks, ch), 0L))"
+    return f"if(length({text}) = 0, {entry}.size, {_fold_masks(scanned, f'{entry}.size')})"
 
 
-def distance_to_entry(text: Column, entry: Column) -> Column:
-    """Distance from ``text`` to an entry of ``word_table``."""
-    scanned = F.transform(_chars(text), lambda c: F.coalesce(F.try_element_at(entry.masks, c), _long(0)))
-    top = _shift_left(_long(1), entry["size"] - 1)
-    folded = _fold_masks(scanned, _shift_left(_long(1), entry["size"]) - 1, top, entry["size"])
-    return F.when(F.length(text) == 0, entry["size"]).otherwise(folded)
+def distance_to_word_sql(text: str, word: str) -> str:
+    return f"element_at(transform({word_table_sql([word])}, wd -> {distance_to_entry_sql(text, 'wd')}), 1)"
 
 
 def distance_to_word(text: Column, word: str) -> Column:
     """Distance from ``text`` to one constant word."""
-    return F.element_at(F.transform(word_table([word]), lambda e: distance_to_entry(text, e)), 1)
-
+    return tx.let_sql(text, "t", distance_to_word_sql("t", word))
 
-def _distance_short(pattern: Column, text: Column) -> Column:
-    chars = _chars(pattern)
-    letters = F.array_distinct(chars)
 
-    def mask(letter: Column) -> Column:
-        bits = F.transform(chars, lambda c, i: F.when(c == letter, _shift_left(_long(1), i)).otherwise(_long(0)))
-        return F.aggregate(bits, _long(0), lambda acc, b: acc.bitwiseOR(b))
-
-    table = F.map_from_arrays(letters, F.transform(letters, mask))
-    scanned = F.transform(_chars(text), lambda c: F.coalesce(F.try_element_at(table, c), _long(0)))
-    n = F.length(pattern)
-    top = _shift_left(_long(1), n - 1)
-    return _fold_masks(scanned, _shift_left(_long(1), n) - 1, top, n)
+def _short_sql(pattern: str, text: str) -> str:
+    bits = f"transform(split({pattern}, ''), (c, i) -> if(c = letter, shiftleft(1L, i), 0L))"
+    table = (
+        f"map_from_arrays(array_distinct(split({pattern}, '')), transform(array_distinct(split({pattern}, '')), "
+        f"letter -> aggregate({bits}, 0L, (acc, bit) -> acc | bit)))"
+    )
+    scanned = f"transform(split({text}, ''), ch -> coalesce(try_element_at(mt, ch), 0L))"
+    return f"element_at(transform(array({table}), mt -> {_fold_masks(scanned, f'length({pattern})')}), 1)"
 
 
-def _distance_long(a: Column, b: Column) -> Column:
+def _long_sql(a: str, b: str) -> str:
     """Row-by-row recurrence; the state is the last two rows of the table."""
-    ca, cb = _chars(a), _chars(b)
-    empty = F.array().cast("array<int>")
-
-    def row(state: Column, i: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            cost = F.when(F.get(ca, i - 1) == F.get(cb, j - 1), 0).otherwise(1)
-            plain = F.least(
-                F.get(state.p1, j) + 1, F.get(acc, j - 1) + 1, F.get(state.p1, j - 1) + cost,
-            )
-            swapped = (i > 1) & (j > 1) & (F.get(ca, i - 1) == F.get(cb, j - 2)) & (F.get(ca, i - 2) == F.get(cb, j - 1))
-            return F.array_append(acc, F.when(swapped, F.least(plain, F.get(state.p2, j - 2) + cost)).otherwise(plain))
-
-        current = F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(i), cell)
-        return F.struct(state.p1.alias("p2"), current.alias("p1"))
-
-    first = F.struct(empty.alias("p2"), F.sequence(F.lit(0), F.length(b)).alias("p1"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(a)), first, row, lambda s: F.get(s.p1, F.length(b)))
+    plain = (
+        f"least(get(r.p1, j) + 1, get(acc, j - 1) + 1, "
+        f"get(r.p1, j - 1) + if(substr({a}, i, 1) = substr({b}, j, 1), 0, 1))"
+    )
+    swapped = (
+        f"i > 1 and j > 1 and substr({a}, i, 1) = substr({b}, j - 1, 1) and substr({a}, i - 1, 1) = substr({b}, j, 1)"
+    )
+    swap_cost = f"get(r.p2, j - 2) + if(substr({a}, i, 1) = substr({b}, j, 1), 0, 1)"
+    cell = f"array_append(acc, if({swapped}, least({plain}, {swap_cost}), {plain}))"
+    row = f"aggregate(sequence(1, length({b})), array(i), (acc, j) -> {cell})"
+    start = f"named_struct('p2', cast(array() as array<int>), 'p1', sequence(0, length({b})))"
+    return (
+        f"aggregate(sequence(1, length({a})), {start}, (r, i) -> named_struct('p2', r.p1, 'p1', {row}), "
+        f"r -> get(r.p1, length({b})))"
+    )
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Distance between two string columns; NULL if either is NULL."""
-    la, lb = F.length(a), F.length(b)
-    return (
-        F.when(a.isNull() | b.isNull(), F.lit(None).cast("int"))
-        .when(a == b, 0)
-        .when(la == 0, lb)
-        .when(lb == 0, la)
-        .when(la <= _WORD, _distance_short(a, b))
-        .when(lb <= _WORD, _distance_short(b, a))
-        .otherwise(_distance_long(a, b))
+    x, y = "p.a", "p.b"
+    body = (
+        f"case when {x} is null or {y} is null then null when {x} = {y} then 0 "
+        f"when length({x}) = 0 then length({y}) when length({y}) = 0 then length({x}) "
+        f"when length({x}) <= {_WORD} then {_short_sql(x, y)} when length({y}) <= {_WORD} then {_short_sql(y, x)} "
+        f"else {_long_sql(x, y)} end"
     )
+    return tx.let_sql(F.struct(a.alias("a"), b.alias("b")), "p", body)
 
 
 def within(a: Column, b: Column, limit: int) -> Column:
@@ -145,5 +109,9 @@ def within(a: Column, b: Column, limit: int) -> Column:
     return F.when(near, edit_distance(a, b) <= limit).otherwise(F.lit(False))
 
 
+def max_edits_sql(length: str) -> str:
+    return f"case when {length} < 5 then 1 when {length} < 9 then 2 else 3 end"
+
+
 def max_edits(length: Column) -> Column:
-    return F.when(length < 5, 1).when(length < 9, 2).otherwise(3)
+    return tx.let_sql(length, "n", max_edits_sql("n"))

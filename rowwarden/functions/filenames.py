@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowwarden import fixed
 from rowwarden.fixed import Preset
 from rowwarden.functions import text as tx
-from rowwarden.functions.distance import distance_to_word
+from rowwarden.functions.distance import distance_to_word_sql
 
 _WORKBOOK = r"(?i)\.xls[xm]\z"
 _UPLOAD = r"(?i)\.(xlsx|xlsm)\z"
@@ -77,15 +77,14 @@ def derive_environment(name: Column) -> Column:
     return F.when(base.contains("indoor"), "Indoor").when(base.contains("outdoor"), "Outdoor")
 
 
-def is_neutralish(token: Column, preset: Preset) -> Column:
+def is_neutralish_sql(token: str, preset: Preset) -> str:
     """The neutral word itself, or (fuzzy presets) a spelling within two edits of it."""
     target = preset.neutral_token
-    same = token == target
+    same = f"{token} = {tx.quote(target)}"
     if not preset.fuzzy:
         return same
-    near_length = F.abs(F.length(token) - len(target)) <= 2
-    near = near_length & (F.levenshtein(token, F.lit(target), 4) != -1)
-    return same | F.when(near, distance_to_word(token, target) <= 2).otherwise(False)
+    near = f"abs(length({token}) - {len(target)}) <= 2 and levenshtein({token}, {tx.quote(target)}, 4) <> -1"
+    return f"({same} or if({near}, {distance_to_word_sql(token, target)} <= 2, false))"
 
 
 def descriptive_token(tokens: Column) -> Column:
@@ -124,9 +123,8 @@ def _expression_of(tokens: Column, preset: Preset) -> Column:
             F.struct(F.lit("Neutral").alias("expression"), word.alias("token"), (word != target).alias("fuzzy"))
         )
 
-    return tx.let(
-        F.array_position(F.transform(tokens, lambda t: is_neutralish(t, preset)), True).cast("int"), decide
-    )
+    neutralish = F.call_function("transform", tokens, F.expr(f"tok -> {is_neutralish_sql('tok', preset)}"))
+    return tx.let(F.array_position(neutralish, True).cast("int"), decide)
 
 
 def _clean_root(root: str) -> str:

@@ -11,6 +11,7 @@ from rowwarden import fixed
 
 _NEEDS_TIDYING = f"{fixed.WS_OTHER_THAN_SPACE}|{fixed.ZERO_WIDTH}|  |^ | \\z"
 _WS_RUN = fixed.WS + "+"
+_VOCAB_SEPARATORS = r"[/\\\-_.,;:]+"
 _WS_ENDS = f"^{fixed.WS}+|{fixed.WS}+\\z"
 
 
@@ -32,19 +33,43 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def normalize_whitespace(text: Column) -> Column:
+def quote(text: str) -> str:
+    """A constant as a raw SQL string literal."""
+    return f'r"{text}"' if "'" in text else f"r'{text}'"
+
+
+def let_sql(value: Column, name: str, body: str) -> Column:
+    """``let`` with the body as SQL text over ``name``; long expressions are parsed in one call."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), 1)
+
+
+def _tidied_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, {quote(fixed.ZERO_WIDTH)}, ''), {quote(_WS_RUN)}, ' '))"
+
+
+def normalize_whitespace_sql(x: str) -> str:
     """Collapse every run of white space to one space, drop zero-width characters, trim.
 
     The cheap test first: clean text, the usual case, is returned as it is with no copying.
     """
-    tidied = F.trim(F.regexp_replace(F.regexp_replace(text, fixed.ZERO_WIDTH, ""), _WS_RUN, " "))
-    return F.when(text.rlike(_NEEDS_TIDYING), tidied).otherwise(text)
+    return f"if({x} rlike {quote(_NEEDS_TIDYING)}, {_tidied_sql(x)}, {x})"
 
 
-def tidy_or_null(text: Column) -> Column:
+def tidy_or_null_sql(x: str) -> str:
     """``normalize_whitespace`` with NULL for text of which nothing remains."""
-    tidied = F.trim(F.regexp_replace(F.regexp_replace(text, fixed.ZERO_WIDTH, ""), _WS_RUN, " "))
-    return F.when(text.rlike(_NEEDS_TIDYING), null_if_empty(tidied)).when(text != "", text)
+    return f"case when {x} rlike {quote(_NEEDS_TIDYING)} then nullif({_tidied_sql(x)}, '') when {x} <> '' then {x} end"
+
+
+def trim_ws_sql(x: str) -> str:
+    return f"regexp_replace({x}, {quote(_WS_ENDS)}, '')"
+
+
+def normalize_whitespace(text: Column) -> Column:
+    return let_sql(text, "x", normalize_whitespace_sql("x"))
+
+
+def tidy_or_null(text: Column) -> Column:
+    return let_sql(text, "x", tidy_or_null_sql("x"))
 
 
 def trim_ws(text: Column) -> Column:
@@ -75,9 +100,14 @@ def delivery_header_key(text: Column) -> Column:
     return _spaced_key(text, r"[/\\\-_.,;:()]+")
 
 
+def vocab_key_sql(x: str) -> str:
+    spaced = f"regexp_replace(lower({x}), {quote(_VOCAB_SEPARATORS)}, ' ')"
+    return f"trim(regexp_replace(regexp_replace({spaced}, '[^a-z0-9 ]', ''), ' +', ' '))"
+
+
 def vocab_key(text: Column) -> Column:
     """Key of a vocabulary answer: case, punctuation and spacing folded away."""
-    return _spaced_key(text, r"[/\\\-_.,;:]+")
+    return _spaced_key(text, _VOCAB_SEPARATORS)
 
 
 def fold(text: Column) -> Column:

@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from rowwarden import fixed
 from rowwarden.functions import text as tx
-from rowwarden.functions.distance import distance_to_entry, max_edits, word_table
+from rowwarden.functions.distance import distance_to_entry_sql, max_edits_sql, word_table_sql
 
 _FAR = 1000
 
@@ -24,80 +23,85 @@ def plain_vocab_key(term: str) -> str:
     return " ".join("".join(c for c in spaced if c == " " or (c.isascii() and c.isalnum())).split())
 
 
-def match_vocabulary(raw: Column, terms: Sequence[str]) -> Column:
-    """struct(status, value, distance); status is exact, normalized, corrected, ambiguous or unknown."""
-    by_key = {}
+def _outcome(status: str, value: str = "cast(null as string)", distance: str = "cast(null as int)") -> str:
+    return f"named_struct('status', {status}, 'value', {value}, 'distance', {distance})"
+
+
+def match_sql(raw: str, terms: Sequence[str]) -> str:
+    by_key: dict[str, str] = {}
     for term in terms:
         by_key.setdefault(plain_vocab_key(term), term)
+    known = "map(" + ", ".join(f"{tx.quote(k)}, {tx.quote(t)}" for k, t in by_key.items()) + ")"
+    spelled = "array(" + ", ".join(map(tx.quote, by_key.values())) + ")"
+    # A distance above 3 can never be accepted, whatever the lengths.
+    scored = (
+        f"named_struct('distance', if(levenshtein(k.key, e.word, 6) <> -1, {distance_to_entry_sql('k.key', 'e')}, "
+        f"{_FAR}), 'ord', e.ord, 'allowed', {max_edits_sql('greatest(length(k.key), e.size)')})"
+    )
+    ranked = f"array_sort(transform({word_table_sql(list(by_key))}, e -> {scored}))"
+    decided = (
+        f"case when get(r, 0).distance > get(r, 0).allowed then {_outcome(tx.quote('unknown'))} "
+        f"when get(r, 1).distance = get(r, 0).distance then {_outcome(tx.quote('ambiguous'))} "
+        f"else {_outcome(tx.quote('corrected'), f'get({spelled}, get(r, 0).ord)', 'get(r, 0).distance')} end"
+    )
+    exact = f"if({tx.trim_ws_sql(raw)} = k.found, 'exact', 'normalized')"
+    judged = (
+        f"case when k.key = '' then {_outcome(tx.quote('unknown'))} "
+        f"when k.found is not null then {_outcome(exact, 'k.found', '0')} "
+        f"else element_at(transform(array({ranked}), r -> {decided}), 1) end"
+    )
+    looked = f"named_struct('key', vk, 'found', try_element_at({known}, vk))"
+    return (
+        f"element_at(transform(transform(array({tx.vocab_key_sql(raw)}), vk -> {looked}), k -> {judged}), 1)"
+    )
 
-    def outcome(status: str | Column, value: Column | None = None, distance: Column | int | None = None) -> Column:
-        return F.struct(
-            F.lit(status).alias("status"),
-            (F.lit(None) if value is None else value).cast("string").alias("value"),
-            F.lit(distance).cast("int").alias("distance"),
-        )
-
-    spelled = F.array(*[F.lit(t) for t in by_key.values()])
-
-    def nearest(key: Column) -> Column:
-        def scored(entry: Column) -> Column:
-            # A distance above 3 can never be accepted, whatever the lengths.
-            close = F.levenshtein(key, entry.word, 6) != -1
-            return F.struct(
-                F.when(close, distance_to_entry(key, entry)).otherwise(F.lit(_FAR)).alias("distance"),
-                entry.ord.alias("ord"),
-                max_edits(F.greatest(F.length(key), entry["size"])).alias("allowed"),
-            )
-
-        def decide(ranked: Column) -> Column:
-            first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-            return (
-                F.when(first.distance > first.allowed, outcome("unknown"))
-                .when(second.distance == first.distance, outcome("ambiguous"))
-                .otherwise(outcome("corrected", F.get(spelled, first.ord), first.distance))
-            )
-
-        return tx.let(F.array_sort(F.transform(word_table(list(by_key)), scored)), decide)
-
-    def by(keys: Column) -> Column:
-        status = F.when(tx.trim_ws(raw) == keys.found, "exact").otherwise("normalized")
-        return (
-            F.when(keys.key == "", outcome("unknown"))
-            .when(keys.found.isNotNull(), outcome(status, keys.found, 0))
-            .otherwise(nearest(keys.key))
-        )
-
-    def with_exact(key: Column) -> Column:
-        return tx.let(F.struct(key.alias("key"), tx.lookup(by_key, key).alias("found")), by)
-
-    return tx.let(tx.vocab_key(raw), with_exact)
 
+def match_vocabulary(raw: Column, terms: Sequence[str]) -> Column:
+    """struct(status, value, distance); status is exact, normalized, corrected, ambiguous or unknown."""
+    return tx.let_sql(raw, "raw", match_sql("raw", terms))
 
-def cell_outcomes(cell: Column, terms: Sequence[str]) -> Column:
-    """One struct(part, status, value) per answer of a multi-value cell, in the order given."""
-    parts = F.filter(
-        F.transform(F.split(cell, fixed.MULTI_VALUE_SPLIT), tx.normalize_whitespace), lambda p: p != ""
+
+def cell_outcomes_sql(cell: str, terms: Sequence[str]) -> str:
+    parts = (
+        f"filter(transform(split({cell}, {tx.quote(fixed.MULTI_VALUE_SPLIT)}), w -> {tx.normalize_whitespace_sql('w')}), "
+        f"w -> w <> '')"
+    )
+    resolved = (
+        f"transform(transform({parts}, pt -> named_struct('part', pt, 'm', {match_sql('pt', terms)})), "
+        f"q -> named_struct('part', q.part, 'status', q.m.status, 'value', q.m.value))"
     )
+    # A cell that is exactly one term needs no splitting: by far the commonest case.
+    plain = f"array(named_struct('part', {cell}, 'status', 'exact', 'value', {cell}))"
+    return f"if({cell} in ({', '.join(map(tx.quote, terms))}), {plain}, {resolved})"
 
-    def resolve(part: Column) -> Column:
-        m = match_vocabulary(part, terms)
-        return F.struct(part.alias("part"), m.status.alias("status"), m.value.alias("value"))
 
-    # A cell that is exactly one term needs no splitting: by far the commonest case.
-    plain = F.struct(cell.alias("part"), F.lit("exact").alias("status"), cell.alias("value"))
-    return F.when(cell.isin(*terms), F.array(plain)).otherwise(F.transform(parts, resolve))
+def cell_value_sql(outcomes: str) -> str:
+    joined = f"array_join(transform({outcomes}, o -> coalesce(o.value, o.part)), '{fixed.MULTI_VALUE_JOIN}')"
+    return f"if(size({outcomes}) > 0, {joined}, null)"
+
+
+def corrected_pairs_sql(outcomes: str) -> str:
+    changed = f"filter({outcomes}, o -> o.status in ('normalized', 'corrected'))"
+    return f"""transform({changed}, o -> concat(o.part, '" to "', o.value))"""
+
+
+def unresolved_parts_sql(outcomes: str) -> str:
+    return f"transform(filter({outcomes}, o -> o.value is null), o -> o.part)"
+
+
+def cell_outcomes(cell: Column, terms: Sequence[str]) -> Column:
+    """One struct(part, status, value) per answer of a multi-value cell, in the order given."""
+    return tx.let_sql(cell, "cell", cell_outcomes_sql("cell", terms))
 
 
 def cell_value(outcomes: Column) -> Column:
     """The cell rebuilt: resolved terms, unresolved answers verbatim; NULL where nothing was given."""
-    joined = F.array_join(F.transform(outcomes, lambda o: F.coalesce(o.value, o.part)), fixed.MULTI_VALUE_JOIN)
-    return F.when(F.size(outcomes) > 0, joined)
+    return tx.let_sql(outcomes, "os", cell_value_sql("os"))
 
 
 def corrected_pairs(outcomes: Column) -> Column:
-    changed = F.filter(outcomes, lambda o: o.status.isin("normalized", "corrected"))
-    return F.transform(changed, lambda o: F.concat(o.part, F.lit('" to "'), o.value))
+    return tx.let_sql(outcomes, "os", corrected_pairs_sql("os"))
 
 
 def unresolved_parts(outcomes: Column) -> Column:
-    return F.transform(F.filter(outcomes, lambda o: o.value.isNull()), lambda o: o.part)
+    return tx.let_sql(outcomes, "os", unresolved_parts_sql("os"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowwarden import fixed
 from rowwarden.functions import text as tx
-from rowwarden.functions.distance import distance_to_entry, word_table
+from rowwarden.functions.distance import distance_to_entry_sql, word_table_sql
 from rowwarden.functions.vocab import plain_vocab_key
 from rowwarden.operators.layouts import CANONICAL, DELIVERY
 
@@ -99,17 +99,13 @@ def attribute_term(header: Column) -> Column:
     """Index into ``TERMS`` of the attribute a header names, one edit allowed on long names; NULL if none."""
     keys = [plain_vocab_key(t) for _, t in TERMS]
     minimum = fixed.FUZZY_HEADER_MIN_LENGTH
-
-    def near(key: Column) -> Column:
-        def one_edit(entry: Column) -> Column:
-            close = (entry["size"] >= minimum) & (F.levenshtein(key, entry.word, 2) != -1)
-            return F.when(close, distance_to_entry(key, entry) <= 1).otherwise(False)
-
-        exact = tx.lookup({k: i for i, k in enumerate(keys)}, key)
-        found = F.get(F.filter(word_table(keys), one_edit), F.lit(0)).ord
-        return F.coalesce(exact, F.when(F.length(key) >= minimum, found))
-
-    return tx.let(tx.vocab_key(header), near)
+    exact = "map(" + ", ".join(f"{tx.quote(k)}, {i}" for i, k in enumerate(keys)) + ")"
+    one_edit = (
+        f"if(w.size >= {minimum} and levenshtein(k, w.word, 2) <> -1, {distance_to_entry_sql('k', 'w')} <= 1, false)"
+    )
+    near = f"get(filter({word_table_sql(keys)}, w -> {one_edit}), 0).ord"
+    found = f"coalesce(try_element_at({exact}, k), if(length(k) >= {minimum}, {near}, null))"
+    return tx.let_sql(tx.vocab_key(header), "k", found)
 
 
 def header_hits_delivery(cells: DataFrame, scan_rows: int = fixed.DELIVERY_SCAN_ROWS) -> DataFrame:

@@ -72,6 +72,22 @@ def _issue(
     )
 
 
+def _text(constant: str) -> str:
+    return tx.quote(constant)
+
+
+def _issue_sql(
+    layout: Layout, field: str, phase: int, severity: str, rule: str, original: str, corrected: str, message: str
+) -> str:
+    """``_issue`` as SQL text."""
+    return (
+        f"named_struct('severity', {severity}, 'column', {_text(layout.letter(field))}, "
+        f"'header', {_text(layout.header(field))}, 'rule', {rule}, 'original', coalesce({original}, ''), "
+        f"'corrected', coalesce({corrected}, ''), 'message', coalesce({message}, ''), 'phase', {phase}, "
+        f"'rule_seq', {layout.fields.index(field)})"
+    )
+
+
 def _with_issues(df: DataFrame, found: list[Column], changes: dict[str, Column]) -> DataFrame:
     new = F.array_compact(F.array(*found)).cast(f"array<{ROW_ISSUE}>")
     issues = F.concat("issues", new) if "issues" in df.columns else new
@@ -82,11 +98,11 @@ def tidy_whitespace(df: DataFrame, layout: Layout) -> DataFrame:
     """Rule 1: invisible or repeated white space in any text cell."""
     rule, message = _texts(layout)["whitespace"]
     fields = [f for f in layout.fields if f in df.columns]
-    df = df.withColumns({"_w_" + f: tx.tidy_or_null(F.col(f)) for f in fields})
+    df = df.withColumns({"_w_" + f: F.expr(tx.tidy_or_null_sql(f"`{f}`")) for f in fields})
     found = [
-        F.when(
-            F.coalesce("_w_" + f, F.lit("")) != F.col(f),
-            _issue(layout, f, 1, "fixed", rule, F.col(f), F.col("_w_" + f), message),
+        F.expr(
+            f"if(coalesce(`_w_{f}`, '') <> `{f}`, "
+            f"{_issue_sql(layout, f, 1, _text('fixed'), _text(rule), f'`{f}`', f'`_w_{f}`', _text(message))}, null)"
         )
         for f in fields
     ]
@@ -156,56 +172,49 @@ def match_attributes(df: DataFrame, layout: Layout, *, strict_reference: bool =
     ``strict_reference`` says nothing where only the separators between answers were rewritten.
     """
     attributes = {f: terms for f, terms in layout.attributes.items() if f in df.columns}
-    unlisted_note = _texts(layout)["unlisted"]
-
-    def judge(field: str, terms: tuple[str, ...]):
-        accepted = " Accepted values are: " + ", ".join(terms) + "."
-
-        def told(c: Column) -> Column:
-            note = F.lit("")
-            if layout.name != "delivery":
-                note = F.when(
-                    F.size(c.corrected) > 0,
-                    F.concat(F.lit(' Also corrected "'), F.array_join(c.corrected, '", "'), F.lit('".')),
-                ).otherwise("")
-            unlisted = F.concat(
-                F.lit('Not recognised: "'), F.array_join(c.unresolved, '", "'), F.lit(f'". {unlisted_note}'), note,
-                F.lit(accepted),
-            )
-            fixed_text = F.concat(F.lit('Corrected "'), F.array_join(c.corrected, '", "'), F.lit('".'))
-            issue = F.when(
-                F.size(c.unresolved) > 0, _issue(layout, field, 4, "review", RULE_UNLISTED, c.raw, c.value, unlisted)
-            ).when(
-                F.size(c.corrected) > 0, _issue(layout, field, 4, "fixed", RULE_MATCHED, c.raw, c.value, fixed_text)
-            )
-            if not strict_reference:
-                issue = issue.when(
-                    F.coalesce(c.value, F.lit("")) != c.raw,
-                    _issue(layout, field, 4, "fixed", RULE_MATCHED, c.raw, c.value, MSG_SEPARATORS),
-                )
-            return F.struct(c.value.alias("value"), issue.alias("issue"))
-
-        def with_outcomes(c: Column) -> Column:
-            return tx.let(
-                F.struct(
-                    c.raw.alias("raw"), vocab.cell_value(c.outcomes).alias("value"),
-                    vocab.unresolved_parts(c.outcomes).alias("unresolved"),
-                    vocab.corrected_pairs(c.outcomes).alias("corrected"),
-                ),
-                told,
-            )
+    judged = {
+        "_j_" + f: tx.let_sql(F.col(f), "raw", _attribute_sql(layout, f, terms, strict_reference))
+        for f, terms in attributes.items()
+    }
+    changes = {f: F.col(f"_j_{f}.value") for f in attributes}
+    done = _with_issues(df.withColumns(judged), [F.col(f"_j_{f}.issue") for f in attributes], changes)
+    return done.drop(*judged)
 
-        def judged(raw: Column) -> Column:
-            looked = F.struct(raw.alias("raw"), vocab.cell_outcomes(raw, terms).alias("outcomes"))
-            # A cell that is exactly one term is unchanged and has nothing to report.
-            untouched = F.struct(raw.alias("value"), F.lit(None).cast(ROW_ISSUE).alias("issue"))
-            return F.when(raw.isin(*terms), untouched).when(raw.isNotNull(), tx.let(looked, with_outcomes))
 
-        return judged
+def _attribute_sql(layout: Layout, field: str, terms: tuple[str, ...], strict_reference: bool) -> str:
+    """struct(value, issue) of the cell ``raw``."""
+    def issue(severity: str, rule: str, message: str) -> str:
+        return _issue_sql(layout, field, 4, _text(severity), _text(rule), "c.raw", "c.value", message)
 
-    df = df.withColumns({"_j_" + f: tx.let(F.col(f), judge(f, terms)) for f, terms in attributes.items()})
-    changes = {f: F.col(f"_j_{f}.value") for f in attributes}
-    return _with_issues(df, [F.col(f"_j_{f}.issue") for f in attributes], changes).drop(*["_j_" + f for f in attributes])
+    def listed(lead: str, items: str) -> str:
+        return f"""concat('{lead} "', array_join({items}, '", "'), '".')"""
+
+    note = "''"
+    if layout.name != "delivery":
+        note = f"if(size(c.corrected) > 0, {listed(' Also corrected', 'c.corrected')}, '')"
+    accepted = _text(" Accepted values are: " + ", ".join(terms) + ".")
+    unlisted = (
+        f"concat({listed('Not recognised:', 'c.unresolved')}, {_text(' ' + _texts(layout)['unlisted'])}, {note}, "
+        f"{accepted})"
+    )
+    told = (
+        f"when size(c.unresolved) > 0 then {issue('review', RULE_UNLISTED, unlisted)} "
+        f"when size(c.corrected) > 0 then {issue('fixed', RULE_MATCHED, listed('Corrected', 'c.corrected'))}"
+    )
+    if not strict_reference:
+        told += f" when coalesce(c.value, '') <> c.raw then {issue('fixed', RULE_MATCHED, _text(MSG_SEPARATORS))}"
+    parts = (
+        f"named_struct('raw', raw, 'value', {vocab.cell_value_sql('os')}, "
+        f"'unresolved', {vocab.unresolved_parts_sql('os')}, 'corrected', {vocab.corrected_pairs_sql('os')})"
+    )
+    looked = (
+        f"element_at(transform(transform(array({vocab.cell_outcomes_sql('raw', terms)}), os -> {parts}), "
+        f"c -> named_struct('value', c.value, 'issue', case {told} end)), 1)"
+    )
+    # A cell that is exactly one term is unchanged and has nothing to report.
+    untouched = f"named_struct('value', raw, 'issue', cast(null as {ROW_ISSUE}))"
+    exact = ", ".join(_text(t) for t in terms)
+    return f"case when raw in ({exact}) then {untouched} when raw is not null then {looked} end"
 
 
 def settle_none(df: DataFrame, layout: Layout) -> DataFrame:
