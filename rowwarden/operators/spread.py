@@ -93,11 +93,20 @@ def ordinal_within(rows: DataFrame, keys: Sequence[str], position: str, out: str
 
 def number_rows(rows: DataFrame, file_position: str, row_position: str, out: str, start: int = 0) -> DataFrame:
     """Consecutive numbers over all rows: files in order of ``file_position``, rows in order of ``row_position``."""
+    # Rows are counted per (file, block); the counts are summed within groups of 65,536 files, the groups among
+    # themselves.  No window sees rows, and the unpartitioned one sees one line per group of files.
     blocked = rows.withColumn("_block", block_of(F.col(row_position)))
-    blocks = _block_offsets(blocked, [file_position])
-    files = blocks.groupBy(file_position).agg(F.sum("_n").alias("_n"))
-    bases = running_offset(files, file_position, "_n", "_before").select(file_position, "_before")
-    offsets = blocks.join(bases, file_position).select(
+    counts = blocked.groupBy(file_position, "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_group", block_of(F.col(file_position))
+    )
+    earlier = (
+        Window.partitionBy("_group").orderBy(file_position, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    within = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    groups = counts.groupBy("_group").agg(F.sum("_n").alias("_n"))
+    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    bases = groups.select("_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = within.join(bases, "_group").select(
         file_position, "_block", (F.col("_offset") + F.col("_before")).alias("_offset")
     )
     inside = Window.partitionBy(file_position, "_block").orderBy(row_position)

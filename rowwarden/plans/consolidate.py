@@ -80,18 +80,19 @@ def consolidate(
 ) -> Consolidated:
     """Cells and their files (file_id, file_ix, name, origin) to rows, issues, reports and headers.
 
-    ``materialize`` writes the cleaned rows to the checkpoint folder once, for callers that use several of the
-    results; without it every result is one independent lazy plan.
+    The projected rows are written to the checkpoint folder once, so that the cells are shuffled once only: numbering
+    counts the rows before it numbers them.  ``materialize`` also writes the cleaned rows, for callers that use
+    several of the results.
     """
     unreadable = unreadable_files(cells)
-    headers = detect_canonical(cells).join(unreadable.select("file_id"), "file_id", "left_anti")
-    shaped = with_lineage(project_canonical(cells, headers), files)
+    headers = cut(detect_canonical(cells).join(unreadable.select("file_id"), "file_id", "left_anti"))
+    shaped = cut(with_lineage(project_canonical(cells, headers), files))
     numbered = number_rows(shaped, "file_ix", "source_row", "merged_row", start=FIRST_DATA_ROW)
     rows = apply_rules(
         numbered, CANONICAL, current_year=current_year, day_first=day_first, strict_reference=strict_reference
     )
     if materialize:
-        headers, rows = cut(headers), cut(rows)
+        rows = cut(rows)
     per_file = file_issues(files, headers, unreadable).unionByName(iss.explode_row_issues(rows))
     issues = per_file.unionByName(iss.find_duplicates(rows, CANONICAL))
     return Consolidated(rows, issues, file_reports(files, headers, rows, per_file), headers)

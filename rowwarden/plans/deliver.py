@@ -66,12 +66,14 @@ def merge_metadata(
     if override:
         shaped, found = read_override(cells), None
     else:
-        hits = header_hits_delivery(cells)
+        hits = cut(header_hits_delivery(cells))
         headers = choose_delivery_sheet(hits).join(unreadable.select("file_id"), "file_id", "left_anti")
         folders = books.select("file_id", folder_of(F.col("path"), roots).alias("folder"))
         shaped = project_delivery(cells, headers, folders, prefer)
         found = workbook_issues(books, headers, unreadable, diagnose_delivery(cells, hits))
-    numbered = number_rows(with_lineage(shaped, books), "file_ix", "source_row", "merged_row", start=FIRST_DATA_ROW)
+    # Written once, so that the cells are shuffled once: numbering counts the rows before it numbers them.
+    shaped = cut(with_lineage(shaped, books))
+    numbered = number_rows(shaped, "file_ix", "source_row", "merged_row", start=FIRST_DATA_ROW)
     rows = apply_rules(
         numbered, DELIVERY, current_year=current_year, day_first=day_first, strict_reference=strict_reference
     )

@@ -351,15 +351,20 @@ select file_id, cast(2 + n % 4 + c_custkey as int) as source_row, c_name as part
   case when n % 5 <> 0 then concat('N', cast(n as string)) end as country from {_C}
 """)
 def canonical_rows(spark, sf_dir):
-    cells = mess.run(spark, sf_dir, mess.CELLS)
+    cells = _cells(spark, sf_dir, mess.CELLS)
     rows = shape.project_canonical(cells, headers.detect_canonical(cells))
     return rows.select(
         "file_id", "source_row", "participant_name", "participant_email", "birthdate", "device", "country"
     )
 
 
+def _cells(spark, sf_dir, generator: str) -> DataFrame:
+    """The derived cell table, stored as a decoded one would be."""
+    return cut(mess.run(spark, sf_dir, generator))
+
+
 def _consolidated(spark, sf_dir):
-    cells, files = mess.run(spark, sf_dir, mess.CELLS), mess.run(spark, sf_dir, mess.CELL_FILES)
+    cells, files = _cells(spark, sf_dir, mess.CELLS), mess.run(spark, sf_dir, mess.CELL_FILES)
     return consolidate(cells, files, current_year=YEAR)
 
 
@@ -426,7 +431,7 @@ select file_id, cast(2 + n % 7 + c_custkey as int) as source_row, c_name as part
 from {_C} where n % 6 <> 5 and c_custkey % 10 <> 9
 """)
 def mark_consolidate(spark, sf_dir):
-    cells = mess.run(spark, sf_dir, mess.MARK_CELLS)
+    cells = _cells(spark, sf_dir, mess.MARK_CELLS)
     files = mess.run(spark, sf_dir, mess.CELL_FILES)
     folders = files.select("file_id", filenames.folder_of(F.col("path"), ROOTS).alias("folder"))
     rows = shape.project_delivery(cells, headers.detect_delivery(cells), folders)
@@ -443,7 +448,7 @@ _WHY = (
 select file_id, '{iss.RULE_SKIPPED}' as rule, '{_WHY}' as message from {_N} where n % 6 = 5
 """)
 def diagnose_files(spark, sf_dir):
-    cells, books = mess.run(spark, sf_dir, mess.MARK_CELLS), mess.run(spark, sf_dir, mess.CELL_FILES)
+    cells, books = _cells(spark, sf_dir, mess.MARK_CELLS), mess.run(spark, sf_dir, mess.CELL_FILES)
     hits = headers.header_hits_delivery(cells)
     none = cells.filter("kind = 'unreadable'").select("file_id", F.col("s").alias("read_error"))
     found = workbook_issues(books, headers.choose_delivery_sheet(hits), none, headers.diagnose_delivery(cells, hits))
@@ -455,7 +460,7 @@ select row_number() over (order by n, c_custkey) + 1 as merged_row, c_name as pa
   cast(1 as int) as n_issues from {_C} where n % 6 <> 5 and c_custkey % 10 <> 9
 """)
 def delivery_rows(spark, sf_dir):
-    cells, books = mess.run(spark, sf_dir, mess.MARK_CELLS), mess.run(spark, sf_dir, mess.CELL_FILES)
+    cells, books = _cells(spark, sf_dir, mess.MARK_CELLS), mess.run(spark, sf_dir, mess.CELL_FILES)
     rows, _ = merge_metadata(cells, books, ROOTS, current_year=YEAR)
     return rows.select("merged_row", "participant_name", "birthdate", F.size("issues").alias("n_issues"))
 
