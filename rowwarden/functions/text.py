@@ -111,9 +111,10 @@ def vocab_key(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Strip accents but keep the base letters."""
+    """Strip accents but keep the base letters.  Plain ASCII text, the usual case, is returned as it is."""
     composed, base = fixed.accent_pairs()
-    return F.translate(F.regexp_replace(text, r"[\x{0300}-\x{036F}]", ""), composed, base)
+    stripped = F.translate(F.regexp_replace(text, r"[\x{0300}-\x{036F}]", ""), composed, base)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), stripped).otherwise(text)
 
 
 def normalize_name(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowwarden import fixed
 from rowwarden.functions import text as tx
-from rowwarden.operators.spread import join_by_key, running_offset, salt
+from rowwarden.operators.spread import running_offset, salt
 
 
 def participant_numbers(rows: DataFrame, position: str = "merged_row") -> DataFrame:
@@ -22,7 +22,8 @@ def participant_numbers(rows: DataFrame, position: str = "merged_row") -> DataFr
     numbers = running_offset(firsts, "_first", "_n", "_before").select(
         "_key", (F.col("_before") + 1).cast("int").alias("participant_sequence")
     )
-    return join_by_key(keyed, numbers, ["_key"], "_salt").drop("_key", "_salt")
+    salted = parts.select("_key", "_salt").join(numbers, "_key")
+    return keyed.join(salted, ["_key", "_salt"], "left").drop("_key", "_salt")
 
 
 def _finding_text(issue: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from rowwarden.functions import filenames as fn
 from rowwarden.functions import text as tx
-from rowwarden.operators.spread import join_by_key, salt
 
 _LEADING = 1000
 
@@ -49,9 +48,9 @@ def match_known_names(files: DataFrame, names: DataFrame, key: str, text: str) -
         cut = source.select(
             key, F.explode(_substrings(F.col("_text"), starts, sizes_literal)).alias("_p")
         ).select(key, F.col("_p.piece").alias("known"), F.col("_p.at").alias("_at"))
-        # A common piece of many names must not gather its files in one task.
-        salted = cut.withColumn("_salt", salt(key))
-        hits = join_by_key(salted, names, ["known"], "_salt", how="inner")
+        # Few pieces are names.  The name table is broadcast where AQE measures it small; otherwise AQE splits a piece
+        # that many files share, since the aggregate below shuffles again anyway.
+        hits = cut.join(names, "known")
         score = F.when(F.col("_at") == 1, _LEADING).otherwise(0) + F.length("known")
         best = F.max_by("known", F.struct(score, -F.col("first_seen")))
         return hits.groupBy(key).agg(best.alias("known"), F.max(score).alias("score"))

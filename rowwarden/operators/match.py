@@ -22,6 +22,9 @@ FILE_FIELDS = ("path", "name", "link", "link_existed", "recorded_at", "environme
 # Longest list of names spelt out in a guard's text; longer ones are whole in ``guard_members``.
 NAMES_IN_TEXT = 100
 
+# Slots with at most this many distinct tokens are compared token by token.
+FEW_TOKENS = 32
+
 # --- fixed values: problem and guard texts -------------------------------------------------------------------------
 PROBLEM_NO_FOLDER = "No scanned folder matches this participant."
 PROBLEM_NO_ICF = "No unambiguous consent file for this participant."
@@ -190,19 +193,36 @@ def _deletions(word: Column) -> Column:
 def resolve_by_word(asks: DataFrame, files: DataFrame, preset: Preset) -> DataFrame:
     """For contested slots, how many videos the wanted word fits: (_SLOT, wanted, n_hits, hit_video).
 
-    A word fits a video's token if either contains the other or (fuzzy presets) they are within two edits.  Distinct
-    words and distinct tokens meet only over shared pieces: substrings for containment, deletion forms for edits.
+    A word fits a video's token if either contains the other or (fuzzy presets) they are within two edits.  In slots of
+    few tokens every word simply meets the tokens.  In the others words and tokens meet only over shared pieces:
+    substrings for containment, deletion forms for edits.
     """
+    wants = asks.filter(F.col("wanted") != "").select(*_SLOT, "wanted").distinct()
+    contested = wants.select(*_SLOT).distinct()
     tokens = (
         slot_videos(files).filter(F.col("token") != "").groupBy(*_SLOT, "token")
         .agg(F.count(F.lit(1)).alias("n"), _only().alias("video"))
+        .withColumn("_salt", salt("token"))
     )
-    wants = asks.filter(F.col("wanted") != "").select(*_SLOT, "wanted").distinct()
-    contested = wants.select(*_SLOT).distinct()
-    tokens = join_by_key(
-        tokens.withColumn("_salt", salt("token")), contested, _SLOT, "_salt", how="inner"
-    ).drop("_salt")
+    sizes = tokens.groupBy(*_SLOT).agg(F.count(F.lit(1)).alias("_tokens")).join(contested, _SLOT)
+    sized = cut(join_by_key(tokens, sizes, _SLOT, "_salt", how="inner").drop("_salt"))
+    few, many = sized.filter(F.col("_tokens") <= FEW_TOKENS), sized.filter(F.col("_tokens") > FEW_TOKENS)
+
+    word, token = F.col("wanted"), F.col("token")
+    fits = word.contains(token) | token.contains(word)
+    if preset.fuzzy:
+        fits = fits | within(token, word, 2)
+    salted = wants.withColumn("_salt", salt("wanted"))
+    met = join_by_key(salted, few, _SLOT, "_salt", how="inner").filter(fits).select(*_SLOT, "wanted", "n", "video")
+    hits = met.unionByName(_meet_over_pieces(wants, many, preset))
+    return hits.groupBy(*_SLOT, "wanted").agg(
+        F.sum("n").alias("n_hits"), F.min("video").alias("_video")
+    ).select(*_SLOT, "wanted", "n_hits", F.when(F.col("n_hits") == 1, F.col("_video")).alias("hit_video"))
+
 
+def _meet_over_pieces(wants: DataFrame, tokens: DataFrame, preset: Preset) -> DataFrame:
+    """(_SLOT, wanted, n, video) of fitting tokens, found by equality of pieces only."""
+    wants = wants.join(tokens.select(*_SLOT).distinct(), _SLOT, "left_semi")
     # The word contains the token: cut the words, look the tokens up.
     words = wants.withColumn("_word", F.explode(F.split("wanted", " ")))
     inside = (
@@ -221,23 +241,20 @@ def resolve_by_word(asks: DataFrame, files: DataFrame, preset: Preset) -> DataFr
     contained = inside.unionByName(around).groupBy(*_SLOT, "wanted").agg(
         F.sum("n").alias("n"), F.min("video").alias("video")
     )
-    hits = contained
-    if preset.fuzzy:
-        # Only words not already settled as ambiguous need the edit test.
-        settled = contained.filter(F.col("n") > 1).select(*_SLOT, "wanted")
-        open_words = wants.join(settled, [*_SLOT, "wanted"], "left_anti")
-        near = (
-            open_words.withColumn("_form", F.explode(_deletions(F.col("wanted"))))
-            .join(tokens.withColumn("_form", F.explode(_deletions(F.col("token")))), [*_SLOT, "_form"])
-            .filter(~F.col("wanted").contains(F.col("token")) & ~F.col("token").contains(F.col("wanted")))
-            .dropDuplicates([*_SLOT, "wanted", "token"])
-            .filter(within(F.col("token"), F.col("wanted"), 2))
-            .select(*_SLOT, "wanted", "n", "video")
-        )
-        hits = contained.unionByName(near)
-    return hits.groupBy(*_SLOT, "wanted").agg(
-        F.sum("n").alias("n_hits"), F.min("video").alias("_video")
-    ).select(*_SLOT, "wanted", "n_hits", F.when(F.col("n_hits") == 1, F.col("_video")).alias("hit_video"))
+    if not preset.fuzzy:
+        return contained
+    # Only words not already settled as ambiguous need the edit test.
+    settled = contained.filter(F.col("n") > 1).select(*_SLOT, "wanted")
+    open_words = wants.join(settled, [*_SLOT, "wanted"], "left_anti")
+    near = (
+        open_words.withColumn("_form", F.explode(_deletions(F.col("wanted"))))
+        .join(tokens.withColumn("_form", F.explode(_deletions(F.col("token")))), [*_SLOT, "_form"])
+        .filter(~F.col("wanted").contains(F.col("token")) & ~F.col("token").contains(F.col("wanted")))
+        .dropDuplicates([*_SLOT, "wanted", "token"])
+        .filter(within(F.col("token"), F.col("wanted"), 2))
+        .select(*_SLOT, "wanted", "n", "video")
+    )
+    return contained.unionByName(near)
 
 
 # ---- the plan -------------------------------------------------------------------------------------------------------

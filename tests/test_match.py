@@ -102,7 +102,9 @@ def test_writes_touch_only_link_columns(scenario):
     assert sorted(r["merged_row"] for r in cellwise.collect()) == [2, 3, 4]
 
 
-def test_word_fits_like_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_word_fits_like_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(match, "FEW_TOKENS", few)
     rnd = random.Random(5)
     def word(n):
         return "".join(rnd.choice("abcd") for _ in range(n))
