@@ -388,32 +388,34 @@ def ambiguous_slots(plan: DataFrame) -> DataFrame:
     )
 
 
-def ambiguous_members(files: DataFrame, slots: DataFrame) -> DataFrame:
-    """Every candidate video behind an ambiguous-slot guard."""
-    classed = slots.withColumns({
+def _classed(slots: DataFrame) -> DataFrame:
+    return slots.withColumns({
         "env_class": wanted_environment_class(F.col("want_env")),
         "expr_class": wanted_expression_class(F.col("want_expr")),
     })
-    order = _order(files)
-    # Slots of one class (spellings of the same wish) travel together, so the lookup has one row per class.
-    lookup = classed.groupBy(*_SLOT).agg(F.collect_set(F.struct("want_env", "want_expr", "who", "n")).alias("_slots"))
-    videos = slot_videos(files).select(*_SLOT, "name", *order).withColumn("_salt", salt("path"))
-    joined = join_by_key(videos, lookup, _SLOT, "_salt", how="inner")
-    return joined.select("name_key", "name", *order, F.explode("_slots").alias("_s")).select(
-        "name_key", "name", *order, "_s.*"
-    )
+
+
+def ambiguous_members(files: DataFrame, slots: DataFrame) -> DataFrame:
+    """Every candidate video of the contested slot classes, once per class: who, n, _SLOT, name, order columns."""
+    classes = _classed(slots).groupBy(*_SLOT).agg(F.min("who").alias("who"), F.max("n").alias("n"))
+    videos = slot_videos(files).select(*_SLOT, "name", *_order(files)).withColumn("_salt", salt("path"))
+    return join_by_key(videos, classes, _SLOT, "_salt", how="inner").drop("_salt")
 
 
 def guard_members(files: DataFrame, rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(kind, who, name, path): every file named by a guard, however many there are."""
-    groups = group_files(files)
+    """(kind, who, env_class, expr_class, name, path): every file named by a guard, however many there are.
+
+    Candidates of a contested slot are listed once per class, not once per spelling of the wish.
+    """
+    groups, none = group_files(files), F.lit(None).cast("string")
     duplicates = duplicate_members(files, groups, rows).select(
-        F.concat(F.lit("duplicate-"), F.col("kind")).alias("kind"), "who", "name", "path"
+        F.concat(F.lit("duplicate-"), F.col("kind")).alias("kind"), "who", none.alias("env_class"),
+        none.alias("expr_class"), "name", "path",
     )
-    slots = ambiguous_members(files, ambiguous_slots(plan)).select(
-        F.lit("ambiguous-slot").alias("kind"), F.concat_ws(" · ", "who", "want_env").alias("who"), "name", "path"
+    videos = ambiguous_members(files, ambiguous_slots(plan))
+    return duplicates.unionByName(
+        videos.select(F.lit("ambiguous-slot").alias("kind"), "who", "env_class", "expr_class", "name", "path")
     )
-    return duplicates.unionByName(slots)
 
 
 def _named(template: str, n: Column, names: Column, *rest: Column) -> Column:
@@ -445,11 +447,8 @@ def find_guards(files: DataFrame, rows: DataFrame, plan: DataFrame) -> DataFrame
             papers.filter(F.col("kind") == paper).select(*_guard(f"duplicate-{paper}", F.col("who"), detail))
         )
     slots = ambiguous_slots(plan)
-    keys = ["name_key", "want_env", "want_expr"]
-    names = _listed(
-        ambiguous_members(files, slots.filter(F.col("n") <= NAMES_IN_TEXT)), keys, order, " and "
-    )
-    contested = slots.join(names, keys, "left")
+    names = _listed(ambiguous_members(files, slots.filter(F.col("n") <= NAMES_IN_TEXT)), _SLOT, order, " and ")
+    contested = _classed(slots).join(names, _SLOT, "left")
     detail = _named(DETAIL_AMBIGUOUS, F.col("n"), F.col("names"), F.col("want_expr"))
     who = F.concat(F.col("who"), F.lit(" · "), F.col("want_env"))
     return found.unionByName(contested.select(*_guard("ambiguous-slot", who, detail)))

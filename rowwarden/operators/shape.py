@@ -16,6 +16,20 @@ from rowwarden.operators.layouts import CANONICAL, DELIVERY
 from rowwarden.operators.spread import block_of
 
 _ROW = ["file_id", "sheet", "_block", "row"]
+# What is known of a file and may travel with its mapping, so that rows need no join by file afterwards.
+_FILE = ("file_ix", "file", "folder")
+
+
+def with_file(headers: DataFrame, files: DataFrame) -> DataFrame:
+    """Add file_ix, file (the name) and, where given, folder to the one mapping row of each file."""
+    known = files.select(
+        "file_id", "file_ix", F.col("name").alias("file"), *[c for c in files.columns if c == "folder"]
+    )
+    return headers.join(known, "file_id")
+
+
+def _travelling(headers: DataFrame) -> list[str]:
+    return [c for c in _FILE if c in headers.columns]
 
 
 def _data_cells(cells: DataFrame, headers: DataFrame) -> DataFrame:
@@ -43,16 +57,17 @@ def _typed_birthdate(index: int) -> list[Column]:
 
 def project_canonical(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows of the 21-column layout with file_id, sheet, source_row; rows with no mapped value are dropped."""
-    kept = headers.select("file_id", "sheet", "header_row", "cols")
+    extra = _travelling(headers)
+    kept = headers.select("file_id", "sheet", "header_row", "cols", *extra)
     placed = _data_cells(cells, kept).filter(F.col("_at") >= 0)
     fields = CANONICAL.fields
-    rows = placed.groupBy(*_ROW).agg(
+    rows = placed.groupBy(*_ROW, *extra).agg(
         F.max(~tx.is_blank(F.col("_text"))).alias("_any"),
         *[_pick(i, F.col("_text")).alias(f) for i, f in enumerate(fields)],
         *_typed_birthdate(fields.index("birthdate")),
     )
     return rows.filter("_any").select(
-        "file_id", "sheet", F.col("row").alias("source_row"), *fields, "birthdate_number", "birthdate_ts"
+        "file_id", "sheet", F.col("row").alias("source_row"), *extra, *fields, "birthdate_number", "birthdate_ts"
     )
 
 
@@ -66,13 +81,16 @@ def is_tick(text: Column) -> Column:
     return F.lower(tx.trim_ws(text)) == "x"
 
 
-def project_delivery(cells: DataFrame, headers: DataFrame, folders: DataFrame, prefer: str = "folder") -> DataFrame:
+def project_delivery(cells: DataFrame, headers: DataFrame, prefer: str = "folder") -> DataFrame:
     """Rows of the 30-column layout with file_id, sheet, source_row; rows without a participant name are dropped.
 
-    ``folders`` has (file_id, folder).  ``prefer`` says what names the row first: the folder or the participant.
+    ``headers`` may carry the ``folder`` of the file.  ``prefer`` says what names the row first: the folder or the
+    participant.
     """
     fields = DELIVERY.fields
-    placed = _data_cells(cells, headers.select("file_id", "sheet", "header_row", "cols", "attrs")).withColumn(
+    extra = _travelling(headers)
+    kept = headers.select("file_id", "sheet", "header_row", "cols", "attrs", *extra)
+    placed = _data_cells(cells, kept).withColumn(
         "_term", F.try_element_at("attrs", F.col("col"))
     ).filter((F.col("_at") >= 0) | F.col("_term").isNotNull())
     sources = [f for f in fields if f in fixed.DELIVERY_SPELLINGS]
@@ -84,7 +102,7 @@ def project_delivery(cells: DataFrame, headers: DataFrame, folders: DataFrame, p
         ticked = F.col("_term").isin(*indexes) & is_tick(F.col("_text"))
         mark = F.struct(F.col("col"), F.get(names, F.col("_term")).alias("term"))
         marks.append(F.collect_list(F.when(ticked, mark)).alias("_m_" + field))
-    rows = placed.groupBy(*_ROW).agg(
+    rows = placed.groupBy(*_ROW, *extra).agg(
         *[_pick(fields.index(f), F.col("_text")).alias(f) for f in sources],
         *_typed_birthdate(fields.index("birthdate")),
         *marks,
@@ -92,16 +110,16 @@ def project_delivery(cells: DataFrame, headers: DataFrame, folders: DataFrame, p
     for field in first:
         rows = rows.withColumn(field, join_marks(F.col("_m_" + field)))
     anything = F.coalesce(*[F.col(f) for f in first])
-    folder = tx.null_if_empty(F.col("folder"))
+    folder = tx.null_if_empty(F.col("folder")) if "folder" in extra else F.lit(None).cast("string")
     name = F.col("participant_name")
-    rows = rows.join(folders.select("file_id", "folder"), "file_id", "left").withColumns({
+    rows = rows.withColumns({
         "none_apply": F.when(anything.isNull(), fixed.NONE_APPLY_TEXT),
         "folder_name": F.coalesce(folder, name) if prefer == "folder" else F.coalesce(name, folder),
     })
     absent = [f for f in fields if f not in rows.columns]
     rows = rows.withColumns({f: F.lit(None).cast("string") for f in absent})
     return rows.select(
-        "file_id", "sheet", F.col("row").alias("source_row"),
+        "file_id", "sheet", F.col("row").alias("source_row"), *[c for c in extra if c != "folder"],
         *[tx.null_if_empty(F.col(f)).alias(f) for f in fields], "birthdate_number", "birthdate_ts",
     )
 
@@ -119,12 +137,13 @@ def read_override(cells: DataFrame, sheets: DataFrame | None = None) -> DataFram
     numbered = chosen.withColumns({
         "header_row": F.lit(1), "cols": F.array(*[F.lit(i + 1) for i in range(len(fields))]),
     })
+    extra = _travelling(chosen)
     placed = _data_cells(cells, numbered).filter(F.col("_at") >= 0)
-    rows = placed.groupBy(*_ROW).agg(
+    rows = placed.groupBy(*_ROW, *extra).agg(
         F.max(~tx.is_blank(F.col("_text"))).alias("_any"),
         *[_pick(i, F.col("_text")).alias(f) for i, f in enumerate(fields)],
         *_typed_birthdate(fields.index("birthdate")),
     )
     return rows.filter("_any").select(
-        "file_id", "sheet", F.col("row").alias("source_row"), *fields, "birthdate_number", "birthdate_ts"
+        "file_id", "sheet", F.col("row").alias("source_row"), *extra, *fields, "birthdate_number", "birthdate_ts"
     )

@@ -12,7 +12,7 @@ from rowwarden.operators.headers import detect_canonical, missing_headers
 from rowwarden.operators.layouts import CANONICAL
 from rowwarden.operators.reports import file_reports
 from rowwarden.operators.rules import apply_rules
-from rowwarden.operators.shape import project_canonical
+from rowwarden.operators.shape import project_canonical, with_file
 from rowwarden.operators.spread import number_rows
 from rowwarden.session import cut
 from rowwarden.sources.workbooks import unreadable_files
@@ -28,14 +28,6 @@ class Consolidated:
     headers: DataFrame
 
 
-def with_lineage(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach file_ix and file (the name) by file_id.
-
-    Runs after the rows are split by blocks of a file; AQE splits the join where one file is large.
-    """
-    return rows.join(files.select("file_id", "file_ix", F.col("name").alias("file")), "file_id")
-
-
 def file_issues(files: DataFrame, headers: DataFrame, unreadable: DataFrame) -> DataFrame:
     """Issues about files as a whole: unreadable, no header row, missing and unrecognised columns."""
     seen = files.join(unreadable, "file_id", "left").join(missing_headers(headers), "file_id", "left")
@@ -86,7 +78,7 @@ def consolidate(
     """
     unreadable = unreadable_files(cells)
     headers = cut(detect_canonical(cells).join(unreadable.select("file_id"), "file_id", "left_anti"))
-    shaped = cut(with_lineage(project_canonical(cells, headers), files))
+    shaped = cut(project_canonical(cells, with_file(headers, files)))
     numbered = number_rows(shaped, "file_ix", "source_row", "merged_row", start=FIRST_DATA_ROW)
     rows = apply_rules(
         numbered, CANONICAL, current_year=current_year, day_first=day_first, strict_reference=strict_reference

@@ -14,13 +14,13 @@ from rowwarden.functions.filenames import folder_of
 from rowwarden.operators import issues as iss
 from rowwarden.operators import match
 from rowwarden.operators.annotate import annotate
-from rowwarden.operators.headers import diagnose_delivery, choose_delivery_sheet, header_hits_delivery
+from rowwarden.operators.headers import choose_delivery_sheet, diagnose_delivery, header_hits_delivery
 from rowwarden.operators.identity import known_names, participant_of_files
 from rowwarden.operators.layouts import DELIVERY
 from rowwarden.operators.rules import apply_rules
-from rowwarden.operators.shape import project_delivery, read_override
+from rowwarden.operators.shape import choose_override_sheet, project_delivery, read_override, with_file
 from rowwarden.operators.spread import number_rows
-from rowwarden.plans.consolidate import FIRST_DATA_ROW, with_lineage
+from rowwarden.plans.consolidate import FIRST_DATA_ROW
 from rowwarden.session import cut
 from rowwarden.sources.listing import attach_links, split_listing
 from rowwarden.sources.workbooks import unreadable_files
@@ -64,15 +64,15 @@ def merge_metadata(
     """
     unreadable = unreadable_files(cells)
     if override:
-        shaped, found = read_override(cells), None
+        shaped, found = read_override(cells, with_file(choose_override_sheet(cells), books)), None
     else:
         hits = cut(header_hits_delivery(cells))
         headers = choose_delivery_sheet(hits).join(unreadable.select("file_id"), "file_id", "left_anti")
-        folders = books.select("file_id", folder_of(F.col("path"), roots).alias("folder"))
-        shaped = project_delivery(cells, headers, folders, prefer)
+        placed = with_file(headers, books.withColumn("folder", folder_of(F.col("path"), roots)))
+        shaped = project_delivery(cells, placed, prefer)
         found = workbook_issues(books, headers, unreadable, diagnose_delivery(cells, hits))
     # Written once, so that the cells are shuffled once: numbering counts the rows before it numbers them.
-    shaped = cut(with_lineage(shaped, books))
+    shaped = cut(shaped)
     numbered = number_rows(shaped, "file_ix", "source_row", "merged_row", start=FIRST_DATA_ROW)
     rows = apply_rules(
         numbered, DELIVERY, current_year=current_year, day_first=day_first, strict_reference=strict_reference

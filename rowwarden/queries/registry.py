@@ -433,8 +433,8 @@ from {_C} where n % 6 <> 5 and c_custkey % 10 <> 9
 def mark_consolidate(spark, sf_dir):
     cells = _cells(spark, sf_dir, mess.MARK_CELLS)
     files = mess.run(spark, sf_dir, mess.CELL_FILES)
-    folders = files.select("file_id", filenames.folder_of(F.col("path"), ROOTS).alias("folder"))
-    rows = shape.project_delivery(cells, headers.detect_delivery(cells), folders)
+    books = files.withColumn("folder", filenames.folder_of(F.col("path"), ROOTS))
+    rows = shape.project_delivery(cells, shape.with_file(headers.detect_delivery(cells), books))
     return rows.select("file_id", "source_row", "participant_name", "folder_name", *_TICK_COLUMNS, "none_apply")
 
 

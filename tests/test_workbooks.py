@@ -70,8 +70,7 @@ def test_metadata_headers(spark, tmp_path, case):
     found = headers.detect_delivery(cells)
     head = found.first()
     assert (head["sheet"], head["header_row"], head["hits"]) == ("Data", header_row, matches)
-    folders = found.select("file_id", F.lit("").alias("folder"))
-    row = shape.project_delivery(cells, found, folders).first()
+    row = shape.project_delivery(cells, found.withColumn("folder", F.lit(""))).first()
     assert row["participant_name"] == "Iris" and row["folder_name"] == "Iris"
     if case == "plain":
         assert (row["head_and_hair"], row["facial_features"], row["none_apply"]) == ("Glasses", "Mustache", None)
