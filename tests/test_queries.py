@@ -16,7 +16,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_agrees_with_its_sql(spark, con, name):
     assert name in entry.oracle_sql()
     assert differences(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) == ""
