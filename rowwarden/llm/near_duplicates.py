@@ -205,23 +205,44 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     found = found.unionByName(staged(confirm(more, docs)))
     members = components(found)
 
-    rest = across(in_regions(met, deep, sizes, classes, members), members).join(every, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
+    rest = in_regions(met, deep, sizes, classes, members, docs).join(every, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
     found = found.unionByName(staged(confirm(rest, docs)))
     return components(found)
 
 
-def in_regions(met: DataFrame, deep: DataFrame, sizes: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a region and may reach the threshold by size and by bits."""
+def set_arrays(docs: DataFrame) -> DataFrame:
+    """(id, shingles) of (id, text): 32 bits of each shingle hash."""
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in shingle_sets(*utf8(batch.column(1)))]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        values = np.concatenate(sets) if sets else np.zeros(0, np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["id", "shingles"])
+
+    return map_arrow(docs, step, "id long, shingles array<int>")
+
+
+def in_regions(met: DataFrame, deep: DataFrame, sizes: DataFrame, classes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of classes of different components that share a region and are near by size, bits and 32-bit shingles.
+
+    All three are conditions of the join, so only what still has to be confirmed leaves it, however large a region.
+    """
     small = met.join(sizes.filter(F.col("n") > CROWD), "key", "left_anti")
     rows = small.unionByName(deep).select("key", "id").distinct() \
         .join(members.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    rows = staged(rows.join(mixed, "key", "left_semi").join(classes.select("id", "n_shingles", "bits_a", "bits_b"), "id"))
-    one, two = rows.alias("p"), rows.alias("q")
+    rows = staged(rows.join(mixed, "key", "left_semi"))
+    ids = rows.select("id").distinct()
+    known = staged(set_arrays(docs.join(ids, "id", "left_semi")).join(classes.select("id", "n_shingles", "bits_a", "bits_b"), "id"))
+    full = rows.join(known, "id")
+    one, two = full.alias("p"), full.alias("q")
     near = (F.bit_count(F.col("p.bits_a").bitwiseXOR(F.col("q.bits_a"))) + F.bit_count(F.col("p.bits_b").bitwiseXOR(F.col("q.bits_b")))
             <= HASHES - LEAST_BITS)
     fits = (100 * F.col("p.n_shingles") >= PERCENT * F.col("q.n_shingles")) & (100 * F.col("q.n_shingles") >= PERCENT * F.col("p.n_shingles"))
-    return one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component")) & fits & near) \
+    # Two of a document's shingles may share their 32 bits, so one percent is left to the confirmation.
+    both = F.size(F.array_intersect("p.shingles", "q.shingles"))
+    shared = 100 * both >= (PERCENT - 1) * (F.col("p.n_shingles") + F.col("q.n_shingles") - both)
+    return one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
+                    & F.when(fits & near, shared).otherwise(False)) \
         .select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
 
 
