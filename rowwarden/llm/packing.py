@@ -54,40 +54,47 @@ class WordEncoder:
         self.bare = Tokenizer.from_str(json.dumps(spec))
         self.word_level = bool(suffix)
         self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def _encode_new(self, words: list[str]) -> dict[str, bytes]:
         plain, rest = [], []
         for word in words:
             parts = _PARTS.fullmatch(word) if self.word_level else None
-            (rest if parts is None or "<|" in word else plain).append((word, parts))
-        found = {}
-        if plain:
-            units = [u for _, m in plain for u in (m[1].lower(), m[2]) if u]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(units):  # a unit without a closing piece: not this kind of vocabulary
-                rest += plain
+            if parts is None or "<|" in word:
+                rest.append(word)
             else:
-                last = ends[np.cumsum([1 + bool(m[2]) for _, m in plain]) - 1].tolist()
-                first = 0
-                for (word, _), to in zip(plain, last, strict=True):
-                    found[word] = ids[first:to].tobytes()
-                    first = to
+                plain.append((word, parts[1].lower(), parts[2]))
+        # Words differ in case and signs more than in letters, so letters and signs are encoded and remembered apart.
+        units = self.units
+        fresh = list({u for _, *pair in plain for u in pair if u and u not in units})
+        new = {}
+        if fresh:
+            ids = np.array(self.bare.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(fresh):
+                raise ValueError("the vocabulary doesn't close every word with a piece of its own")
+            raw = ids.tobytes()
+            new = {u: raw[x:y] for u, x, y in zip(fresh, [0, *ends], ends, strict=False)}
+        if len(units) < CACHED_WORDS:
+            units.update(new)
+            new = {}
+        get = (lambda u: units.get(u) or new[u]) if new else units.__getitem__
+        found = {word: get(x) + get(y) if y else get(x) for word, x, y in plain}
         if rest:
-            own = self.full.encode_batch_fast([w for w, _ in rest], add_special_tokens=False)
-            found |= {w: np.array(e.ids, np.uint32).tobytes() for (w, _), e in zip(rest, own, strict=True)}
+            own = self.full.encode_batch_fast(rest, add_special_tokens=False)
+            found |= {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(rest, own, strict=True)}
         return found
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [_BLANK.split(t) if not t.isascii() else t.split() for t in texts]
         known = self.known
-        fresh = list({w for own in split for w in own if w not in known})
-        new = self._encode_new(fresh)
+        new = self._encode_new([w for w in set().union(*split) if w not in known])
         if len(known) < CACHED_WORDS:
             known.update(new)
             get = known.__getitem__
         else:
-            get = lambda w: known.get(w) or new.get(w, b"")
+            new.setdefault("", b"")
+            get = lambda w: known.get(w) or new.get(w) or b""
         for own in split:
             yield np.frombuffer(b"".join(map(get, own)), np.uint32)
 
@@ -212,9 +219,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
         waiting: list[tuple] = []
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for at in range(0, len(names), 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                for doc, own in zip(names[at:at + 256], encoder.encode(texts), strict=True):
+            for at in range(0, len(names), 1024):
+                texts = [t or "" for t in batch.column(1).slice(at, 1024).to_pylist()]
+                for doc, own in zip(names[at:at + 1024], encoder.encode(texts), strict=True):
                     ids = np.concatenate([own, end])
                     whole = len(ids) // window * window
                     for start in range(0, whole, window):
