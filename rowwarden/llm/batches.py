@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +66,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+_BLANK = re.compile(f"[{SPACES}]+")
+
+
+def split_words(text: str) -> list[str]:
+    """Cut at ASCII white space; str.split alone would cut at other signs too.  Empty words may stand at the ends."""
+    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return text.split()
+    return _BLANK.split(text)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -18,13 +18,13 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from rowwarden.llm.batches import split_words
+
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 K1, B = 1.2, 0.75
 #: Words whose lower-casing and normal form are the same in every library: Latin letters of one code point.
 _PLAIN = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_SIGNS = regex.compile(r"[!-&(-/:-@\[-`{-~]+")
 _PARTS = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_BLANK = regex.compile(r"[ \t\n\v\f\r]+")
 CACHED_WORDS = 400_000
 _ready: dict[str, "WordEncoder"] = {}
 
@@ -86,7 +86,7 @@ class WordEncoder:
         return found
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [_BLANK.split(t) if not t.isascii() else t.split() for t in texts]
+        split = [split_words(t) for t in texts]
         known = self.known
         new = self._encode_new([w for w in set().union(*split) if w not in known])
         if len(known) < CACHED_WORDS:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rowwarden.llm.batches import map_arrow
+from rowwarden.llm.batches import map_arrow, split_words
 
 END = "\n"  # closes a word; no byte stands for it
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -110,7 +110,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         for text in batch.column(1).to_pylist():
             text = text or ""
             tokens = unknown = 0
-            words = text.split()
+            words = [w for w in split_words(text) if w]
             for word in words:
                 found = known.get(word)
                 if found is None:
