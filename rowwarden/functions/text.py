@@ -125,7 +125,10 @@ def normalize_name(text: Column) -> Column:
 def number_text(number: Column) -> Column:
     """A double as people type it: 1992, not 1992.0, and never in scientific notation."""
     whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    plain = F.regexp_replace(number.cast("decimal(38,12)").cast("string"), r"\.?0+\z", "")
+    # The shortest digits that give the number back, moved behind the point; 37 places hold them for small numbers.
+    digits = number.cast("string")
+    exact = F.when(F.abs(number) < 1, digits.cast("decimal(38,37)").cast("string")).otherwise(digits.cast("decimal(38,12)").cast("string"))
+    plain = F.regexp_replace(exact, r"\.?0+\z", "")
     return (
         F.when(whole, number.cast("bigint").cast("string"))
         .when(F.abs(number).between(1e-3, 9999999.0), number.cast("string"))

@@ -35,8 +35,8 @@ def match_known_names(files: DataFrame, names: DataFrame, key: str, text: str) -
     length of some known name are looked up by equality, so files are never paired with names they do not contain.
     Prefixes are tried first and settle nearly all files; only the rest is cut at every position.
     """
-    # Lengths of known names, at most one row of as many numbers as a file name has characters.
-    longest = 255
+    # Lengths of known names: at most one row of as many numbers as the longest text has characters.
+    longest = files.agg(F.max(F.length(text)).alias("n")).first()["n"] or 0
     sizes = (
         names.filter(F.length("known") <= longest)
         .agg(F.array_sort(F.collect_set(F.length("known"))).alias("sizes")).first()["sizes"]

@@ -62,9 +62,10 @@ def split_listing(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def expand_folders(requests: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pasted locations (``location``) to workbooks: the file itself, or the workbooks directly inside the folder.
 
-    Returns (workbooks with their ``location``, errors with ``location`` and ``message``).
+    Returns (workbooks with their ``location``, errors with ``location`` and ``message``).  A place that is pasted more
+    than once, with or without closing slashes, is expanded once, under the smallest spelling.
     """
-    asked = requests.select("location", F.regexp_replace("location", r"/+\z", "").alias("_at"))
+    asked = requests.select("location", F.regexp_replace("location", r"/+\z", "").alias("_at")).groupBy("_at").agg(F.min("location").alias("location"))
     books = listing.filter(fn.is_accepted_upload(F.col("name")))
     parent = F.expr("substring(path, 1, length(path) - length(name) - 1)")
     direct = books.withColumn("_at", F.col("path")).unionByName(books.withColumn("_at", parent))
@@ -81,7 +82,8 @@ def expand_folders(requests: DataFrame, listing: DataFrame) -> tuple[DataFrame,
 def archive_names(files: DataFrame) -> DataFrame:
     """Add ``archive_name``: the second ``a.xlsx`` in listing order becomes ``a (1).xlsx``."""
     ranked = ordinal_within(files, ["name"], "file_ix", "_seen")
-    stem, ext = F.regexp_extract("name", r"(?s)^(.*)(\.[^.]*)\z", 1), F.regexp_extract("name", r"(\.[^.]*)\z", 1)
+    ext = F.regexp_extract("name", r"(\.[^.]*)\z", 1)  # empty where there is no dot
+    stem = F.expr("substring(name, 1, length(name) - length(regexp_extract(name, '([.][^.]*)$', 1)))")
     numbered = F.concat(stem, F.lit(" ("), F.col("_seen").cast("string"), F.lit(")"), ext)
     return ranked.withColumn("archive_name", F.when(F.col("_seen") > 0, numbered).otherwise(F.col("name"))).drop("_seen")
 

@@ -159,7 +159,7 @@ def read_workbook_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every .xlsx/.xlsm under ``folder``: path, modificationTime, length, content."""
     return (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{xlsx,xlsm,XLSX,XLSM}")
+        .option("pathGlobFilter", "*.[xX][lL][sS][xXmM]")
         .option("recursiveFileLookup", "true")
         .load(folder)
     )

@@ -45,6 +45,7 @@ def test_keys_and_names(values):
 
 def test_numbers_and_letters(values, spark):
     cases = {1992.0: "1992", 0.5: "0.5", 12345678.5: "12345678.5", -3.0: "-3", 0.0001: "0.0001"}
+    cases |= {1.23456789e-5: "0.0000123456789", 1e-13: "0.0000000000001"}
     assert values(list(cases), tx.number_text(X), "double") == list(cases.values())
     columns = [0, 25, 26, 51, 52, 701, 702, 16383]
     assert values(columns, tx.column_letter(X), "int") == [fixed.column_letter(c) for c in columns]
