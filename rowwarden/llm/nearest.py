@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 LINES = 48            # projections
 THRESHOLD = 0.5       # share of the lines on which a vector must collide to be verified
-LEAST_SHARE = 0.05    # of a block's vectors, verified for a query before its windows stop growing
+LEAST_SHARE = 0.45    # of a block's vectors, verified for a query before its windows stop growing
 LEAST_VERIFIED = 64
 FOUND = "query_id long, vec_id long, score double"
 
