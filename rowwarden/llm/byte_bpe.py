@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rowwarden.llm.batches import utf8
+from rowwarden.llm.token_counts import AS_CHAR
 
 CHUNK_BITS = 9          # a cut every 512 bytes on average
 BATCH_BYTES = 2 << 20   # texts encoded at once
 CACHE_BYTES = 24 << 20  # of each of two generations of encoded chunks
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
+AS_BYTE = {chr(c): b for b, c in AS_CHAR.items()}
 _ready: dict[str, tuple] = {}
 
 
@@ -63,6 +65,12 @@ def pieces(data: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True))
 
 
+def token_bytes(token: str) -> bytes:
+    """The bytes a byte-level token stands for; one with a character that stands for no byte is taken as it is."""
+    own = [AS_BYTE.get(c) for c in token]
+    return token.encode() if None in own else bytes(own)
+
+
 class ChunkCache:
     """Encoded chunks: number of ids, the ids as text, the decoded bytes (None where they equal the chunk).
 
@@ -71,7 +79,9 @@ class ChunkCache:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
-        self.names = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.names = [str(i) for i in range(size)]
+        self.bytes = [token_bytes(self.tokenizer.id_to_token(i) or "") for i in range(size)]
         self.young: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
         self.size = 0
@@ -86,10 +96,10 @@ class ChunkCache:
                 found[chunk] = hit
                 self._keep(chunk, hit)
         encoded = self.tokenizer.encode_batch_fast([c.decode() for c in missing], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for chunk, own, text in zip(missing, ids, texts, strict=True):
-            back = text.encode()
+        for chunk, own in zip(missing, [e.ids for e in encoded], strict=True):
+            back = b"".join(map(self.bytes.__getitem__, own))
+            if back != chunk:  # not the text itself: the library says what it decodes to
+                back = self.tokenizer.decode(own, skip_special_tokens=False).encode()
             found[chunk] = hit = (len(own), ",".join(map(self.names.__getitem__, own)).encode(), None if back == chunk else back)
             self._keep(chunk, hit)
         return found

@@ -82,6 +82,8 @@ def test_byte_bpe(docs, empty):
         want = [len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), tokenizer.decode(ids, skip_special_tokens=False)))]
         assert list(found[i])[1:] == want
     assert byte_bpe.encode_documents(empty, path).count() == 0
+    own = byte_bpe.ChunkCache(path).bytes
+    assert [x.decode("utf-8", "replace") for x in own] == tokenizer.decode_batch([[i] for i in range(len(own))], skip_special_tokens=False)
 
 
 def test_packing(docs, empty):
