@@ -184,6 +184,12 @@ def across(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def widened(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The components once links (a, b) join some of them: the stars that are known stand for all links so far."""
+    known = members.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return components(known.unionByName(found))
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(id, component) of all classes that link to another, from (id, text) and (id, n_shingles, bits, signature)."""
     def held(trees: DataFrame) -> DataFrame:
@@ -197,17 +203,14 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     nearest = adjacent.groupBy("id").agg(F.max(F.struct("common", F.col("other").alias("o"))).alias("best"))
     first = nearest.select(*_ordered(F.col("id"), F.col("best.o"))).distinct()
-    found = staged(confirm(first, docs))
-    members = components(found)
+    members = components(staged(confirm(first, docs)))
 
     every = adjacent.filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     more = across(every, members).join(first, ["a", "b"], "left_anti")
-    found = found.unionByName(staged(confirm(more, docs)))
-    members = components(found)
+    members = widened(members, staged(confirm(more, docs)))
 
     rest = in_regions(met, deep, sizes, classes, members, docs).join(every, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
-    found = found.unionByName(staged(confirm(rest, docs)))
-    return components(found)
+    return widened(members, staged(confirm(rest, docs)))
 
 
 def set_arrays(docs: DataFrame) -> DataFrame:
