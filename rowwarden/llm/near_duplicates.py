@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowwarden.llm.batches import map_arrow, mix, staged, utf8, word_hashes
-from rowwarden.llm.components import components
+from rowwarden.llm.components import roots
 
 SHINGLE = 5
 PERCENT = 85          # of the union that two sets share
@@ -156,7 +156,10 @@ def neighbours(trees: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of ids of ``docs`` (id, text), the ones whose full shingle sets reach the threshold."""
+    """Of pairs (a, b, ca, cb) of ids of ``docs`` (id, text), the ones whose full shingle sets reach the threshold.
+
+    Returned are (a, b): the components ca and cb that each such pair joins.
+    """
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(batch.num_rows, bool)
         for at in range(0, batch.num_rows, 512):
@@ -165,11 +168,11 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for i, (x, y) in enumerate(zip(one, two, strict=True)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[at + i] = both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
-        return batch.select(["a", "b"]).filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
     first = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     second = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return map_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b"), step, "a long, b long")
+    return map_arrow(pairs.join(first, "a").join(second, "b").select("ca", "cb", "text_a", "text_b"), step, "a long, b long")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -177,21 +180,20 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 
 
 def across(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs that ``members`` (id, component) has not put in one component."""
+    """(a, b, ca, cb): the pairs that ``members`` (id, component) has not put in one component, with their components."""
     one = members.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     two = members.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-    joined = pairs.join(one, "a", "left").join(two, "b", "left")
-    return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter("ca != cb").select("a", "b", "ca", "cb")
 
 
 def widened(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The components once links (a, b) join some of them: the stars that are known stand for all links so far."""
-    known = members.filter("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return components(known.unionByName(found))
+    """``members`` once links (a, b) between components join some of them: only those components are searched."""
+    moved = roots(found).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    return staged(members.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, component) of all classes that link to another, from (id, text) and (id, n_shingles, bits, signature)."""
+    """(id, component) of all classes, from (id, text) and (id, n_shingles, bits, signature)."""
     def held(trees: DataFrame) -> DataFrame:
         return staged(neighbours(trees))
 
@@ -201,16 +203,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     deep = held(forest(classes.join(crowded, "id", "left_semi"), CROWDED))
     adjacent = met.unionByName(deep).filter("common >= 0 and id != other")
 
+    members = classes.select("id", F.col("id").alias("component")).distinct()
     nearest = adjacent.groupBy("id").agg(F.max(F.struct("common", F.col("other").alias("o"))).alias("best"))
-    first = nearest.select(*_ordered(F.col("id"), F.col("best.o"))).distinct()
-    members = components(staged(confirm(first, docs)))
+    first = staged(nearest.select(*_ordered(F.col("id"), F.col("best.o"))).distinct())
+    members = widened(members, confirm(first.withColumns({"ca": F.col("a"), "cb": F.col("b")}), docs))
 
     every = adjacent.filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    more = across(every, members).join(first, ["a", "b"], "left_anti")
-    members = widened(members, staged(confirm(more, docs)))
+    more = across(every.join(first, ["a", "b"], "left_anti"), members)
+    members = widened(members, confirm(more, docs))
 
-    rest = in_regions(met, deep, sizes, classes, members, docs).join(every, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti")
-    return widened(members, staged(confirm(rest, docs)))
+    # What the rounds before refused comes here again only where it lies just below the threshold.
+    return widened(members, confirm(across(in_regions(met, deep, sizes, classes, members, docs), members), docs))
 
 
 def set_arrays(docs: DataFrame) -> DataFrame:
@@ -230,8 +233,7 @@ def in_regions(met: DataFrame, deep: DataFrame, sizes: DataFrame, classes: DataF
     All three are conditions of the join, so only what still has to be confirmed leaves it, however large a region.
     """
     small = met.join(sizes.filter(F.col("n") > CROWD), "key", "left_anti")
-    rows = small.unionByName(deep).select("key", "id").distinct() \
-        .join(members.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = small.unionByName(deep).select("key", "id").distinct().join(members, "id")
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     rows = staged(rows.join(mixed, "key", "left_semi"))
     ids = rows.select("id").distinct()
