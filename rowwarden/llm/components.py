@@ -69,7 +69,7 @@ def roots(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b) that is not the smallest it is connected with.  No links, no rows."""
     stars = staged(contracted(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v")))
     while not _all_stars(stars):
-        stars = staged(_small_star(_large_star(stars)))
+        stars = staged(contracted(_small_star(_large_star(stars))))
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 

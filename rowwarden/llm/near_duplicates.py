@@ -231,24 +231,27 @@ def in_regions(met: DataFrame, deep: DataFrame, sizes: DataFrame, classes: DataF
     """Pairs of classes of different components that share a region and are near by size, bits and 32-bit shingles.
 
     All three are conditions of the join, so only what still has to be confirmed leaves it, however large a region.
+    Members of a region's largest component are met by the others only, never by each other.
     """
     small = met.join(sizes.filter(F.col("n") > CROWD), "key", "left_anti")
     rows = small.unionByName(deep).select("key", "id").distinct().join(members, "id")
-    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    rows = staged(rows.join(mixed, "key", "left_semi"))
+    shares = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key") \
+        .agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("largest"))
+    mixed = shares.filter("components > 1").select("key", F.col("largest.component").alias("largest"))
+    rows = staged(rows.join(mixed, "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("main")))
     ids = rows.select("id").distinct()
     known = staged(set_arrays(docs.join(ids, "id", "left_semi")).join(classes.select("id", "n_shingles", "bits_a", "bits_b"), "id"))
     full = rows.join(known, "id")
-    one, two = full.alias("p"), full.alias("q")
+    one, two = full.filter("not main").alias("p"), full.alias("q")
     near = (F.bit_count(F.col("p.bits_a").bitwiseXOR(F.col("q.bits_a"))) + F.bit_count(F.col("p.bits_b").bitwiseXOR(F.col("q.bits_b")))
             <= HASHES - LEAST_BITS)
     fits = (100 * F.col("p.n_shingles") >= PERCENT * F.col("q.n_shingles")) & (100 * F.col("q.n_shingles") >= PERCENT * F.col("p.n_shingles"))
     # Two of a document's shingles may share their 32 bits, so one percent is left to the confirmation.
     both = F.size(F.array_intersect("p.shingles", "q.shingles"))
     shared = 100 * both >= (PERCENT - 1) * (F.col("p.n_shingles") + F.col("q.n_shingles") - both)
-    return one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.component") != F.col("q.component"))
+    return one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("q.main") | (F.col("p.id") < F.col("q.id"))) & (F.col("p.component") != F.col("q.component"))
                     & F.when(fits & near, shared).otherwise(False)) \
-        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+        .select(*_ordered(F.col("p.id"), F.col("q.id"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
