@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are taken out of the texts; no document goes."""
-    cleaned = line_chunks.dedupe_lines(docs)
+    cleaned = line_chunks.dedupe_passages(docs)
     return cleaned.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
 
 

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rowwarden.llm import (attention_lm, byte_bpe, components, language, line_chunks, main_text, near_duplicates, nearest,
                            packing, quality, token_counts)
 
@@ -144,6 +145,44 @@ def test_line_dedup(docs, empty):
     assert found[6]["n_tokens"] == 6 and line_chunks.dedupe_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("clashing", [False, True])
+def test_passages_go_whole(spark, monkeypatch, clashing):
+    if clashing:
+        monkeypatch.setattr(line_chunks, "unit_hash", lambda size, *lines: F.pmod(F.xxhash64(F.lit(size), *lines), F.lit(7)))
+    rng = random.Random(8)
+    passages = [[f"p{k} line {i}" for i in range(rng.choice((2, 3, 6, 40)))] for k in range(6)]
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, "own\nown too"), (None, "own\nown too"), (0, None), (1, ""), (1, "one\ntwo"), (1, "one\ntwo"), (2, "zero\none\ntwo\nthree"), (3, long + "\nx"), (4, "y\n" + long)]
+    for i in range(5, 40):
+        text = [f"of {i}"]
+        for k in rng.choices(range(6), k=3):
+            a = rng.randrange(len(passages[k]) - 1)
+            text += passages[k][a:a + rng.randrange(2, 42)] + [f"between {i} {rng.random()}"] * rng.choice((0, 1))
+        rows.append((i, "\n".join(text)))
+    units = lambda t: [(i, 2, (t[i], t[i + 1])) for i in range(len(t) - 1)] + [(i, 1, (x,)) for i, x in enumerate(t) if len(x.split()) >= 50]
+    first = {}
+    for i, text in rows:
+        for _, _, u in units((text or "").split("\n")):
+            first[u] = min(first.get(u, 1 << 62), 1 << 61 if i is None else i)
+    want = []
+    for i, text in rows:
+        lines, seen, gone = (text or "").split("\n"), set(), set()
+        for at, size, u in sorted(units(lines)):
+            gone |= set(range(at, at + size)) if u in seen or first[u] < (1 << 61 if i is None else i) else set()
+            seen.add(u)
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        want.append((i, text if text is None else kept, len(lines), len(gone), sum(k - 1 not in gone for k in gone)))
+    found = line_chunks.dedupe_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr) and sum(w[3] for w in want) > 100
+
+
+def test_pipeline_takes_passages_of_short_lines_whole(spark):
+    passage = [f"short line {i}" for i in range(7)]
+    docs = spark.createDataFrame([(i, "\n".join([f"before {i}", *passage, f"after {i}"]), 0) for i in range(3)], "doc_id long, text string, n_chars long")
+    found = by_id(dict(corpus_pipeline.STAGES)["lines"](spark, docs, ""))
+    assert found[2]["text"] == "before 2\nafter 2" and found[0]["text"].split("\n")[1:-1] == passage
+
+
 def test_quality_base_rules(docs, empty):
     for r in quality.base_features(docs).drop("_buckets").collect():
         text = next((t for i, t, *_ in ROWS if i == r["doc_id"])) or ""
