@@ -3,7 +3,9 @@
 Documents with the same shingle set are one class.  The signatures of the classes are sorted in several orders (trees).
 Neighbours in an order that share a long enough prefix are candidates.  A region is the set of classes that share the
 first ``depth`` values of an order; in crowded regions the depth is greater and the orders are more, so that the chance
-to miss a pair at the threshold stays the same (under 1e-6) while unrelated texts that share a passage part.
+to miss a pair at the threshold stays as small while unrelated texts that share a passage part.  Depths, orders and the
+least equal bits follow from the threshold, by sums over the number of hashes that agree, as all orders draw on the same
+ones: under 1e-6 a pair in all (``design``).
 
 Candidates are confirmed in three rounds, each skipping pairs that the rounds before have already put in one component:
 first every class with its nearest neighbour, then all neighbours, then every other pair that shares a region.  So no
@@ -12,7 +14,10 @@ link between two components is lost, and a large group of copies never costs all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +28,60 @@ from rowwarden.llm.batches import map_arrow, mix, staged, utf8, word_hashes
 from rowwarden.llm.components import roots
 
 SHINGLE = 5
-PERCENT = 85          # of the union that two sets share
 HASHES = 128
-#: (depth, trees): 1 - (1 - 0.85 ** depth) ** trees > 1 - 1e-6.
-SPARSE, CROWDED = (4, 20), (8, 48)
+SPARSE_DEPTH, MOST_DEPTH, MOST_TREES = 4, 8, 80
+#: Most chance to miss a pair at the threshold: by either kind of trees, and by the bits.
+TREE_MISS, BITS_MISS = 4e-7, 1e-7
 CROWD = 200           # classes in a region from which on its members meet in the deeper trees instead
-#: Of 128 one-bit hashes two sets at the threshold agree in 118 on average, with a deviation of 3.
-LEAST_BITS = 102
 _RNG = np.random.default_rng(11)
 _MULT = _RNG.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _PLACE = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_ORDERS = {kind: [np.random.default_rng(kind[0] * 1000 + t).permutation(HASHES)[:kind[0] + 4] for t in range(kind[1])]
-           for kind in (SPARSE, CROWDED)}
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, signature binary"
 
 
+class Design(NamedTuple):
+    """What finds pairs that share ``percent`` of their union: (depth, trees) of both kinds, and the equal bits asked for."""
+
+    percent: int
+    sparse: tuple[int, int]
+    crowded: tuple[int, int]
+    least_bits: int
+
+
+def tree_miss(share: float, depth: int, trees: int) -> float:
+    """The chance that sets sharing ``share`` of their union meet in no tree, over the number of agreeing hashes."""
+    return math.fsum(math.comb(HASHES, m) * share ** m * (1 - share) ** (HASHES - m) * (1 - math.comb(m, depth) / math.comb(HASHES, depth)) ** trees
+                     for m in range(HASHES + 1))
+
+
+def bits_miss(share: float, least: int) -> float:
+    """The chance that fewer than ``least`` one-bit hashes are equal; unequal hashes have equal bits half of the time."""
+    equal = (1 + share) / 2
+    return math.fsum(math.comb(HASHES, k) * equal ** k * (1 - equal) ** (HASHES - k) for k in range(least))
+
+
+@lru_cache
+def design(percent: int) -> Design:
+    share = percent / 100
+
+    def trees(depth: int) -> int:
+        n = 1
+        while tree_miss(share, depth, n) > TREE_MISS:
+            n += 1
+        return n
+
+    # As deep as a bounded number of trees allows, but deeper than the sparse ones.
+    deep = next((d for d in range(MOST_DEPTH, SPARSE_DEPTH + 1, -1) if tree_miss(share, d, MOST_TREES) <= TREE_MISS), SPARSE_DEPTH + 1)
+    bits = max(k for k in range(HASHES + 1) if bits_miss(share, k) <= BITS_MISS)
+    return Design(percent, (SPARSE_DEPTH, trees(SPARSE_DEPTH)), (deep, trees(deep)), bits)
+
+
+@lru_cache
+def orders(kind: tuple[int, int]) -> list[np.ndarray]:
+    return [np.random.default_rng(kind[0] * 1000 + t).permutation(HASHES)[:kind[0] + 4] for t in range(kind[1])]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The distinct 64-bit shingle hashes of each text, sorted."""
     hashes, at = word_hashes(data, offsets)
@@ -107,7 +150,7 @@ def forest(classes: DataFrame, kind: tuple[int, int]) -> DataFrame:
         n = batch.num_rows
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, HASHES)
         keys, tails = [], []
-        for t, order in enumerate(_ORDERS[kind]):
+        for t, order in enumerate(orders(kind)):
             key = np.full(n, t * 1_000_003 + depth, np.uint64)
             for k in order[:depth]:
                 key = mix(key * np.uint64(0x100000001B3) + sig[:, k].astype(np.uint64))
@@ -155,7 +198,7 @@ def neighbours(trees: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, id long, other long, common long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, ca, cb) of ids of ``docs`` (id, text), the ones whose full shingle sets reach the threshold.
 
     Returned are (a, b): the components ca and cb that each such pair joins.
@@ -167,7 +210,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             one, two = (shingle_sets(*utf8(part.column(i))) for i in (2, 3))
             for i, (x, y) in enumerate(zip(one, two, strict=True)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[at + i] = both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+                keep[at + i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
         return pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
     first = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -192,28 +235,30 @@ def widened(members: DataFrame, found: DataFrame) -> DataFrame:
     return staged(members.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, component) of all classes, from (id, text) and (id, n_shingles, bits, signature)."""
+    plan = design(percent)
+
     def held(trees: DataFrame) -> DataFrame:
         return staged(neighbours(trees))
 
-    met = held(forest(classes, SPARSE))
+    met = held(forest(classes, plan.sparse))
     sizes = met.filter("common >= 0").groupBy("key").agg((F.count("*") / 2 + 1).alias("n"))
     crowded = met.join(sizes.filter(F.col("n") > CROWD), "key").select("id").distinct()
-    deep = held(forest(classes.join(crowded, "id", "left_semi"), CROWDED))
+    deep = held(forest(classes.join(crowded, "id", "left_semi"), plan.crowded))
     adjacent = met.unionByName(deep).filter("common >= 0 and id != other")
 
     members = classes.select("id", F.col("id").alias("component")).distinct()
     nearest = adjacent.groupBy("id").agg(F.max(F.struct("common", F.col("other").alias("o"))).alias("best"))
     first = staged(nearest.select(*_ordered(F.col("id"), F.col("best.o"))).distinct())
-    members = widened(members, confirm(first.withColumns({"ca": F.col("a"), "cb": F.col("b")}), docs))
+    members = widened(members, confirm(first.withColumns({"ca": F.col("a"), "cb": F.col("b")}), docs, percent))
 
     every = adjacent.filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     more = across(every.join(first, ["a", "b"], "left_anti"), members)
-    members = widened(members, confirm(more, docs))
+    members = widened(members, confirm(more, docs, percent))
 
     # What the rounds before refused comes here again only where it lies just below the threshold.
-    return widened(members, confirm(across(in_regions(met, deep, sizes, classes, members, docs), members), docs))
+    return widened(members, confirm(across(in_regions(met, deep, sizes, classes, members, docs, plan), members), docs, percent))
 
 
 def set_arrays(docs: DataFrame) -> DataFrame:
@@ -227,7 +272,8 @@ def set_arrays(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, step, "id long, shingles array<int>")
 
 
-def in_regions(met: DataFrame, deep: DataFrame, sizes: DataFrame, classes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
+def in_regions(met: DataFrame, deep: DataFrame, sizes: DataFrame, classes: DataFrame, members: DataFrame, docs: DataFrame,
+               plan: Design) -> DataFrame:
     """Pairs of classes of different components that share a region and are near by size, bits and 32-bit shingles.
 
     All three are conditions of the join, so only what still has to be confirmed leaves it, however large a region.
@@ -244,21 +290,21 @@ def in_regions(met: DataFrame, deep: DataFrame, sizes: DataFrame, classes: DataF
     full = rows.join(known, "id")
     one, two = full.filter("not main").alias("p"), full.alias("q")
     near = (F.bit_count(F.col("p.bits_a").bitwiseXOR(F.col("q.bits_a"))) + F.bit_count(F.col("p.bits_b").bitwiseXOR(F.col("q.bits_b")))
-            <= HASHES - LEAST_BITS)
-    fits = (100 * F.col("p.n_shingles") >= PERCENT * F.col("q.n_shingles")) & (100 * F.col("q.n_shingles") >= PERCENT * F.col("p.n_shingles"))
+            <= HASHES - plan.least_bits)
+    fits = (100 * F.col("p.n_shingles") >= plan.percent * F.col("q.n_shingles")) & (100 * F.col("q.n_shingles") >= plan.percent * F.col("p.n_shingles"))
     # Two of a document's shingles may share their 32 bits, so one percent is left to the confirmation.
     both = F.size(F.array_intersect("p.shingles", "q.shingles"))
-    shared = 100 * both >= (PERCENT - 1) * (F.col("p.n_shingles") + F.col("q.n_shingles") - both)
+    shared = 100 * both >= (plan.percent - 1) * (F.col("p.n_shingles") + F.col("q.n_shingles") - both)
     return one.join(two, (F.col("p.key") == F.col("q.key")) & (F.col("q.main") | (F.col("p.id") < F.col("q.id"))) & (F.col("p.component") != F.col("q.component"))
                     & F.when(fits & near, shared).otherwise(False)) \
         .select(*_ordered(F.col("p.id"), F.col("q.id"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, class_id.
 
     Words are runs without ASCII white space, A-Z as a-z; a document's set holds its distinct runs of five words, or the
-    whole sequence where there are fewer.  Two documents are linked when their sets share at least 85 % of their union.
+    whole sequence where there are fewer.  Two documents are linked when their sets share at least ``percent`` % of their union.
     ``component_id``: the smallest id that links reach; ``class_id``: the smallest id with the same set; ``kept``: the
     document stands for its component.  Null and empty texts have no shingles and link with nothing.  A row without an
     id gets no component and is kept.  Rows that share an id are one document to the links, each with its own row; other
@@ -272,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("bits_a", "bits_b")], F.min("signature").alias("signature"))
     classes = staged(classes)
     texts = picked.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    found = links(texts, classes)
+    found = links(texts, classes, percent)
     of_class = classes.select(*same, F.col("id").alias("class_id")).join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
     out = rows.select("doc_id", *same).join(of_class, same, "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)

@@ -130,6 +130,13 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_pairs_are_missed_less_than_once_in_a_million(percent):
+    plan, share = near_duplicates.design(percent), percent / 100
+    assert sum(near_duplicates.tree_miss(share, *kind) for kind in (plan.sparse, plan.crowded)) + near_duplicates.bits_miss(share, plan.least_bits) < 1e-6
+    assert near_duplicates.tree_miss(0.85, 4, 20) > 9e-6 and near_duplicates.tree_miss(0.85, 8, 48) > 1e-4
+
+
 def test_components_of_a_long_path(spark):
     order = list(range(60))
     random.Random(1).shuffle(order)
