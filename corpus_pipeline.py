@@ -15,6 +15,9 @@ from rowwarden.llm import batches, language, line_chunks, near_duplicates, packi
 #: Least posterior probability of the predicted language.
 LEAST_SURE = 0.5
 
+#: Least share of their union, in percent, that the word shingles of near duplicates have in common.
+NEAR_PERCENT = 80
+
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is among ``ids``, a null id matching a null id."""
@@ -40,7 +43,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return _only(docs, near_duplicates.near_duplicates(docs).filter("kept"))
+    return _only(docs, near_duplicates.near_duplicates(docs, NEAR_PERCENT).filter("kept"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), 85)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,17 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_pipeline_links_at_four_fifths(spark):
+    base = [f"w{i}" for i in range(104)]
+    near = base[:100] + ["x1", "x2", "x3", "x4"]         # 96 shingles of 104 shared
+    far = base[:94] + [f"y{i}" for i in range(10)]       # 90 of 110: 0.82
+    other = base[:90] + [f"z{i}" for i in range(14)]     # 86 of 114: 0.75
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((base, near, far))] + [(10, " ".join(f"v{w}" for w in base)), (11, " ".join(f"v{w}" for w in other))], "doc_id long, text string")
+    kept = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert kept(dict(corpus_pipeline.STAGES)["near"](spark, docs.filter("doc_id != 1"), "")) == [0, 10, 11]
+    assert kept(near_duplicates.near_duplicates(docs, 85).filter("kept")) == [0, 2, 10, 11]
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_pairs_are_missed_less_than_once_in_a_million(percent):
     plan, share = near_duplicates.design(percent), percent / 100
