@@ -206,6 +206,30 @@ def main_text(page: str | None) -> str:
         path.append(node)
         node = node.parent
     least = min((n.density for n in path), default=0.0)
+    kept = {id(_whole(best, None, least))}
+    if best.tag != "body" and least > 0:
+        # Every other block as dense gives its own largest sum.
+        peak: dict[int, Node] = {}
+        for node in reversed(order):
+            inner = [peak[id(c)] for c in node.children if type(c) is Node and id(c) in peak]
+            peak[id(node)] = max([node, *inner], key=lambda n: n.sum)
+        kept |= {id(_whole(peak[id(n)], n, least)) for n in order if n.tag in BLOCK and n.tag not in ("html", "body") and n.density >= least}
+    texts, waiting = [], [root]
+    while waiting:
+        node = waiting.pop()
+        if id(node) in kept:
+            texts += blocks(node)
+        else:
+            waiting += reversed([c for c in node.children if type(c) is Node and not c.skip])
+    return "\n".join(texts)
+
+
+def _whole(best: Node, within: Node | None, least: float) -> Node:
+    """What belongs to the subtree with the largest sum, looking up as far as ``within`` (none: the body)."""
+    path, node = [best], best
+    while node is not within and node.parent is not None and node.parent.tag != "html":
+        node = node.parent
+        path.append(node)
     # Up from the best subtree while it stands in an element that is as dense as the path asks and mostly text.
     top = best
     for node in path[1:]:
@@ -214,7 +238,7 @@ def main_text(page: str | None) -> str:
     if top.tag not in ("article", "main"):
         inner = [n for n in path if n.tag in ("article", "main")]
         top = inner[-1] if inner else top
-    return "\n".join(blocks(top))
+    return top
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -296,3 +296,12 @@ def test_main_text(spark):
     found = {r["page_id"]: (r["text"], r["n_chars"]) for r in main_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     article = "Head & line\nOne two three.\nFour <b> five.\nx\ny"
     assert found == {1: (article, len(article)), 2: ("", 0), 3: ("", 0), None: ("only é", 6), 5: ("", 0), 6: ("deep", 4)}
+
+
+def test_main_text_in_several_containers():
+    paragraphs = [f"Paragraph {i} " + "says a good deal about its subject, at some length and without any links. " * 3 for i in range(10)]
+    part = lambda own: "".join(f"<p>{p}</p>" for p in own)
+    menu = "<div>" + "".join(f"<p><a href=/{i}>Link number {i}</a></p>" for i in range(12)) + "</div>"
+    want = "\n".join(p.strip() for p in paragraphs)
+    for a, b in (("<div>", "</div>"), ("<article>", "</article>"), ("<section><div>", "</div></section>")):
+        assert main_text.main_text(f"<body>{menu}{a}{part(paragraphs[:5])}{b}{menu}{a}{part(paragraphs[5:])}{b}</body>") == want
