@@ -255,6 +255,19 @@ def test_lm_scores(docs, empty):
     assert attention_lm.score_texts(empty, F.lit(False), *args).count() == 0
 
 
+def learned_from(monkeypatch, docs, held_out):
+    """The rows that training is given."""
+    given = []
+    monkeypatch.setattr(attention_lm, "train", lambda sample, tables, start, *_: given.extend(sample.collect()) or start)
+    attention_lm.score_texts(docs, held_out, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return given
+
+
+def test_lm_learns_from_all_training_rows(spark, monkeypatch):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.concat(F.lit("of "), "id", F.lit(" ")), 20_000)).alias("text"))
+    assert len(learned_from(monkeypatch, docs, F.col("doc_id") % 3 == 0)) == 40
+
+
 def test_attention_sees_only_what_came_before_and_scoring_agrees_with_training():
     rng = np.random.default_rng(1)
     tables = attention_lm.Tables.of(rng.integers(0, 50, 3000), rng.random(3000) < 0.5)
