@@ -268,6 +268,12 @@ def test_lm_learns_from_all_training_rows(spark, monkeypatch):
     assert len(learned_from(monkeypatch, docs, F.col("doc_id") % 3 == 0)) == 40
 
 
+def test_lm_spreads_copies_over_rounds_and_trainers(spark, monkeypatch):
+    docs = spark.range(300).select(F.when(F.col("id") < 200, F.col("id")).alias("doc_id"), F.lit("the same text").alias("text"))
+    given = learned_from(monkeypatch, docs, F.lit(False))
+    assert {r["round"] for r in given} == set(range(attention_lm.ROUNDS)) and len({r["part"] for r in given}) == 300
+
+
 def test_attention_sees_only_what_came_before_and_scoring_agrees_with_training():
     rng = np.random.default_rng(1)
     tables = attention_lm.Tables.of(rng.integers(0, 50, 3000), rng.random(3000) < 0.5)
