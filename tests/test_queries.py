@@ -7,6 +7,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from oracle import connect, differences  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from rowwarden.queries import registry  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
