@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and the SQL they agree with where it exists."""
+"""The operators over their whole tables, with production parameters, and the SQL they agree with where it exists."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowwarden.llm import (attention_lm, byte_bpe, language, line_chunks, main_text, near_duplicates, nearest, packing,
-                           quality, token_counts)
+from rowwarden.llm import (attention_lm, byte_bpe, divergence, language, line_chunks, main_text, near_duplicates, nearest,
+                           packing, quality, token_counts)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_line_dedup, op3_minhash_near_dedup, op4_packing, op5_quality_rules, op6_byte_bpe, op7_language_id,
-    op8_lm_scoring, op9_nearest, op10_main_text)}
-ORACLES = {"op2_line_dedup": line_chunks.ORACLE}
+    op8_lm_scoring, op9_nearest, op10_main_text, op11_source_divergence)}
+ORACLES = {"op2_line_dedup": line_chunks.ORACLE, "op11_source_divergence": divergence.ORACLE}
