@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowwarden.llm import (attention_lm, byte_bpe, divergence, language, line_chunks, main_text, near_duplicates, nearest,
-                           packing, quality, token_counts)
+                           packing, quality, spelling, token_counts, vector_links)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.linked(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_line_dedup, op3_minhash_near_dedup, op4_packing, op5_quality_rules, op6_byte_bpe, op7_language_id,
-    op8_lm_scoring, op9_nearest, op10_main_text, op11_source_divergence)}
+    op8_lm_scoring, op9_nearest, op10_main_text, op11_source_divergence, op12_spelling_variants,
+    op13_embedding_near_dedup)}
 ORACLES = {"op2_line_dedup": line_chunks.ORACLE, "op11_source_divergence": divergence.ORACLE}
