@@ -122,20 +122,64 @@ def normalize_name(text: Column) -> Column:
     return null_if_empty(_spaced_key(fold(text), r"[._\-\x{2013}\x{2014}]+"))
 
 
-def number_text(number: Column) -> Column:
-    """A double as people type it: 1992, not 1992.0, and never in scientific notation."""
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    # The shortest digits that give the number back, moved behind the point; 37 places hold them for small numbers.
-    digits = number.cast("string")
-    exact = F.when(F.abs(number) < 1, digits.cast("decimal(38,37)").cast("string")).otherwise(digits.cast("decimal(38,12)").cast("string"))
-    plain = F.regexp_replace(exact, r"\.?0+\z", "")
+def _bound(name: str, value: str, body: str) -> str:
+    """SQL text of ``body`` with ``name`` standing for ``value``, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _shortest_sql() -> str:
+    """Fewest digits that read back as ``x``, from its digits ``d``: the JVM may write one digit too many."""
+    rounded = (
+        "transform(array(if(substr(d.digits, p + 1, 1) >= '5', 1, 0), if(substr(d.digits, p + 1, 1) >= '5', 0, 1)), up -> "
+        + _bound("r", "cast(cast(substr(d.digits, 1, p) as bigint) + up as string)",
+                 "named_struct('digits', regexp_replace(r, '0+$', ''), 'point', d.point + length(r) - p)") + ")"
+    )
+    shorter = f"flatten(transform(sequence(1, least(length(d.digits) - 1, 17)), p -> {rounded}))"
+    same = "c -> cast(concat(c.digits, 'E', cast(c.point - length(c.digits) as string)) as double) = abs(x)"
+    exact = "length(d.digits) < 2 or (length(d.digits) <= 15 and abs(x) >= 1e-300)"
+    return f"if({exact}, d, coalesce(get(filter({shorter}, {same}), 0), d))"
+
+
+def _number_sql() -> str:
+    parts = (
+        "named_struct('whole', regexp_extract(t, '^([0-9]+)', 1), 'rest', regexp_extract(t, '[.]([0-9]+)', 1), "
+        "'e', coalesce(cast(nullif(regexp_extract(t, 'E(-?[0-9]+)', 1), '') as int), 0))"
+    )
+    digits = (
+        "named_struct('digits', regexp_replace(regexp_replace(concat(w.whole, w.rest), '^0+', ''), '0+$', ''), 'point', "
+        "length(w.whole) + w.e - length(regexp_extract(concat(w.whole, w.rest), '^(0*)', 1)))"
+    )
+    scientific = (
+        "concat(substr(n.digits, 1, 1), if(length(n.digits) > 1, concat('.', substr(n.digits, 2)), ''), 'e', "
+        "if(n.point > 0, '+', '-'), cast(abs(n.point - 1) as string))"
+    )
+    layout = (
+        "case when n.point between length(n.digits) and 21 then rpad(n.digits, n.point, '0') "
+        "when n.point between 1 and 21 then concat(substr(n.digits, 1, n.point), '.', substr(n.digits, n.point + 1)) "
+        f"when n.point between -5 and 0 then concat('0.', repeat('0', -n.point), n.digits) else {scientific} end"
+    )
+    # Large whole numbers with all their digits, as a bigint times a power of two: the JVM's text may round the last one.
+    twos = "greatest(cast(floor(log2(abs(x))) as int) - 60, 0)"
+    whole = f"cast(cast(cast(abs(x) / pow(2, {twos}) as bigint) as decimal(20, 0)) * cast(shiftleft(1L, {twos}) as decimal(20, 0)) as string)"
+    general = _bound("t", f"if(abs(x) between 9007199254740992 and 1e36, {whole}, cast(abs(x) as string))", _bound("w", parts, _bound("d", digits, _bound("n", _shortest_sql(), layout))))
     return (
-        F.when(whole, number.cast("bigint").cast("string"))
-        .when(F.abs(number).between(1e-3, 9999999.0), number.cast("string"))
-        .otherwise(F.coalesce(plain, number.cast("string")))
+        "case when x is null then null when isnan(x) then 'NaN' "
+        "when x = double('infinity') then 'Infinity' when x = double('-infinity') then '-Infinity' "
+        "when abs(x) < 1e15 and x = floor(x) then cast(cast(x as bigint) as string) "
+        "when abs(x) between 1e-3 and 9999999.0 and length(cast(abs(x) as string)) <= 16 then cast(x as string) "
+        f"else concat(if(x < 0, '-', ''), {general}) end"
     )
 
 
+def number_text(number: Column) -> Column:
+    """A double with the fewest digits that give it back, as spreadsheets in a browser write it.
+
+    1992, not 1992.0; plain from 1e-6 to below 1e21, else like 1e-7, 1.5e+21.  No decimal type is involved, so every finite
+    double has its text.
+    """
+    return let_sql(number, "x", _number_sql())
+
+
 def is_slash_placeholder(text: Column) -> Column:
     """Only slashes, bars, hyphens and white space, with at least one forward slash."""
     return text.rlike(rf"^(?:{fixed.WS}|[/\\|\-])+\z") & text.contains("/")

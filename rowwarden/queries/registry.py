@@ -79,6 +79,31 @@ def birthdate_status_counts(spark, sf_dir):
     return _parsed(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Numbers whose digits and place are known: up to 15 digits d at 10^e, and the ends of what a double holds.
+_DIGITS = "cast(1 + (o_orderkey * 7919 + o_custkey) % 999999999 as string)"
+_NUMBERS = f"""
+select id, d, e, concat(d, 'E', cast(e as string)) as written from (
+  select o_orderkey as id, {_DIGITS} as d, cast(o_orderkey % 560 - 285 as int) as e from {{orders}}) n
+union all select -1, '5', -324, '5E-324' union all select -2, '17976931348623157', 292, '17976931348623157E292'
+union all select -3, '22250738585072014', -324, '22250738585072014E-324' union all select -4, '30000000000000004', -17, '0.30000000000000004'
+union all select -5, '1', 23, '1E23' union all select -6, '9007199254740993', 3, '9007199254740993E3'
+"""
+
+
+@query(f"""
+select id, concat(case when id % 2 = 0 then '-' else '' end, case
+  when k <= n and n <= 21 then rpad(s, n, '0')
+  when n between 1 and 21 then concat(substr(s, 1, n), '.', substr(s, n + 1))
+  when n between -5 and 0 then concat('0.', repeat('0', -n), s)
+  else concat(substr(s, 1, 1), case when k > 1 then '.' else '' end, substr(s, 2), 'e', case when n > 0 then '+' else '-' end,
+    cast(abs(n - 1) as string)) end) as number_text
+from (select id, regexp_replace(d, '0+$', '') as s, cast(length(regexp_replace(d, '0+$', '')) as int) as k, cast(length(d) + e as int) as n from ({_NUMBERS}) g) h
+""")
+def number_texts(spark, sf_dir):
+    x = F.col("written").cast("double") * F.when(F.col("id") % 2 == 0, -1).otherwise(1)
+    return mess.run(spark, sf_dir, _NUMBERS).select("id", tx.number_text(x).alias("number_text"))
+
+
 _OTHERS = """
 select p_partkey as id, case p_partkey % 5 when 0 then '/' when 1 then ' / / ' when 2 then '|-/' when 3 then 'n/a'
   else '--' end as others from {part}

@@ -1,4 +1,7 @@
+import math
 import random
+import struct
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +25,23 @@ def osa(a, b):
     return d[-1][-1]
 
 
+def browser_text(x):
+    """What a browser writes for a double, from Python's shortest digits."""
+    sign, digits, exponent = Decimal(repr(x)).as_tuple()
+    digits = "".join(map(str, digits)).lstrip("0")
+    point = len(digits) + exponent
+    digits = digits.rstrip("0")
+    if len(digits) <= point <= 21:
+        text = digits.ljust(point, "0")
+    elif 0 < point <= 21:
+        text = digits[:point] + "." + digits[point:]
+    elif -6 < point <= 0:
+        text = "0." + "0" * -point + digits
+    else:
+        text = digits[0] + ("." + digits[1:] if len(digits) > 1 else "") + f"e{point - 1:+d}"
+    return "-" * sign + text
+
+
 def test_whitespace(values):
     cases = {
         "  IRIS   VALE  ": "IRIS VALE", "a b": "a b", "a​b": "ab", "﻿x": "x", "tab\there": "tab here",
@@ -45,7 +65,16 @@ def test_keys_and_names(values):
 
 def test_numbers_and_letters(values, spark):
     cases = {1992.0: "1992", 0.5: "0.5", 12345678.5: "12345678.5", -3.0: "-3", 0.0001: "0.0001"}
-    cases |= {1.23456789e-5: "0.0000123456789", 1e-13: "0.0000000000001"}
+    cases |= {1.23456789e-5: "0.0000123456789", 1e-13: "1e-13", 1e-6: "0.000001", 1e-7: "1e-7", 1.5e-7: "1.5e-7", -1e30: "-1e+30"}
+    cases |= {1e26: "1e+26", 1e21: "1e+21", 123456789012345680000.0: "123456789012345680000", 1e15: "1000000000000000", -0.0: "0"}
+    cases |= {5e-324: "5e-324", 1.2345678901234567e-30: "1.2345678901234567e-30", 1.7976931348623157e308: "1.7976931348623157e+308"}
+    cases |= {0.1 + 0.2: "0.30000000000000004", 2e-323: "2e-323", 1e23: "1e+23", 2.2250738585072014e-308: "2.2250738585072014e-308", 4.35: "4.35"}
+    rnd = random.Random(8)
+    for _ in range(3000):
+        x = rnd.choice([rnd.uniform(-1, 1) * 10.0 ** rnd.randint(-320, 308), rnd.randint(1, 999) * 10.0 ** rnd.randint(-30, 30),
+                        struct.unpack("d", rnd.randbytes(8))[0]])
+        if math.isfinite(x) and x:
+            cases[x] = browser_text(x)
     assert values(list(cases), tx.number_text(X), "double") == list(cases.values())
     columns = [0, 25, 26, 51, 52, 701, 702, 16383]
     assert values(columns, tx.column_letter(X), "int") == [fixed.column_letter(c) for c in columns]
