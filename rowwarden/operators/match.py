@@ -1,8 +1,9 @@
 """Matching media files to rows: one video, one consent and one assent file each, or a named reason why not.
 
-Rows are reduced to distinct *asks* (participant, wanted place, wanted expression, wanted word) and files to counts per
-*slot*, both with map-side combining; everything is decided on those small tables.  Rows and files of one participant
-are never paired, and the rows are shuffled once, split by a salt, to take the answers back.
+Files are reduced once to *facts*: how many files a participant has of each kind, place, expression and word, and the
+first of them by number.  Rows are reduced once to distinct *asks* (participant, wanted place, wanted expression, wanted
+word).  Both keep only what is counted or looked up, are combined before they are shuffled, and everything is decided on
+them; a file's own columns are fetched for the files that were picked.  Rows and files of a participant are never paired.
 """
 
 from __future__ import annotations
@@ -13,17 +14,13 @@ from pyspark.sql import functions as F
 from rowwarden.fixed import Preset
 from rowwarden.functions import filenames as fn
 from rowwarden.functions import text as tx
-from rowwarden.functions.distance import within
 from rowwarden.functions.links import normalize_shared_link
-from rowwarden.operators.spread import join_by_key, salt
-from rowwarden.session import cut
+from rowwarden.operators.wordfit import fitting_tokens
+from rowwarden.session import staged
 
 FILE_FIELDS = ("path", "name", "link", "link_existed", "recorded_at", "environment", "expression", "token", "fuzzy")
-# Longest list of names spelt out in a guard's text; longer ones are whole in ``guard_members``.
-NAMES_IN_TEXT = 100
-
-# Slots with at most this many distinct tokens are compared token by token.
-FEW_TOKENS = 32
+# Files whose names are joined to one text before the texts are joined: no list of names is longer.
+NAMES_BITS = 12
 
 # --- fixed values: problem and guard texts -------------------------------------------------------------------------
 PROBLEM_NO_FOLDER = "No scanned folder matches this participant."
@@ -76,43 +73,42 @@ def classify_files(files: DataFrame, preset: Preset) -> DataFrame:
 
 
 def prepare_files(files: DataFrame, preset: Preset) -> DataFrame:
-    """``classify_files``, written once: planning reads the result several times."""
-    return cut(classify_files(files, preset))
+    """``classify_files`` with ``fid``, numbers in listing order (``file_ix``, else path); written once.
 
+    Numbers rise with the listing but leave gaps: partitions of a sorted listing count on their own.
+    """
+    order = ["file_ix", "path"] if "file_ix" in files.columns else ["path"]
+    listed = classify_files(files, preset).repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(listed.withColumn("fid", F.monotonically_increasing_id()))
 
-def _file() -> Column:
-    return F.struct(*FILE_FIELDS)
 
+def media_facts(files: DataFrame) -> DataFrame:
+    """(group_id, name_key, kind, env, expr, token, n, fid): files of a participant that no row can tell apart by wish.
 
-def _only(kind: Column | None = None) -> Column:
-    """The least file by path: the file itself where the group has exactly one."""
-    value = _file() if kind is None else F.when(kind, _file())
-    return F.min(value)
+    A folder whose name leaves no key stands for itself and never meets a row.
+    """
+    owned = files.filter(F.col("folder").isNotNull()).select(
+        F.coalesce("name_key", "folder").alias("group_id"), "name_key", "kind", F.lower("environment").alias("env"),
+        F.lower("expression").alias("expr"), "token", "fid",
+    )
+    return staged(owned.groupBy(*[c for c in owned.columns if c != "fid"]).agg(F.count(F.lit(1)).alias("n"), F.min("fid").alias("fid")))
 
 
-def _order(files: DataFrame) -> list[str]:
-    """Listing order where the listing gives one (``file_ix``), else path order."""
-    return ["file_ix", "path"] if "file_ix" in files.columns else ["path"]
+def _kinds(of: str) -> list[Column]:
+    """Per group of facts: files of each kind, the first file, the first consent and assent file."""
+    def first(kind: str) -> Column:
+        return F.min(F.when(F.col("kind") == kind, F.col(of)))
 
+    counts = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in ("video", "icf", "assent", "other")]
+    return [F.min(of).alias("first_fid"), *counts, first("icf").alias("icf_fid"), first("assent").alias("assent_fid")]
 
-def group_files(files: DataFrame) -> DataFrame:
-    """One row per participant: spelling of the folder, counts per kind, the single consent and assent file.
 
-    A folder whose name leaves no key stands for itself and never meets a row.
-    """
-    kind = F.col("kind")
-    attributed = files.filter(F.col("folder").isNotNull()).withColumn("group_id", F.coalesce("name_key", "folder"))
-    groups = attributed.groupBy("group_id", "name_key").agg(
-        F.min(F.struct(*_order(files), "folder")).alias("_first"),
-        *[F.count_if(kind == k).alias(f"n_{k}") for k in ("video", "icf", "assent", "other")],
-        _only(kind == "icf").alias("_icf"),
-        _only(kind == "assent").alias("_assent"),
-    )
-    return groups.select(
-        "group_id", "name_key", F.col("_first.folder").alias("folder"), "n_video", "n_icf", "n_assent", "n_other",
-        F.when(F.col("n_icf") == 1, F.col("_icf")).alias("icf"),
-        F.when(F.col("n_assent") == 1, F.col("_assent")).alias("assent"),
-    )
+def group_files(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """One row per participant: group_id, name_key, folder as its first file spells it, and files per kind."""
+    facts = media_facts(files) if facts is None else facts
+    groups = facts.groupBy("group_id", "name_key").agg(*_kinds("fid"))
+    spelt = files.select(F.col("fid").alias("first_fid"), "folder")
+    return groups.join(spelt, "first_fid").select("group_id", "name_key", "folder", "n_video", "n_icf", "n_assent", "n_other")
 
 
 # ---- slots: the few classes of place and expression a row can ask for ----------------------------------------------
@@ -130,22 +126,16 @@ def wanted_expression_class(wanted: Column) -> Column:
     return F.lower(wanted)
 
 
-def slot_videos(files: DataFrame) -> DataFrame:
-    """Every video once per slot class it satisfies."""
-    videos = files.filter((F.col("kind") == "video") & F.col("name_key").isNotNull())
-    env = F.lower("environment")
-    env_classes = F.when(env.isNull(), F.array(*[F.lit(c) for c in ("", "indoor", "outdoor", "other")])).otherwise(
-        F.array(F.lit(""), env)
-    )
-    return videos.withColumn("env_class", F.explode(env_classes)).withColumn(
-        "expr_class", F.explode(F.array(F.lit(""), F.lower("expression")))
-    )
+def by_slot(videos: DataFrame, env: Column, expr: Column) -> DataFrame:
+    """Every row once per slot class that its place ``env`` and expression ``expr``, both in small letters, satisfy."""
+    env_classes = F.when(env.isNull(), F.array(*[F.lit(c) for c in ("", "indoor", "outdoor", "other")])).otherwise(F.array(F.lit(""), env))
+    return videos.withColumn("env_class", F.explode(env_classes)).withColumn("expr_class", F.explode(F.array(F.lit(""), expr)))
 
 
-def slot_counts(files: DataFrame) -> DataFrame:
-    """Per slot: number of candidate videos, and the video where there is just one."""
-    slots = slot_videos(files).groupBy(*_SLOT).agg(F.count(F.lit(1)).alias("n_videos"), _only().alias("_video"))
-    return slots.select(*_SLOT, "n_videos", F.when(F.col("n_videos") == 1, F.col("_video")).alias("only_video"))
+def slot_facts(facts: DataFrame) -> DataFrame:
+    """(_SLOT, token, n, fid) of the videos of named participants."""
+    videos = facts.filter((F.col("kind") == "video") & F.col("name_key").isNotNull())
+    return by_slot(videos, F.col("env"), F.col("expr")).select(*_SLOT, "token", "n", "fid")
 
 
 def row_asks(rows: DataFrame) -> DataFrame:
@@ -161,142 +151,68 @@ def row_asks(rows: DataFrame) -> DataFrame:
     })
 
 
-# ---- the tie-break by wanted word -----------------------------------------------------------------------------------
-
-def _pieces(word: Column, longest: int = 255) -> Column:
-    """Distinct substrings of a word, up to the length a file-name token can have."""
-    n = F.length(word)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    cut = F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.least(n - s + 1, F.lit(longest)), F.lit(1))),
-        lambda size: F.substring(word, s, size),
-    )))
-    return F.array_distinct(cut)
-
-
-def _deletions(word: Column) -> Column:
-    """The word with none, one or two characters left out, distinct.
-
-    Two words within two edits (a swap counting one) always share such a form.
-    """
-    def without_one(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
-            lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))),
-        )
+# ---- the plan -------------------------------------------------------------------------------------------------------
 
-    one = F.array_distinct(without_one(word))
-    two = F.flatten(F.transform(one, without_one))
-    return F.array_distinct(F.concat(F.array(word), one, two))
+_ASK = ["name_key", "want_env", "want_expr", "wanted"]
 
 
-def resolve_by_word(asks: DataFrame, files: DataFrame, preset: Preset) -> DataFrame:
-    """For contested slots, how many videos the wanted word fits: (_SLOT, wanted, n_hits, hit_video).
+def participants(facts: DataFrame, asks: DataFrame, files: DataFrame) -> DataFrame:
+    """(name_key, folder, icf, assent, first_row) of the participants that have both files and rows.
 
-    A word fits a video's token if either contains the other or (fuzzy presets) they are within two edits.  In slots of
-    few tokens every word simply meets the tokens.  In the others words and tokens meet only over shared pieces:
-    substrings for containment, deletion forms for edits.
+    Facts and asks are aggregated together, so that they meet in one shuffle; the three files of a participant are
+    fetched by number.
     """
-    wants = asks.filter(F.col("wanted") != "").select(*_SLOT, "wanted").distinct()
-    contested = wants.select(*_SLOT).distinct()
-    tokens = (
-        slot_videos(files).filter(F.col("token") != "").groupBy(*_SLOT, "token")
-        .agg(F.count(F.lit(1)).alias("n"), _only().alias("video"))
-        .withColumn("_salt", salt("token"))
-    )
-    sizes = tokens.groupBy(*_SLOT).agg(F.count(F.lit(1)).alias("_tokens")).join(contested, _SLOT)
-    sized = cut(join_by_key(tokens, sizes, _SLOT, "_salt", how="inner").drop("_salt"))
-    few, many = sized.filter(F.col("_tokens") <= FEW_TOKENS), sized.filter(F.col("_tokens") > FEW_TOKENS)
-
-    word, token = F.col("wanted"), F.col("token")
-    fits = word.contains(token) | token.contains(word)
-    if preset.fuzzy:
-        fits = fits | within(token, word, 2)
-    salted = wants.withColumn("_salt", salt("wanted"))
-    met = join_by_key(salted, few, _SLOT, "_salt", how="inner").filter(fits).select(*_SLOT, "wanted", "n", "video")
-    hits = met.unionByName(_meet_over_pieces(wants, many, preset))
-    return hits.groupBy(*_SLOT, "wanted").agg(
-        F.sum("n").alias("n_hits"), F.min("video").alias("_video")
-    ).select(*_SLOT, "wanted", "n_hits", F.when(F.col("n_hits") == 1, F.col("_video")).alias("hit_video"))
-
-
-def _meet_over_pieces(wants: DataFrame, tokens: DataFrame, preset: Preset) -> DataFrame:
-    """(_SLOT, wanted, n, video) of fitting tokens, found by equality of pieces only."""
-    wants = wants.join(tokens.select(*_SLOT).distinct(), _SLOT, "left_semi")
-    # The word contains the token: cut the words, look the tokens up.
-    words = wants.withColumn("_word", F.explode(F.split("wanted", " ")))
-    inside = (
-        words.withColumn("token", F.explode(_pieces(F.col("_word")))).select(*_SLOT, "wanted", "token").distinct()
-        .filter(F.col("token") != F.col("wanted"))
-        .join(tokens, [*_SLOT, "token"])
-        .select(*_SLOT, "wanted", "n", "video")
-    )
-    # The token contains the word (or equals it): cut the tokens, combine per piece, look the words up.
-    around = (
-        tokens.withColumn("wanted", F.explode(_pieces(F.col("token")))).groupBy(*_SLOT, "wanted")
-        .agg(F.sum("n").alias("n"), F.min("video").alias("video"))
-        .join(wants, [*_SLOT, "wanted"])
-        .select(*_SLOT, "wanted", "n", "video")
-    )
-    contained = inside.unionByName(around).groupBy(*_SLOT, "wanted").agg(
-        F.sum("n").alias("n"), F.min("video").alias("video")
-    )
-    if not preset.fuzzy:
-        return contained
-    # Only words not already settled as ambiguous need the edit test.
-    settled = contained.filter(F.col("n") > 1).select(*_SLOT, "wanted")
-    open_words = wants.join(settled, [*_SLOT, "wanted"], "left_anti")
-    near = (
-        open_words.withColumn("_form", F.explode(_deletions(F.col("wanted"))))
-        .join(tokens.withColumn("_form", F.explode(_deletions(F.col("token")))), [*_SLOT, "_form"])
-        .filter(~F.col("wanted").contains(F.col("token")) & ~F.col("token").contains(F.col("wanted")))
-        .dropDuplicates([*_SLOT, "wanted", "token"])
-        .filter(within(F.col("token"), F.col("wanted"), 2))
-        .select(*_SLOT, "wanted", "n", "video")
-    )
-    return contained.unionByName(near)
-
+    none = F.lit(None)
+    media = facts.filter(F.col("name_key").isNotNull()).select("name_key", "kind", "n", "fid", none.cast("long").alias("first"))
+    wanted = asks.select("name_key", none.cast("string").alias("kind"), none.cast("long").alias("n"), none.cast("long").alias("fid"), "first")
+    found = media.unionByName(wanted).groupBy("name_key").agg(*_kinds("fid"), F.min("first").alias("first_row")) \
+        .filter(F.col("first_fid").isNotNull() & F.col("first_row").isNotNull())
+    roles = F.inline(F.array(
+        F.struct(F.lit("folder").alias("role"), F.col("first_fid").alias("fid")),
+        F.struct(F.lit("icf").alias("role"), F.when(F.col("n_icf") == 1, F.col("icf_fid")).alias("fid")),
+        F.struct(F.lit("assent").alias("role"), F.when(F.col("n_assent") == 1, F.col("assent_fid")).alias("fid")),
+    ))
+    picked = found.select("name_key", "first_row", roles).filter(F.col("fid").isNotNull())
+    fetched = picked.join(files.select("fid", "folder", F.struct(*FILE_FIELDS).alias("file")), "fid")
 
-# ---- the plan -------------------------------------------------------------------------------------------------------
+    def of(role: str, column: str) -> Column:
+        return F.first(F.when(F.col("role") == role, F.col(column)), ignorenulls=True)
 
-_ASK = ["name_key", "want_env", "want_expr", "wanted"]
+    return fetched.groupBy("name_key").agg(
+        of("folder", "folder").alias("folder"), of("icf", "file").alias("icf"), of("assent", "file").alias("assent"), F.first("first_row").alias("first_row"))
 
 
-def answer_asks(asks: DataFrame, files: DataFrame, groups: DataFrame, preset: Preset) -> DataFrame:
-    """One row per distinct ask: folder, icf, assent, n_videos, video, video_reason."""
-    classed = asks.select(*_ASK).distinct().withColumns({
-        "env_class": wanted_environment_class(F.col("want_env")),
-        "expr_class": wanted_expression_class(F.col("want_expr")),
-    })
-    matched = groups.filter(F.col("name_key").isNotNull()).select("name_key", "folder", "icf", "assent")
-    slots = classed.join(matched, "name_key").join(slot_counts(files), _SLOT, "left")
-    contested = slots.filter(F.col("n_videos") > 1).select(*_SLOT, "wanted")
-    answered = slots.join(resolve_by_word(contested, files, preset), [*_SLOT, "wanted"], "left")
-    n = F.coalesce("n_videos", F.lit(0))
-    picked = F.when(n == 1, F.col("only_video")).when(n > 1, F.col("hit_video"))
-    reason = (
-        F.when(n == 0, "none").when(n == 1, "unique")
-        .when(F.col("hit_video").isNotNull(), "column-k").otherwise("ambiguous")
-    )
-    return answered.select(
-        *_ASK, "folder", "icf", "assent", n.alias("n_videos"), picked.alias("video"), reason.alias("video_reason")
-    )
-
+def answer_asks(asks: DataFrame, files: DataFrame, facts: DataFrame, preset: Preset) -> DataFrame:
+    """One row per ask of a participant with files: the ask, folder, icf, assent, first_row, n_videos, video, video_reason.
 
-def plan_rows(rows: DataFrame, files: DataFrame, preset: Preset, position: str = "merged_row") -> DataFrame:
+    ``asks`` has _ASK, first (the first row that asks so) and ask_id.
+    """
+    videos = slot_facts(facts)
+    slots = videos.groupBy(*_SLOT).agg(F.sum("n").alias("n_videos"), F.min("fid").alias("only_fid"))
+    placed = staged(_classed(asks).join(slots, _SLOT, "left").withColumn("n_videos", F.coalesce("n_videos", F.lit(0))))
+    contested = placed.filter((F.col("n_videos") > 1) & (F.col("wanted") != "")).select(*_SLOT, "ask_id", "wanted")
+    hits = fitting_tokens(contested, videos.filter(F.col("token") != ""), _SLOT, "ask_id", preset.fuzzy)
+    n, hit = F.col("n_videos"), F.when(F.col("n_hits") == 1, F.col("hit"))
+    reason = F.when(n == 0, "none").when(n == 1, "unique").when(hit.isNotNull(), "column-k").otherwise("ambiguous")
+    # Asks without a video get a number of their own that no file has, so that they don't meet in one task as nulls would.
+    fid = F.when(n == 1, F.col("only_fid")).when(n > 1, hit)
+    decided = placed.join(hits, "ask_id", "left").select(
+        *_ASK, n.alias("n_videos"), F.coalesce(fid, -1 - F.col("ask_id")).alias("fid"), reason.alias("video_reason"))
+    picked = files.filter("kind = 'video'").select("fid", F.struct(*FILE_FIELDS).alias("video"))
+    return decided.join(picked, "fid", "left").drop("fid").join(participants(facts, asks, files), "name_key")
+
+
+def plan_rows(rows: DataFrame, files: DataFrame, preset: Preset, position: str = "merged_row", facts: DataFrame | None = None) -> DataFrame:
     """Rows with their plan: video, video_reason, icf, assent, *_repeat_of, status, problems.
 
-    ``files`` come from ``prepare_files``; all columns of ``rows`` are kept.
+    ``files`` come from ``prepare_files``; ``facts``, where several results need them, from ``media_facts``.  All columns
+    of ``rows`` are kept.  Rows meet their answer by what they ask for; asks that many rows share are split by AQE.
     """
-    asked = row_asks(rows).withColumn("_salt", salt(position))
-    # The distinct asks are few against the rows and are read several times below, so they are written once.
-    parts = cut(asked.groupBy(*_ASK, "_salt").agg(F.min(position).alias("_first")))
-    groups = group_files(files)
-    answers = answer_asks(parts.filter(F.col("name_key").isNotNull()), files, groups, preset)
-    first_rows = parts.groupBy("name_key").agg(F.min("_first").alias("first_row"))
-    answers = answers.join(first_rows, "name_key")
-    salted = parts.select(*_ASK, "_salt").join(answers, _ASK)
-    planned = asked.join(salted, [*_ASK, "_salt"], "left")
+    facts = media_facts(files) if facts is None else facts
+    asked = row_asks(rows)
+    asks = asked.filter(F.col("name_key").isNotNull()).groupBy(*_ASK).agg(F.min(position).cast("long").alias("first"))
+    asks = staged(asks.withColumn("ask_id", F.monotonically_increasing_id()))
+    planned = asked.join(answer_asks(asks, files, facts, preset), _ASK, "left")
 
     found = F.col("folder").isNotNull()
     video, icf, assent = F.col("video"), F.col("icf"), F.col("assent")
@@ -320,7 +236,7 @@ def plan_rows(rows: DataFrame, files: DataFrame, preset: Preset, position: str =
             "video_reason": F.when(F.col("video_reason").isin("unique", "column-k"), F.col("video_reason")),
             "matched_folder": F.col("folder"),
         })
-        .drop("_salt", "folder", "first_row", "wanted")
+        .drop("folder", "first_row", "wanted")
     )
 
 
@@ -338,12 +254,12 @@ def plan_status(found: Column, video: Column, icf: Column, assent: Column) -> Co
 
 # ---- guards ---------------------------------------------------------------------------------------------------------
 
-def _guard(kind: str, who: Column, detail: Column | str) -> list[Column]:
+def _guard(kind: str, who: Column, detail: Column | str) -> Column:
     severity, title = GUARDS[kind]
-    return [
+    return F.struct(
         F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(title).alias("title"),
-        who.alias("who"), F.lit(detail).alias("detail"),
-    ]
+        who.alias("who"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"),
+    )
 
 
 def row_keys(rows: DataFrame) -> DataFrame:
@@ -353,29 +269,19 @@ def row_keys(rows: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def unmatched_groups(groups: DataFrame, rows: DataFrame) -> DataFrame:
-    """Participants with files but no row, as guards."""
-    orphans = groups.join(row_keys(rows), "name_key", "left_anti")
-    return orphans.select(*_guard("unmatched-name", F.format_string('folder "%s"', F.col("folder")), DETAIL_UNMATCHED))
+def _unmatched() -> Column:
+    return _guard("unmatched-name", F.format_string('folder "%s"', F.col("folder")), DETAIL_UNMATCHED)
 
 
-def _listed(members: DataFrame, keys: list[str], order: list[str], joiner: str) -> DataFrame:
-    """Names per guard in listing order; ``members`` holds only groups of a bounded size."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "name")))
-    return members.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda m: m["name"]), joiner).alias("names"))
+def unmatched_groups(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Participants with files but no row, as guards."""
+    return groups.join(row_keys(rows), "name_key", "left_anti").select(F.inline(F.array(_unmatched())))
 
 
-def duplicate_members(files: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every file behind a duplicate-icf or duplicate-assent guard: kind, folder, n, name, path, order columns."""
-    held = groups.join(row_keys(rows), "name_key", "left_semi")
-    counted = held.select("name_key", F.col("folder").alias("who"), F.explode(F.create_map(
-        F.lit("icf"), F.col("n_icf"), F.lit("assent"), F.col("n_assent")
-    )).alias("kind", "n")).filter("n > 1")
-    order = _order(files)
-    papers = files.filter(F.col("kind").isin("icf", "assent") & F.col("name_key").isNotNull()).select(
-        "name_key", "kind", "name", *order
-    ).withColumn("_salt", salt("path"))
-    return join_by_key(papers, counted, ["name_key", "kind"], "_salt", how="inner").drop("_salt")
+def held_groups(files: DataFrame, rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``group_files`` with ``held``: whether the sheet has a row of the participant."""
+    keys = row_keys(rows).withColumn("held", F.lit(True))
+    return group_files(files, facts).join(keys, "name_key", "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
 def ambiguous_slots(plan: DataFrame) -> DataFrame:
@@ -383,9 +289,7 @@ def ambiguous_slots(plan: DataFrame) -> DataFrame:
     slots = plan.filter(
         F.col("matched_folder").isNotNull() & F.col("video").isNull() & (F.col("n_videos") > 1)
     )
-    return slots.groupBy("name_key", "want_env", "want_expr").agg(
-        F.min("matched_folder").alias("who"), F.max("n_videos").alias("n")
-    )
+    return slots.groupBy("name_key", "want_env", "want_expr").agg(F.min("matched_folder").alias("who"))
 
 
 def _classed(slots: DataFrame) -> DataFrame:
@@ -395,63 +299,74 @@ def _classed(slots: DataFrame) -> DataFrame:
     })
 
 
-def ambiguous_members(files: DataFrame, slots: DataFrame) -> DataFrame:
-    """Every candidate video of the contested slot classes, once per class: who, n, _SLOT, name, order columns."""
-    classes = _classed(slots).groupBy(*_SLOT).agg(F.min("who").alias("who"), F.max("n").alias("n"))
-    videos = slot_videos(files).select(*_SLOT, "name", *_order(files)).withColumn("_salt", salt("path"))
-    return join_by_key(videos, classes, _SLOT, "_salt", how="inner").drop("_salt")
+def _members(files: DataFrame, groups: DataFrame, slots: DataFrame) -> DataFrame:
+    """(kind, who, _SLOT, fid, name, path): every file behind a guard, once per slot class it is a candidate of.
+
+    The few guards are joined to all files, so a guard of many files is split like any other hot key of a join.
+    """
+    none = F.lit(None).cast("string")
+    double = groups.filter("held").select("name_key", F.col("folder").alias("who"), F.inline(F.array(
+        F.struct(F.lit("icf").alias("paper"), F.col("n_icf").alias("n")), F.struct(F.lit("assent").alias("paper"), F.col("n_assent").alias("n")),
+    ))).filter("n > 1").select("name_key", "paper", "who")
+    papers = files.filter(F.col("kind").isin("icf", "assent") & F.col("name_key").isNotNull()).select(
+        "name_key", F.col("kind").alias("paper"), "fid", "name", "path")
+    copies = papers.join(double, ["name_key", "paper"]).select(
+        F.concat(F.lit("duplicate-"), "paper").alias("kind"), "who", "name_key", none.alias("env_class"), none.alias("expr_class"), "fid", "name", "path")
+    classes = _classed(slots).groupBy(*_SLOT).agg(F.min("who").alias("who"))
+    videos = files.filter((F.col("kind") == "video") & F.col("name_key").isNotNull())
+    videos = by_slot(videos, F.lower("environment"), F.lower("expression")).select(*_SLOT, "fid", "name", "path")
+    candidates = videos.join(classes, _SLOT).select(F.lit("ambiguous-slot").alias("kind"), "who", *_SLOT, "fid", "name", "path")
+    return copies.unionByName(candidates)
 
 
-def guard_members(files: DataFrame, rows: DataFrame, plan: DataFrame) -> DataFrame:
+def guard_members(files: DataFrame, rows: DataFrame, plan: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(kind, who, env_class, expr_class, name, path): every file named by a guard, however many there are.
 
     Candidates of a contested slot are listed once per class, not once per spelling of the wish.
     """
-    groups, none = group_files(files), F.lit(None).cast("string")
-    duplicates = duplicate_members(files, groups, rows).select(
-        F.concat(F.lit("duplicate-"), F.col("kind")).alias("kind"), "who", none.alias("env_class"),
-        none.alias("expr_class"), "name", "path",
-    )
-    videos = ambiguous_members(files, ambiguous_slots(plan))
-    return duplicates.unionByName(
-        videos.select(F.lit("ambiguous-slot").alias("kind"), "who", "env_class", "expr_class", "name", "path")
-    )
-
-
-def _named(template: str, n: Column, names: Column, *rest: Column) -> Column:
-    """A detail text with the names spelt out, or their number where the list is long."""
-    return F.format_string(template, F.coalesce(names, F.format_string("%d files", n)), *rest)
+    facts = media_facts(files) if facts is None else facts
+    members = _members(files, held_groups(files, rows, facts), ambiguous_slots(plan))
+    return members.select("kind", "who", "env_class", "expr_class", "name", "path")
 
 
-def find_guards(files: DataFrame, rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """All six guards: kind, severity, title, who, detail.
+def _named(members: DataFrame) -> DataFrame:
+    """(kind, who, _SLOT, names): the names of each guard's files in listing order, whole.
 
-    A text names up to 100 files; ``guard_members`` has every file of every guard.
+    Files are joined to texts in blocks of consecutive numbers first, so no task holds the list of one guard's files; only
+    the text itself, which is the result, is in one place.
     """
-    groups = group_files(files)
-    held = groups.join(row_keys(rows), "name_key", "left_semi")
-    found = unmatched_groups(groups, rows)
-    for paper in ("icf", "assent"):
-        missing = held.filter(F.col(f"n_{paper}") == 0)
-        found = found.unionByName(missing.select(*_guard(f"missing-{paper}", F.col("folder"), DETAIL_MISSING[paper])))
-    order = _order(files)
-    duplicates = duplicate_members(files, groups, rows)
-    counts = held.select("name_key", F.col("folder").alias("who"), F.explode(F.create_map(
-        F.lit("icf"), F.col("n_icf"), F.lit("assent"), F.col("n_assent")
-    )).alias("kind", "n")).filter("n > 1")
-    listed = _listed(duplicates.filter(F.col("n") <= NAMES_IN_TEXT), ["name_key", "kind"], order, ", ")
-    papers = counts.join(listed, ["name_key", "kind"], "left")
-    for paper in ("icf", "assent"):
-        detail = _named(DETAIL_DUPLICATE[paper], F.col("n"), F.col("names"))
-        found = found.unionByName(
-            papers.filter(F.col("kind") == paper).select(*_guard(f"duplicate-{paper}", F.col("who"), detail))
-        )
-    slots = ambiguous_slots(plan)
-    names = _listed(ambiguous_members(files, slots.filter(F.col("n") <= NAMES_IN_TEXT)), _SLOT, order, " and ")
-    contested = _classed(slots).join(names, _SLOT, "left")
-    detail = _named(DETAIL_AMBIGUOUS, F.col("n"), F.col("names"), F.col("want_expr"))
-    who = F.concat(F.col("who"), F.lit(" · "), F.col("want_env"))
-    return found.unionByName(contested.select(*_guard("ambiguous-slot", who, detail)))
+    keys = ["kind", "who", *_SLOT]
+    joiner = F.when(F.col("kind") == "ambiguous-slot", " and ").otherwise(", ")
+
+    def joined(order: str, text: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.struct(order, text)))
+        return F.transform(listed, lambda m: m[text])
+
+    blocks = members.groupBy(*keys, F.shiftright("fid", NAMES_BITS).alias("block")).agg(joined("fid", "name").alias("names")) \
+        .withColumn("names", F.array_join("names", "\x00"))
+    whole = blocks.groupBy(*keys).agg(joined("block", "names").alias("names"))
+    return whole.withColumn("names", F.replace(F.array_join("names", "\x00"), F.lit("\x00"), joiner))
+
+
+def find_guards(files: DataFrame, rows: DataFrame, plan: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """All six guards: kind, severity, title, who, detail.  A text names every file of its guard."""
+    facts = media_facts(files) if facts is None else facts
+    groups = staged(held_groups(files, rows, facts))
+    slots = staged(ambiguous_slots(plan))
+    folder, held = F.col("folder"), F.col("held")
+    plain = groups.select(F.inline(F.array_compact(F.array(
+        F.when(~held, _unmatched()),
+        *[F.when(held & (F.col(f"n_{p}") == 0), _guard(f"missing-{p}", folder, DETAIL_MISSING[p])) for p in ("icf", "assent")],
+    ))))
+    named = _named(_members(files, groups, slots))
+    papers = named.select(F.inline(F.array_compact(F.array(*[
+        F.when(F.col("kind") == f"duplicate-{p}", _guard(f"duplicate-{p}", F.col("who"), F.format_string(DETAIL_DUPLICATE[p], F.col("names"))))
+        for p in ("icf", "assent")
+    ]))))
+    contested = _classed(slots).join(named.filter("kind = 'ambiguous-slot'").select(*_SLOT, "names"), _SLOT)
+    detail = F.format_string(DETAIL_AMBIGUOUS, F.col("names"), F.col("want_expr"))
+    videos = contested.select(F.inline(F.array(_guard("ambiguous-slot", F.concat("who", F.lit(" · "), "want_env"), detail))))
+    return plain.unionByName(papers).unionByName(videos)
 
 
 # ---- what the plan amounts to -----------------------------------------------------------------------------------------

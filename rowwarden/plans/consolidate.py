@@ -14,7 +14,7 @@ from rowwarden.operators.reports import file_reports
 from rowwarden.operators.rules import apply_rules
 from rowwarden.operators.shape import project_canonical, with_file
 from rowwarden.operators.spread import number_rows
-from rowwarden.session import cut
+from rowwarden.session import staged
 from rowwarden.sources.workbooks import unreadable_files
 
 FIRST_DATA_ROW = 2  # row 1 of the merged sheet is its header
@@ -77,14 +77,14 @@ def consolidate(
     several of the results.
     """
     unreadable = unreadable_files(cells)
-    headers = cut(detect_canonical(cells).join(unreadable.select("file_id"), "file_id", "left_anti"))
-    shaped = cut(project_canonical(cells, with_file(headers, files)))
+    headers = staged(detect_canonical(cells).join(unreadable.select("file_id"), "file_id", "left_anti"))
+    shaped = staged(project_canonical(cells, with_file(headers, files)))
     numbered = number_rows(shaped, "file_ix", "source_row", "merged_row", start=FIRST_DATA_ROW)
     rows = apply_rules(
         numbered, CANONICAL, current_year=current_year, day_first=day_first, strict_reference=strict_reference
     )
     if materialize:
-        rows = cut(rows)
+        rows = staged(rows)
     per_file = file_issues(files, headers, unreadable).unionByName(iss.explode_row_issues(rows))
     issues = per_file.unionByName(iss.find_duplicates(rows, CANONICAL))
     return Consolidated(rows, issues, file_reports(files, headers, rows, per_file), headers)

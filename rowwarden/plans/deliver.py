@@ -21,7 +21,7 @@ from rowwarden.operators.rules import apply_rules
 from rowwarden.operators.shape import choose_override_sheet, project_delivery, read_override, with_file
 from rowwarden.operators.spread import number_rows
 from rowwarden.plans.consolidate import FIRST_DATA_ROW
-from rowwarden.session import cut
+from rowwarden.session import staged
 from rowwarden.sources.listing import attach_links, split_listing
 from rowwarden.sources.workbooks import unreadable_files
 
@@ -32,6 +32,7 @@ class Delivered:
     issues: DataFrame
     plan: DataFrame
     guards: DataFrame
+    members: DataFrame
     metrics: DataFrame
 
 
@@ -66,13 +67,13 @@ def merge_metadata(
     if override:
         shaped, found = read_override(cells, with_file(choose_override_sheet(cells), books)), None
     else:
-        hits = cut(header_hits_delivery(cells))
+        hits = staged(header_hits_delivery(cells))
         headers = choose_delivery_sheet(hits).join(unreadable.select("file_id"), "file_id", "left_anti")
         placed = with_file(headers, books.withColumn("folder", folder_of(F.col("path"), roots)))
         shaped = project_delivery(cells, placed, prefer)
         found = workbook_issues(books, headers, unreadable, diagnose_delivery(cells, hits))
     # Written once, so that the cells are shuffled once: numbering counts the rows before it numbers them.
-    shaped = cut(shaped)
+    shaped = staged(shaped)
     numbered = number_rows(shaped, "file_ix", "source_row", "merged_row", start=FIRST_DATA_ROW)
     rows = apply_rules(
         numbered, DELIVERY, current_year=current_year, day_first=day_first, strict_reference=strict_reference
@@ -125,19 +126,17 @@ def deliver(
         prefer=prefer, strict_reference=strict_reference, override=override,
     )
     if materialize:
-        rows = cut(rows)
+        rows = staged(rows)
     issues = book_issues.unionByName(iss.explode_row_issues(rows))
+    wanted = rows
     if output == "merge":
-        media = media.limit(0)
-        planless = rows.limit(0)
-        files = attribute_media(media, planless, links, roots, preset)
-        plan = match.plan_rows(planless, files, preset)
-        guards = match.find_guards(files, planless, plan)
-        return Delivered(annotate(rows), issues, plan, guards, match.plan_metrics(plan, guards))
-    files = attribute_media(media, rows, links, roots, preset, strict_reference)
-    plan = match.plan_rows(rows, files, preset)
+        media, wanted = media.limit(0), rows.limit(0)
+    files = attribute_media(media, wanted, links, roots, preset, strict_reference)
+    facts = match.media_facts(files)
+    plan = match.plan_rows(wanted, files, preset, facts=facts)
     if materialize:
-        plan = cut(plan)
-    guards = match.find_guards(files, rows, plan)
-    final = annotate(match.write_links(plan, write_mode))
-    return Delivered(final, issues, plan, guards, match.plan_metrics(plan, guards))
+        plan = staged(plan)
+    guards = match.find_guards(files, wanted, plan, facts)
+    members = match.guard_members(files, wanted, plan, facts)
+    final = annotate(rows if output == "merge" else match.write_links(plan, write_mode))
+    return Delivered(final, issues, plan, guards, members, match.plan_metrics(plan, guards))

@@ -241,3 +241,36 @@ select event_id + 2 as merged_row,
   cast(null as string) as assent_url
 from {{events}}
 """
+
+# One participant with a third of all videos in one slot, the others with 2 to about 60; words of 7, of 3 and of 285
+# characters.  Every seventh order asks for a word: the token, the token misspelt, inside a sentence, a part, or something else.
+_CAST = "case when o_orderkey % 3 = 0 then 'cast 0' else concat('cast ', cast(cast(1 + floor(sqrt(cast(floor(o_orderkey / 7) as double))) as bigint) as string)) end"
+_HEX = "md5(cast(o_orderkey as string))"
+_TOKEN = (f"case when o_orderkey % 3 = 1 and o_orderkey % 5 = 0 then concat('q', repeat({_HEX}, 8), substr({_HEX}, 1, 28)) "
+          f"when o_orderkey % 11 = 0 then concat('k', substr({_HEX}, 1, 2)) else concat('w', substr({_HEX}, 1, 6)) end")
+CONTESTED_FILES = f"""
+select o_orderkey as id, troupe as name_key, token, concat('/lot/', troupe, '/INDOOR_', upper(token), '.mp4') as path,
+  concat('INDOOR_', upper(token), '.mp4') as name from (select o_orderkey, {_CAST} as troupe, {_TOKEN} as token from {{orders}}) t
+"""
+CONTESTED_SHEET = """
+select id as merged_row, name_key, case id % 2 when 0 then 'indoor' else '' end as environment, cast('' as string) as expression,
+  upper(name_key) as folder_name, case floor(id / 7) % 6 when 0 then token
+    when 1 then concat(substr(token, 1, length(token) - 2), 'z', substr(token, length(token)))
+    when 2 then concat(substr(token, 2, 1), substr(token, 1, 1), substr(token, 3), 'y')
+    when 3 then concat('the ', token, ' one') when 4 then substr(token, 2, 4) else concat('zzyzx', cast(id as string)) end as non_neutral
+from (""" + CONTESTED_FILES + """) f where id % 7 = 1
+"""
+
+# Groups of exactly 1, 100 and 101 consent files, a third of the rest in one group, the others in groups of seven.
+PAPERS = """
+select id, folder, concat('ICF ', lpad(cast(id as string), 9, '0'), '.pdf') as name,
+  concat('/lot/', folder, '/ICF ', lpad(cast(id as string), 9, '0'), '.pdf') as path,
+  lower(folder) as name_key from (
+  select id, case when n = 1 then 'One' when n <= 101 then 'Hundred' when n <= 202 then 'More' when n % 3 = 0 then 'Hot'
+    else concat('Seven ', cast(cast(floor(n / 10) as bigint) as string)) end as folder
+  from (select o_orderkey as id, row_number() over (order by o_orderkey) as n from {orders}) r) g
+"""
+PAPER_SHEET = """
+select distinct name_key, folder as folder_name, cast('Indoor' as string) as environment, cast('' as string) as expression,
+  cast(null as string) as non_neutral, min(id) over (partition by folder) as merged_row from (""" + PAPERS + """) p
+"""

@@ -18,7 +18,7 @@ from rowwarden.operators.layouts import CANONICAL
 from rowwarden.plans.consolidate import consolidate
 from rowwarden.plans.deliver import merge_metadata, workbook_issues
 from rowwarden.queries import mess
-from rowwarden.session import cut
+from rowwarden.session import staged
 from rowwarden.sources import listing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,7 +385,7 @@ def canonical_rows(spark, sf_dir):
 
 def _cells(spark, sf_dir, generator: str) -> DataFrame:
     """The derived cell table, stored as a decoded one would be."""
-    return cut(mess.run(spark, sf_dir, generator))
+    return staged(mess.run(spark, sf_dir, generator))
 
 
 def _consolidated(spark, sf_dir):
@@ -600,8 +600,8 @@ union all select path, name, name_key from ({mess.FILES}) f
 def file_identity(spark, sf_dir):
     files = mess.run(spark, sf_dir, _FLAT).drop("answer")
     people = mess.run(spark, sf_dir, mess.FILES).select(F.initcap("name_key").alias("folder_name"), F.col("p").alias("at"))
-    names = cut(identity.known_names(people, "folder_name", "at"))
-    return identity.participant_of_files(cut(files), ROOTS, names).select("path", "name_key")
+    names = staged(identity.known_names(people, "folder_name", "at"))
+    return identity.participant_of_files(staged(files), ROOTS, names).select("path", "name_key")
 
 
 # ---- matching -----------------------------------------------------------------------------------------------------------
@@ -692,8 +692,10 @@ def plan_status(spark, sf_dir):
     )
 
 
-@query(_PLAN_CTE + f"""
-, groups as (select g.*, exists (select 1 from sheet s where s.name_key = g.name_key) as held from ({_GROUPS}) g)
+_HELD = f", groups as (select g.*, exists (select 1 from sheet s where s.name_key = g.name_key) as held from ({_GROUPS}) g)"
+
+
+@query(_PLAN_CTE + _HELD + """
 select kind, severity, count(*) as n from (
 select 'unmatched-name' as kind, 'error' as severity from groups where not held
 union all select 'missing-icf', 'error' from groups where held and n_icf = 0
@@ -706,28 +708,80 @@ group by kind, severity
 """)
 def guard_counts(spark, sf_dir):
     rows, media, plan = _planned(spark, sf_dir)
-    guards = match.find_guards(media, rows, cut(plan))
+    guards = match.find_guards(media, rows, staged(plan))
     return guards.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+_FITS = "contains(s.non_neutral, f.token) or contains(f.token, s.non_neutral) or damerau_levenshtein(f.token, s.non_neutral) <= 2"
+
+
+@query(f"""
+with files as materialized ({mess.CONTESTED_FILES}), sheet as materialized ({mess.CONTESTED_SHEET}),
+met as (select s.merged_row, f.path, {_FITS} as fits from sheet s join files f on f.name_key = s.name_key
+  where abs(length(f.token) - length(s.non_neutral)) <= 2 or contains(s.non_neutral, f.token) or contains(f.token, s.non_neutral)),
+hits as (select merged_row, count(*) as n, min(path) as path from met where fits group by merged_row),
+counts as (select name_key, count(*) as n, min(path) as path from files group by name_key)
+select s.merged_row, c.n as n_videos, case when c.n = 1 then c.path when h.n = 1 then h.path end as video,
+  case when c.n = 1 then 'unique' when h.n = 1 then 'column-k' end as video_reason
+from sheet s join counts c on c.name_key = s.name_key left join hits h on h.merged_row = s.merged_row
+""")
+def contested_slots(spark, sf_dir):
+    """The tie-break by word in slots of two and of thousands of videos."""
+    files = mess.run(spark, sf_dir, mess.CONTESTED_FILES).select("path", "name")
+    media = match.prepare_files(identity.participant_of_files(files, ROOTS), PRESET)
+    plan = match.plan_rows(mess.run(spark, sf_dir, mess.CONTESTED_SHEET).drop("name_key"), media, PRESET)
+    return plan.select("merged_row", "n_videos", F.col("video.path").alias("video"), "video_reason")
+
+
+def _papers(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files, rows = mess.run(spark, sf_dir, mess.PAPERS).select("path", "name"), mess.run(spark, sf_dir, mess.PAPER_SHEET).drop("name_key")
+    media = match.prepare_files(identity.participant_of_files(files, ROOTS), PRESET)
+    return media, rows, staged(match.plan_rows(rows, media, PRESET))
+
+
+@query(f"""
+select case when n > 1 then 'duplicate-icf' else 'missing-assent' end as kind, folder as who,
+  case when n > 1 then concat('Found ', names, '. Ambiguous, so AC is held.') else '{match.DETAIL_MISSING["assent"]}' end as detail
+from (select folder, count(*) as n, string_agg(name, ', ' order by path) as names from ({mess.PAPERS}) p group by folder) g
+union all select 'missing-assent', folder, '{match.DETAIL_MISSING["assent"]}' from ({mess.PAPERS}) p group by folder having count(*) > 1
+""")
+def guard_details(spark, sf_dir):
+    """Texts of guards over 1, 100, 101 and thousands of files, every name spelt out."""
+    media, rows, plan = _papers(spark, sf_dir)
+    return match.find_guards(media, rows, plan).select("kind", "who", "detail")
+
+
+@query(f"""
+select 'duplicate-icf' as kind, folder as who, name, path from ({mess.PAPERS}) p
+where folder in (select folder from ({mess.PAPERS}) q group by folder having count(*) > 1)
+""")
+def guard_members(spark, sf_dir):
+    media, rows, plan = _papers(spark, sf_dir)
+    return match.guard_members(media, rows, plan).select("kind", "who", "name", "path")
+
+
 _LINKED = """
 , linked as (select distinct u.path, f.link is not null as existed from (select video as path from answer union all
   select icf from answer union all select assent from answer) u join files f on f.path = u.path)
 """
 
 
-@query(_PLAN_CTE + _LINKED + """
+@query(_PLAN_CTE + _LINKED + _HELD + """
 select * from (select count(*) filter (where status = 'filled') as rows_filled,
   count(*) filter (where status = 'awaiting-link') as rows_awaiting_link,
   count(*) filter (where status = 'review') as rows_review, count(*) filter (where status = 'missing') as rows_missing,
   count(*) filter (where status = 'skipped') as rows_skipped from answer) a,
   (select count(*) as files_matched, count(*) filter (where existed) as links_reused,
-  count(*) filter (where not existed) as links_to_create from linked) b
+  count(*) filter (where not existed) as links_to_create from linked) b,
+  (select (select count(*) + count(*) filter (where held and n_icf <> 1) + count(*) filter (where held and n_assent <> 1)
+      - count(*) filter (where held) from groups)
+    + (select count(*) from (select distinct name_key, environment, expression from answer where found and video is null and n_videos > 1) d)
+    as guard_count) c
 """)
 def plan_metrics(spark, sf_dir):
-    rows, _, plan = _planned(spark, sf_dir)
-    nothing = rows.limit(0)
-    return match.plan_metrics(cut(plan), nothing).drop("rows_matched", "links_resolved", "guard_count")
+    rows, media, plan = _planned(spark, sf_dir)
+    plan = staged(plan)
+    return match.plan_metrics(plan, match.find_guards(media, rows, plan)).drop("rows_matched", "links_resolved")
 
 
 @query(_PLAN_CTE + _LINKED + "select path from linked where not existed")
@@ -805,17 +859,20 @@ def row_verdicts(spark, sf_dir):
     return ann.row_verdicts(bound).select("merged_row", "qa_result", "comments")
 
 
-@query(_PLAN_CTE + """
-select merged_row as "row", cast(5 as int) as "column",
-  cast(video is null as int) + cast(icf is null as int) + cast(assent is null as int)
-    + cast(not found as int) > 0 as told from answer where status not in ('filled', 'awaiting-link')
+@query(_PLAN_CTE + f"""
+select merged_row as "row", cast(5 as int) as "column", concat_ws(' ', case when not found then '{match.PROBLEM_NO_FOLDER}' end,
+  case when found and video is null and n_videos > 1
+    then concat(cast(n_videos as string), ' videos match ', environment, ' / ', expression, ' and column K does not single one out.')
+  when found and n_videos = 0
+    then concat('No video file matches ', case environment when '' then '?' else environment end, ' / ', case expression when '' then '?' else expression end, '.') end,
+  case when found and icf is null then '{match.PROBLEM_NO_ICF}' end, case when found and assent is null then '{match.PROBLEM_NO_ASSENT}' end) as note
+from answer where status not in ('filled', 'awaiting-link')
+union all select merged_row, cast(case column_letter when 'H' then 13 else 18 end as int), rule from ({_EXPECTED_ISSUES}) e where severity = 'review'
 """)
 def delivery_marks(spark, sf_dir):
+    """Cells to look at again: the findings that need a person, and the video cell of every row that isn't ready."""
     _, _, plan = _planned(spark, sf_dir)
-    none = _no_issues(spark, sf_dir)
-    return reports.delivery_marks(none, plan).select("row", "column", (F.length("note") > 0).alias("told"))
-
-
-def _no_issues(spark, sf_dir) -> DataFrame:
-    """The fixed findings of the rule rows: none of them is a review, so none marks a cell."""
-    return iss.explode_row_issues(_ruled(spark, sf_dir)).filter("severity = 'fixed'")
+    reviews = iss.explode_row_issues(_ruled(spark, sf_dir))
+    marks = reports.delivery_marks(reviews, plan)
+    by_rule = F.when(F.col("column") != 5, F.substring_index("note", ":", 1)).otherwise(F.col("note"))
+    return marks.select("row", "column", by_rule.alias("note"))

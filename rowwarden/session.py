@@ -1,8 +1,9 @@
-"""Session settings the library expects, and cutting of long lineages."""
+"""Session settings the library expects, and intermediate results written once."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,19 +24,36 @@ def build_session(app: str = "rowwarden", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  A local session without one gets a folder
-    of its own; a cluster without one is an error, because a folder on one machine does not survive its loss.
+    A local session without one gets a folder of its own; a cluster without one is an error, because a folder on one
+    machine does not survive its loss.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        folder = tempfile.mkdtemp(prefix="rowwarden-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-            folder = tempfile.mkdtemp(prefix="rowwarden-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Have a folder of intermediate results deleted when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder, for results that several later steps read.
+
+    Readers prune columns and push filters down, and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    remove_at_end(spark, folder)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

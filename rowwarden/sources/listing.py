@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowwarden.functions import filenames as fn
 from rowwarden.functions.links import parse_folder_urls
 from rowwarden.operators.spread import ordinal_within, running_offset
-from rowwarden.session import cut
+from rowwarden.session import staged
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,7 +29,7 @@ def index_files(files: DataFrame, order: str = "path") -> DataFrame:
 
     The listing is range-partitioned and pinned by a checkpoint, so that the partition numbers cannot change.
     """
-    ranged = cut(files.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    ranged = staged(files.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     bases = running_offset(sizes, "_part", "_n", "_base").select("_part", "_base")
     inside = Window.partitionBy("_part").orderBy(order)

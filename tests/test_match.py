@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from test_functions import osa
 
 from rowwarden import fixed
-from rowwarden.operators import identity, match
+from rowwarden.operators import identity, match, wordfit
+from rowwarden.session import staged
 
 PRESET = fixed.PRESETS["consent_first"]
 ROOT = "/Lot/One/Batch_5"
@@ -46,7 +47,7 @@ def scenario(spark):
     )
     owned = identity.participant_of_files(files, [ROOT], identity.known_names(rows, "folder_name", "merged_row"))
     media = match.prepare_files(owned, PRESET)
-    return rows, media, match.cut(match.plan_rows(rows, media, PRESET))
+    return rows, media, staged(match.plan_rows(rows, media, PRESET))
 
 
 def test_outcomes(scenario):
@@ -83,12 +84,26 @@ def test_guards_and_metrics(scenario):
     assert match.planned_files(plan).filter("name like '%.xlsx'").count() == 0
 
 
-def test_long_guard_lists_stay_whole(scenario, monkeypatch):
-    rows, media, plan = scenario
-    monkeypatch.setattr(match, "NAMES_IN_TEXT", 1)
-    details = {g["kind"]: g["detail"] for g in match.find_guards(media, rows, plan).collect()}
-    assert details["duplicate-icf"] == "Found 2 files. Ambiguous, so AC is held."
-    assert match.guard_members(media, rows, plan).count() == 4
+@pytest.mark.parametrize(("copies", "bits"), [(1, 12), (2, 0), (100, 12), (101, 3), (5000, 12)])
+def test_guards_name_every_file(spark, monkeypatch, copies, bits):
+    monkeypatch.setattr(match, "NAMES_BITS", bits)
+    papers = [f"ICF {i:05d}.pdf" for i in range(copies)]
+    videos = [f"INDOOR_WORD{i:05d}A.mp4" for i in range(copies + 1)]
+    files = spark.createDataFrame([(f"/r/One Hot/{n}", n, i) for i, n in enumerate([*papers[::-1], *videos, "ASSENT.jpg"])] + [("/r/Two/ICF.pdf", "ICF.pdf", -1)],
+                                  "path string, name string, file_ix bigint").repartition(5)
+    rows = spark.createDataFrame([(2, "One Hot", "Indoor", "", None), (3, "ONE_HOT", "indoor", "", "nothing like it")],
+                                 "merged_row bigint, folder_name string, environment string, expression string, non_neutral string")
+    media = match.prepare_files(identity.participant_of_files(files, ["/r"]), PRESET)
+    plan = staged(match.plan_rows(rows, media, PRESET))
+    guards = {(g["kind"], g["who"]): g["detail"] for g in match.find_guards(media, rows, plan).collect()}
+    listed = ", ".join(papers[::-1])
+    assert guards.pop(("duplicate-icf", "One Hot"), None) == (f"Found {listed}. Ambiguous, so AC is held." if copies > 1 else None)
+    between = " and ".join(videos)
+    for place in ("Indoor", "indoor"):
+        assert guards.pop(("ambiguous-slot", f"One Hot · {place}")) == f"{between} both map to . Needs column K to pick the row."
+    assert set(guards) == {("unmatched-name", 'folder "Two"')}
+    members = match.guard_members(media, rows, plan)
+    assert members.count() == copies * (copies > 1) + copies + 1 and members.filter("kind = 'ambiguous-slot'").select("name").distinct().count() == copies + 1
 
 
 def test_writes_touch_only_link_columns(scenario):
@@ -102,28 +117,42 @@ def test_writes_touch_only_link_columns(scenario):
     assert sorted(r["merged_row"] for r in cellwise.collect()) == [2, 3, 4]
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_word_fits_like_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(match, "FEW_TOKENS", few)
-    rnd = random.Random(5)
-    def word(n):
-        return "".join(rnd.choice("abcd") for _ in range(n))
-
-    tokens = [(p, word(rnd.randint(3, 7))) for p in "xy" for _ in range(25)]
-    wants = sorted({(p, word(rnd.randint(1, 7)) + rnd.choice(["", " " + word(3)])) for p in "xy" for _ in range(60)})
-    files = spark.createDataFrame(
-        [(f"/r/{p}/{i}", f"{i}", p, "video", "Indoor", "Non-Neutral", t) for i, (p, t) in enumerate(tokens)],
-        "path string, name string, name_key string, kind string, environment string, expression string, token string",
-    ).withColumns({"link": F.lit(""), "link_existed": F.lit(False), "recorded_at": F.lit(None).cast("timestamp"), "fuzzy": F.lit(False)})
-    asks = spark.createDataFrame([(p, "indoor", "", w) for p, w in wants],
-                                 "name_key string, env_class string, expr_class string, wanted string")
-    got = {(r["name_key"], r["wanted"]): (r["n_hits"], r["hit_video"] and r["hit_video"]["path"])
-           for r in match.resolve_by_word(asks, files, PRESET).collect()}
-    for p, w in wants:
-        hits = [f"/r/{q}/{i}" for i, (q, t) in enumerate(tokens) if q == p and (t in w or w in t or osa(t, w) <= 2)]
-        n, path = got.get((p, w), (0, None))
-        # Once a word is ambiguous it is not counted on: only none, one and several differ.
-        assert min(n, 2) == min(len(hits), 2) and path == (hits[0] if len(hits) == 1 else None), (p, w, n, hits)
+@pytest.mark.parametrize("edits", [True, False])
+def test_word_fits_like_brute_force(spark, edits):
+    draw = random.Random(5)
+
+    def word(n, letters="abcd"):
+        return "".join(draw.choices(letters, k=n))
+
+    long = [word(n) for n in (255, 256, 300, 700)]
+    tokens = {"two": ["abcd", long[2]], "many": sorted({word(draw.randint(3, 9)) for _ in range(400)}), "few": [word(draw.randint(3, 7)) for _ in range(33)],
+              "long": [*long, word(9)], "huge": [f"{word(6, 'abcdefghij')}{i}" for i in range(2500)]}
+    wants = {(s, w) for s in ("many", "few", "two") for w in (word(draw.randint(1, 11)) + draw.choice(["", " " + word(4)]) for _ in range(90))}
+    for place in (0, 100, 254, 299):
+        wants |= {("long", long[2][:place] + "z" + long[2][place + 1:]), ("long", long[2][:place] + "zzz" + long[2][place + 1:]), ("long", "x" + long[1] + "y")}
+    wants |= {("long", long[0][:200]), ("long", long[3][::-1]), ("long", f"{long[3]} {long[0]}"), ("two", long[2][1:]), ("two", long[2][3:] + "zzz")}
+    wants |= {("huge", draw.choice([t, t[:-1], t[1] + t[0] + t[2:], f"so {t} it is", t[2:5]])) for t in draw.choices(tokens["huge"], k=60)} | {("none", "abcd")}
+    wants = sorted(wants)
+    files = [(s, t, 1 + i % 3 // 2, 100 * i) for s, held in tokens.items() for i, t in enumerate(held)] + [("few", tokens["few"][0], 1, 99_999)]
+    got = {r["at"]: (r["n_hits"], r["hit"]) for r in wordfit.fitting_tokens(
+        spark.createDataFrame([(*w, i) for i, w in enumerate(wants)], "slot string, wanted string, at bigint").repartition(3),
+        spark.createDataFrame(files, "slot string, token string, n int, fid bigint").repartition(3), ["slot"], "at", edits).collect()}
+    for i, (slot, w) in enumerate(wants):
+        hits = [(n, fid) for s, t, n, fid in files if s == slot and (t in w or w in t or edits and abs(len(t) - len(w)) <= 2 and osa(t, w) <= 2)]
+        assert got.get(i, (0, None)) == (sum(n for n, _ in hits), min((f for _, f in hits), default=None)), (slot, w, got.get(i), hits)
+
+
+def test_other_files_do_not_change_a_hit(spark):
+    """A word's hits are the same beside two tokens and beside thousands."""
+    rows = spark.createDataFrame([(2, "Ann", "", "", "smilling"), (3, "Ann", "", "", "q" * 300)],
+                                 "merged_row bigint, folder_name string, environment string, expression string, non_neutral string")
+    picked = set()
+    for others in (1, 32, 33, 3000):
+        names = ["ANN_SMILING.mp4", f"ANN_{'q' * 299}Z.mp4", *[f"ANN_OTHER{i:06d}X.mp4" for i in range(others)]]
+        files = spark.createDataFrame([(f"/r/Ann/{n}", n) for n in names], "path string, name string")
+        media = match.prepare_files(identity.participant_of_files(files, ["/r"]), PRESET)
+        picked.add(tuple(r["video"]["name"] for r in match.plan_rows(rows, media, PRESET).orderBy("merged_row").collect()))
+    assert picked == {("ANN_SMILING.mp4", f"ANN_{'q' * 299}Z.mp4")}
 
 
 def test_names_in_file_names_like_brute_force(spark):
