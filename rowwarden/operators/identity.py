@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from rowwarden.functions import filenames as fn
 from rowwarden.functions import text as tx
+from rowwarden.session import staged
 
 _LEADING = 1000
+_MOST_WORDS = 1 << 20     # of 64 bits in the filter of known names: 8 MB
 
 
 def known_names(rows: DataFrame, column: str, position: str) -> DataFrame:
@@ -19,46 +21,63 @@ def known_names(rows: DataFrame, column: str, position: str) -> DataFrame:
     return keyed.filter(F.col("known").isNotNull()).groupBy("known").agg(F.min("_p").alias("first_seen"))
 
 
-def _substrings(text: Column, starts: Column, sizes: Column) -> Column:
-    """Distinct pieces of ``text`` of the given sizes at the given 1-based starts, each with its earliest start."""
-    def pieces(size: Column) -> Column:
-        fitting = F.filter(starts, lambda s: s + size - 1 <= F.length(text))
-        return F.transform(fitting, lambda s: F.struct(F.substring(text, s, size).alias("piece"), s.alias("at")))
+def name_filter(names: DataFrame) -> DataFrame:
+    """One row (sizes, least, words) that tells, with few errors, whether a piece of text can be a known name.
 
-    return F.flatten(F.transform(sizes, pieces))
+    ``words`` is a Bloom filter of two bits for every name and for the first ``least`` characters of every name, ``least``
+    being the length of the shortest.  It has about 32 bits a name and 8 MB at most; beyond two million names more pieces
+    pass that are no names, and the look-up drops them.
+    """
+    spark = names.sparkSession
+    size = F.length("known")
+    seen = names.agg(F.count("*").alias("n"), F.min(size).alias("least"), F.array_sort(F.collect_set(size)).alias("sizes")).first()
+    count = min(1 << max(0, (seen["n"] // 2).bit_length()), _MOST_WORDS)
+    least = seen["least"] or 1
+    keys = names.select(F.explode(F.array("known", F.concat(F.lit("^"), F.substring("known", 1, least)))).alias("key"))
+    bits = keys.select(F.explode(F.expr(f"array({', '.join(_places('key', count))})")).alias("at"))
+    held = bits.groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word"))
+    every = spark.range(count).join(held, "id", "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda w: w["word"])
+    return every.agg(words.alias("words")).select(
+        F.lit(seen["sizes"] or []).cast("array<int>").alias("sizes"), F.lit(least).alias("least"), "words")
+
+
+def _places(text: str, words: int) -> list[str]:
+    """SQL text: the two bits of a text in a filter of ``words`` 64-bit words, a power of two."""
+    return [f"({h} & {64 * words - 1}L)" for h in (f"xxhash64({text})", f"shiftrightunsigned(xxhash64({text}), 32)")]
+
+
+def _can_be(text: str) -> str:
+    """SQL text: whether the filter holds both bits of ``text``."""
+    last = "(64L * size(words) - 1)"
+    return " and ".join(
+        f"bit_get(get(words, cast(shiftright({h} & {last}, 6) as int)), cast({h} & 63 as int)) = 1"
+        for h in (f"xxhash64({text})", f"shiftrightunsigned(xxhash64({text}), 32)")
+    )
+
+
+def name_pieces(files: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, known, at): pieces of each text that are names, or very nearly always so, and where they begin."""
+    slim = files.select(key, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
+    begins = _can_be("concat('^', substring(_text, s, least))")
+    starts = f"filter(sequence(1, greatest(length(_text) - least + 1, 1)), s -> {begins})"
+    fitting = f"filter(sizes, k -> s + k - 1 <= length(_text) and {_can_be('substring(_text, s, k)')})"
+    pieces = f"flatten(transform({starts}, s -> transform({fitting}, k -> named_struct('known', substring(_text, s, k), 'at', s))))"
+    return slim.crossJoin(F.broadcast(name_filter(names))).select(key, F.inline(F.expr(pieces)))
 
 
 def match_known_names(files: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """(key, known, score) of the best known name contained in each ``text``; files without one are absent.
 
-    A name at the start beats any other, then the longer wins, then the one seen first.  Pieces of the text with the
-    length of some known name are looked up by equality, so files are never paired with names they do not contain.
-    Prefixes are tried first and settle nearly all files; only the rest is cut at every position.
+    A name at the start beats any other, then the longer wins, then the one seen first.  A filter as large as the names
+    allow picks the pieces that can be names inside the row, so what is shuffled is little more than the hits; files are
+    never paired with names they do not contain.
     """
-    # Lengths of known names: at most one row of as many numbers as the longest text has characters.
-    longest = files.agg(F.max(F.length(text)).alias("n")).first()["n"] or 0
-    sizes = (
-        names.filter(F.length("known") <= longest)
-        .agg(F.array_sort(F.collect_set(F.length("known"))).alias("sizes")).first()["sizes"]
-    )
-    sizes_literal = F.array(*[F.lit(s) for s in sizes]) if sizes else F.array().cast("array<int>")
-    slim = files.select(key, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-
-    def find(source: DataFrame, starts: Column) -> DataFrame:
-        cut = source.select(
-            key, F.explode(_substrings(F.col("_text"), starts, sizes_literal)).alias("_p")
-        ).select(key, F.col("_p.piece").alias("known"), F.col("_p.at").alias("_at"))
-        # Few pieces are names.  The name table is broadcast where AQE measures it small; otherwise AQE splits a piece
-        # that many files share, since the aggregate below shuffles again anyway.
-        hits = cut.join(names, "known")
-        score = F.when(F.col("_at") == 1, _LEADING).otherwise(0) + F.length("known")
-        best = F.max_by("known", F.struct(score, -F.col("first_seen")))
-        return hits.groupBy(key).agg(best.alias("known"), F.max(score).alias("score"))
-
-    leading = find(slim, F.array(F.lit(1)))
-    rest = slim.join(leading.select(key), key, "left_anti")
-    inner = find(rest, F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1))))
-    return leading.unionByName(inner)
+    names = staged(names)
+    hits = name_pieces(files, names, key, text).join(names, "known")
+    score = F.when(F.col("at") == 1, _LEADING).otherwise(0) + F.length("known")
+    best = F.max_by("known", F.struct(score, -F.col("first_seen")))
+    return hits.groupBy(key).agg(best.alias("known"), F.max(score).alias("score"))
 
 
 def participant_of_files(

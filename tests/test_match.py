@@ -168,6 +168,18 @@ def test_names_in_file_names_like_brute_force(spark):
         assert got.get(f"p{i}") == (max(scored)[2] if scored else None), t
 
 
+def test_few_pieces_that_are_no_names_are_looked_up(spark):
+    rnd = random.Random(2)
+    names = [f"{rnd.choice('abcdefgh')}{rnd.randrange(10 ** 6)} {rnd.choice('klmnop')}{rnd.randrange(1000)}" for _ in range(3000)]
+    texts = [f"take of {n} outdoor" if i % 3 else f"nothing known {i}" for i, n in enumerate(names)]
+    known = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "known string, first_seen bigint").dropDuplicates(["known"])
+    files = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)] + [("none", None), ("", "")], "path string, base string")
+    pieces = identity.name_pieces(files, known, "path", "base")
+    assert pieces.join(known, "known").count() >= 2000 and pieces.count() <= 2 * pieces.join(known, "known").count()
+    assert identity.match_known_names(files, known.limit(0), "path", "base").count() == 0
+    assert identity.match_known_names(files.limit(0), known, "path", "base").count() == 0
+
+
 def test_identity(spark):
     known = spark.createDataFrame([("Pia Holt", 1), ("Pia Holtt", 2), ("Dov", 3), ("Dov Lee", 4), ("Chloe Marat", 5), ("Holt", 6)],
                                   "folder_name string, at bigint")
