@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -45,6 +46,23 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` for ``mapInArrow``, giving free memory back to the machine when its task ends: the worker lives on idle."""
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """One output row group for every 1,000 input rows, rows in the same order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +70,7 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
             for at in range(0, batch.num_rows, 1000):
                 yield step(batch.slice(at, 1000))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +136,35 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(starts, offsets)
 
 
+class Remembered:
+    """What has been worked out for keys, in two generations of about ``most`` bytes each; ``cost`` gives an entry's bytes.
+
+    When the young generation is full it becomes the old one, and what isn't met again meanwhile is forgotten.
+    """
+
+    def __init__(self, most: int, cost: Callable[..., int]) -> None:
+        self.most, self.cost, self.size = most, cost, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def put(self, key, value) -> None:
+        self.size += self.cost(key, value)
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, self.cost(key, value)
+        self.young[key] = value
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def every(self, keys: list) -> list:
+        """What is remembered of each key, None for the others."""
+        found = list(map(self.young.get, keys))
+        return [self.get(k) if f is None else f for k, f in zip(keys, found, strict=True)] if self.old and None in found else found
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none.  Native."""
     gap = "[" + "".join(f"\\x{ord(c):02x}" for c in SPACES) + "]+"

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rowwarden.llm.batches import utf8
+from rowwarden.llm.batches import tidied, utf8
 from rowwarden.llm.token_counts import AS_CHAR
 
 CHUNK_BITS = 9          # a cut every 512 bytes on average
@@ -154,4 +154,4 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 at = to
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(tidied(run), SCHEMA)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowwarden.llm.batches import staged, utf8
+from rowwarden.llm.batches import staged, tidied, utf8
 from rowwarden.llm.runs import beyond_ascii, coded, portions, runs
 
 PORTION = 16 << 20       # bytes of text that are collapsed or counted at once
@@ -46,7 +46,7 @@ def collapsed(docs: DataFrame) -> DataFrame:
                 table = pa.Table.from_batches([part]).append_column("n", pa.array(np.ones(part.num_rows, np.int64)))
                 yield from _collapse(table).rename_columns(["lang", "text", "sources", "copies"]).to_batches()
 
-    once = docs.select("lang", "text", "source").mapInArrow(step, COLLAPSED).withColumn("h", F.xxhash64("text"))
+    once = docs.select("lang", "text", "source").mapInArrow(tidied(step), COLLAPSED).withColumn("h", F.xxhash64("text"))
     return once.repartition("lang", "h").sortWithinPartitions("lang", "h").drop("h")
 
 
@@ -91,7 +91,7 @@ def counted(texts: DataFrame) -> DataFrame:
             for part in portions(batch, 1, PORTION):
                 yield _count(_spread(part))
 
-    return texts.mapInArrow(step, COUNTED)
+    return texts.mapInArrow(tidied(step), COUNTED)
 
 
 def _share(count: str, total: str) -> Column:

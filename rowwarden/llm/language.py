@@ -18,23 +18,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowwarden.llm.batches import staged, tidied
+
 LETTERS = regex.compile(r"\p{L}+")
 LENGTHS = (4, 3, 2, 1)
-CACHED_WORDS = 200_000
+CACHE_BYTES = 64 << 20   # of words that a task has judged
 UNKNOWN = "und"
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, n_letter_words long, share_known double"
 
 
-def _words(text: str, remembered: dict[str, list[str]]) -> Iterator[str]:
-    for token in text.split():
-        found = remembered.get(token)
-        if found is None:
-            found = LETTERS.findall(token.lower())
-            if len(remembered) < CACHED_WORDS:
-                remembered[token] = found
-        yield from found
-
-
 def count_words(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, word, n) over whole texts; rows without text or language count nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +44,7 @@ def count_words(labelled: DataFrame, text_col: str = "text", lang_col: str = "la
                     ["lang", "word", "n"])
 
     texts = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
-    return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidied(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def grams_of(word: str, length: int) -> list[str]:
@@ -83,7 +75,7 @@ def count_grams(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(own)), pa.array(list(own)), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
 
-    return words.select("lang", "word", "n").mapInArrow(run, "lang string, gram string, n long") \
+    return words.select("lang", "word", "n").mapInArrow(tidied(run), "lang string, gram string, n long") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -131,20 +123,15 @@ class Model:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", word_share: float = 5e-5,
         gram_share: float = 2e-4) -> Model:
     """Count over all rows with a language; only frequencies above the shares, a bounded number, reach the driver."""
-    counts = count_words(labelled, text_col, lang_col)
-    counts = counts.persist()
-    try:
-        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        if not totals:
-            return Model([], [], {})
-        least = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, max(1.0, n * word_share))])
-        words = counts.filter(F.col("n") >= least[F.col("lang")]).collect()
-        grams = count_grams(counts)
-        letters = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, max(1.0, n * gram_share))])
-        # Every word has at least one n-gram of each length up to its own, and a few at most.
-        grams = grams.filter(F.col("n") >= letters[F.col("lang")]).collect()
-    finally:
-        counts.unpersist()
+    counts = staged(count_words(labelled, text_col, lang_col))
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        return Model([], [], {})
+    least = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, max(1.0, n * word_share))])
+    words = counts.filter(F.col("n") >= least[F.col("lang")]).collect()
+    letters = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, max(1.0, n * gram_share))])
+    # Every word has at least one n-gram of each length up to its own, and a few at most.
+    grams = count_grams(counts).filter(F.col("n") >= letters[F.col("lang")]).collect()
     return Model([tuple(r) for r in words], [tuple(r) for r in grams], totals)
 
 
@@ -162,8 +149,10 @@ def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_
         own = shared.value
         zero = np.zeros(len(own.langs), np.float64)
         remembered: dict[str, tuple] = {}
+        room = CACHE_BYTES
 
         def of(token: str) -> tuple:
+            nonlocal room
             found = remembered.get(token)
             if found is None:
                 said, n, known = zero.copy(), 0, 0
@@ -171,8 +160,10 @@ def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_
                     more, is_known = own.word(word)
                     said, n, known = said + more, n + 1, known + is_known
                 found = tuple(said.tolist()), n, known
-                if len(remembered) < CACHED_WORDS:
+                size = 4 * len(token) + 40 * len(zero) + 250
+                if size <= room:
                     remembered[token] = found
+                    room -= size
             return found
 
         for batch in batches:
@@ -195,7 +186,7 @@ def predict(docs: DataFrame, model: Model, held_out: Column, id_col: str = "doc_
                 ["doc_id", "held_out", "lang_pred", "score", "n_letter_words", "share_known"])
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out.alias("held_out"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, PREDICTED)
+    return picked.mapInArrow(tidied(run), PREDICTED)
 
 
 def fold(id_col: str, folds: int) -> Column:

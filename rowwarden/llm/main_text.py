@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rowwarden.llm.batches import tidied
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Kinds of elements.
@@ -259,4 +261,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                     ["page_id", "url", "text", "n_chars"])
 
     picked = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(tidied(run), SCHEMA)

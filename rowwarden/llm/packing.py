@@ -8,32 +8,63 @@ windows first.  So every window is full but the last of a task, which is cut int
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rowwarden.llm.batches import split_words
+from rowwarden.llm.batches import IS_SPACE, LOWER, Remembered, tidied, utf8
+from rowwarden.llm.runs import latin, runs
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 K1, B = 1.2, 0.75
-#: Words whose lower-casing and normal form are the same in every library: Latin letters of one code point.
-_PLAIN = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_PARTS = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-CACHED_WORDS = 400_000
+#: Words whose lower-casing and normal form are the same in every library: Latin letters of one code point, then ASCII
+#: signs but for the apostrophe, which may begin a contraction.
+_SIGN = np.zeros(256, bool)
+_SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+CACHE_BYTES = 40 << 20    # of each of two generations of encoded letters, signs and other words
+_EMPTY = np.zeros(0, np.uint32)
 _ready: dict[str, "WordEncoder"] = {}
 
 
+def plain_letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of the letters A-Z, a-z, and of those from U+00C0 to U+00FF, where two signs are no letters."""
+    inside = latin(data)
+    signs = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    inside[signs] = inside[signs + 1] = False
+    return inside
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with the capitals among the plain letters made small."""
+    out = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    out[second] += np.where((data[second] <= 0x9E) & (data[second] != 0x97), np.uint8(32), np.uint8(0))
+    return out
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Stretches of bytes, in order and apart, as numbers into an array of the distinct ones."""
+    edges = np.zeros(len(data) + 1, np.int8)
+    some = ends > starts
+    edges[starts[some]] += 1
+    edges[ends[some]] -= 1
+    inside = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
+    places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data[inside])]).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
 class WordEncoder:
-    """Ids of a word-level BPE file, word by word: no token reaches across white space, so words are encoded once.
+    """Ids of a word-level BPE file: no token reaches across white space, so what is distinct in a batch is encoded once.
 
-    Words of plain Latin letters with signs after them are lower-cased here and encoded in one call by the same model
-    without its normaliser; all others go through the file's own tokenizer.
+    The letters and the signs of plain words are encoded apart, in one call by the same model without its normaliser; all
+    other words go through the file's own tokenizer.  A bounded number of bytes of both is remembered.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,50 +84,63 @@ class WordEncoder:
                 "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
         self.bare = Tokenizer.from_str(json.dumps(spec))
         self.word_level = bool(suffix)
-        self.known: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def _encode_new(self, words: list[str]) -> dict[str, bytes]:
-        plain, rest = [], []
-        for word in words:
-            parts = _PARTS.fullmatch(word) if self.word_level else None
-            if parts is None or "<|" in word:
-                rest.append(word)
-            else:
-                plain.append((word, parts[1].lower(), parts[2]))
-        # Words differ in case and signs more than in letters, so letters and signs are encoded and remembered apart.
-        units = self.units
-        fresh = list({u for _, *pair in plain for u in pair if u and u not in units})
-        new = {}
+        self.units, self.others = (Remembered(CACHE_BYTES, lambda word, ids: len(word) + len(ids) + 200) for _ in range(2))
+
+    def _units(self, wanted: list[str]) -> list[bytes]:
+        """Ids of letters or signs, as bytes."""
+        found = self.units.every(wanted)
+        fresh = [i for i, f in enumerate(found) if f is None and wanted[i]]
         if fresh:
-            ids = np.array(self.bare.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.bare.encode_batch_fast([" ".join([wanted[i] for i in fresh])], add_special_tokens=False)[0].ids, np.uint32)
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             if len(ends) != len(fresh):
                 raise ValueError("the vocabulary doesn't close every word with a piece of its own")
-            raw = ids.tobytes()
-            new = {u: raw[x:y] for u, x, y in zip(fresh, [0, *ends], ends, strict=False)}
-        if len(units) < CACHED_WORDS:
-            units.update(new)
-            new = {}
-        get = (lambda u: units.get(u) or new[u]) if new else units.__getitem__
-        found = {word: get(x) + get(y) if y else get(x) for word, x, y in plain}
-        if rest:
-            own = self.full.encode_batch_fast(rest, add_special_tokens=False)
-            found |= {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(rest, own, strict=True)}
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(fresh, ends, strict=True):
+                found[i], at = raw[at:end], end
+                self.units.put(wanted[i], found[i])
+        return [f or b"" for f in found]
+
+    def _others(self, wanted: list[str]) -> list[bytes]:
+        """Ids of whole words by the file's own tokenizer, as bytes."""
+        found = self.others.every(wanted)
+        fresh = [i for i, f in enumerate(found) if f is None]
+        for i, own in zip(fresh, self.full.encode_batch_fast([wanted[i] for i in fresh], add_special_tokens=False), strict=True):
+            found[i] = np.array(own.ids, np.uint32).tobytes()
+            self.others.put(wanted[i], found[i])
         return found
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [split_words(t) for t in texts]
-        known = self.known
-        new = self._encode_new([w for w in set().union(*split) if w not in known])
-        if len(known) < CACHED_WORDS:
-            known.update(new)
-            get = known.__getitem__
-        else:
-            new.setdefault("", b"")
-            get = lambda w: known.get(w) or new.get(w) or b""
-        for own in split:
-            yield np.frombuffer(b"".join(map(get, own)), np.uint32)
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        data, offsets = utf8(texts)
+        n = len(offsets) - 1
+        if not len(data):
+            yield from [_EMPTY] * n
+            return
+        starts, ends, text = runs(data, offsets, ~IS_SPACE[data])
+        letter = plain_letters(data)
+        stops = np.flatnonzero(~letter)
+        middle = np.minimum(np.append(stops, len(data))[np.searchsorted(stops, starts)], ends)
+        # Behind its letters a plain word has signs only, and no "<|", which may begin a special token.
+        later = np.flatnonzero(~_SIGN[data])
+        signs_to = np.append(later, len(data))[np.searchsorted(later, middle)]
+        marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        plain = (middle > starts) & (signs_to >= ends) & (np.append(marks, len(data))[np.searchsorted(marks, starts)] >= ends) & self.word_level
+        small = lowered(data)
+        letters, names = spans(small, starts[plain], middle[plain])
+        signs, marks = spans(data, middle[plain], ends[plain])
+        whole, words = spans(data, starts[~plain], ends[~plain])
+        ids = [*self._units(names.to_pylist()), *self._units(marks.to_pylist()), *self._others(words.to_pylist()), b""]
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
+        parts = np.full((len(starts), 2), len(ids) - 1)
+        parts[plain, 0], parts[plain, 1], parts[~plain, 0] = letters, len(names) + signs, len(names) + len(marks) + whole
+        own = sizes[parts]
+        parts, each = parts.reshape(-1), own.reshape(-1)
+        places = np.arange(each.sum()) + np.repeat(begin[parts] - (np.cumsum(each) - each), each)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(text, own.sum(axis=1), minlength=n).astype(np.int64))])
+        every = flat[places]
+        for a, b in itertools.pairwise(bounds.tolist()):
+            yield every[a:b]
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -220,8 +264,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
         for batch in batches:
             names = batch.column(0).to_pylist()
             for at in range(0, len(names), 1024):
-                texts = [t or "" for t in batch.column(1).slice(at, 1024).to_pylist()]
-                for doc, own in zip(names[at:at + 1024], encoder.encode(texts), strict=True):
+                for doc, own in zip(names[at:at + 1024], encoder.encode(batch.column(1).slice(at, 1024)), strict=True):
                     ids = np.concatenate([own, end])
                     whole = len(ids) // window * window
                     for start in range(0, whole, window):
@@ -240,4 +283,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(tidied(run), SCHEMA)

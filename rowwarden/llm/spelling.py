@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.batches import LOWER, staged, utf8
+from rowwarden.llm.batches import LOWER, staged, tidied, utf8
 from rowwarden.llm.runs import latin, portions, runs
 
 PORTION = 16 << 20     # bytes of text whose words are counted at once
@@ -65,8 +65,8 @@ def _counted(batch: pa.RecordBatch, one_in: int, least_length: int) -> pa.Record
     kept = ~hit & (ends - starts - (leads[ends] - leads[starts]) >= least_length)
     starts, ends = starts[kept], ends[kept]
     edges = np.zeros(len(data) + 1, np.int8)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, ends, -1)
+    edges[starts] += 1
+    edges[ends] -= 1
     letters = data[np.cumsum(edges[:-1], dtype=np.int8).astype(bool)]
     places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     whole = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(letters)]).value_counts()
@@ -82,7 +82,7 @@ def word_counts(docs: DataFrame, one_in: int, least_length: int, least_count: in
             for part in portions(batch, 1, PORTION):
                 yield _counted(part, one_in, least_length)
 
-    return docs.mapInArrow(step, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
+    return docs.mapInArrow(tidied(step), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
 def _halves(lo: Column, hi: Column) -> Column:
@@ -205,7 +205,7 @@ def compared(grouped: DataFrame) -> DataFrame:
             yield tile(waiting)
 
     ordered = grouped.repartition("key").sortWithinPartitions("m", "key").select("key", "word", "n", "m", "lo", "hi")
-    return ordered.mapInArrow(run, "word string, n_near long, minus_n long, near string")
+    return ordered.mapInArrow(tidied(run), "word string, n_near long, minus_n long, near string")
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from rowwarden.llm.batches import map_arrow, split_words
+from rowwarden.llm.batches import Remembered, map_arrow, split_words
 
 END = "\n"  # closes a word; no byte stands for it
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -23,7 +23,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: others follow from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 AS_CHAR = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
-CACHED_WORDS = 200_000
+CACHE_BYTES = 16 << 20    # of each of two generations of counted words
 SCHEMA = "doc_id long, n_tokens long, n_words long, n_unknown long, n_chars long"
 
 
@@ -86,12 +86,12 @@ def word_end_vocabulary(path: str) -> list[str]:
     return [p.removesuffix("</w>") + END * p.endswith("</w>") for p in pieces]
 
 
-_automata: dict[str, tuple[LongestMatch, dict[str, tuple[int, int]]]] = {}
+_automata: dict[str, tuple[LongestMatch, Remembered]] = {}
 
 
-def _counter(path: str) -> tuple[LongestMatch, dict[str, tuple[int, int]]]:
+def _counter(path: str) -> tuple[LongestMatch, Remembered]:
     if path not in _automata:
-        _automata[path] = LongestMatch(word_end_vocabulary(path)), {}
+        _automata[path] = LongestMatch(word_end_vocabulary(path)), Remembered(CACHE_BYTES, lambda word, _: 4 * len(word) + 250)
     return _automata[path]
 
 
@@ -102,7 +102,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     into word pieces by greedy longest match, its last piece being one that ends words.  One that no pieces cover is a
     single unknown token.  ``n_words``: runs without white space.  Null and empty texts have no tokens.  Repeated rows
     give repeated rows, a null id stays null, other columns are not read.  No shuffle; a worker remembers the counts of
-    a bounded number of words.
+    a bounded number of bytes of words.
     """
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         automaton, known = _counter(vocabulary)
@@ -119,8 +119,7 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                         n = automaton.count(piece.encode().decode("latin-1").translate(AS_CHAR) + END)
                         a, b = a + (1 if n is None else n), b + (n is None)
                     found = a, b
-                    if len(known) < CACHED_WORDS:
-                        known[word] = found
+                    known.put(word, found)
                 tokens += found[0]
                 unknown += found[1]
             for to, value in zip(out, (tokens, len(words), unknown, len(text)), strict=True):

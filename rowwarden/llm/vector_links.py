@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.batches import mix, staged
+from rowwarden.llm.batches import mix, staged, tidied
 from rowwarden.llm.components import components
 
 BITS = 256                   # of a code at least; as many whole rotations as that takes
@@ -129,7 +129,7 @@ def coded(vectors: DataFrame) -> DataFrame:
                 yield _coded(batch.slice(at, 2000))
 
     picked = vectors.select("vec_id", "label", "label_key", "v")
-    return picked.mapInArrow(run, f"{CODED}, v {picked.schema['v'].dataType.simpleString()}")
+    return picked.mapInArrow(tidied(run), f"{CODED}, v {picked.schema['v'].dataType.simpleString()}")
 
 
 def cells(classes: DataFrame, least: float, band_size: int) -> DataFrame:
@@ -156,7 +156,7 @@ def cells(classes: DataFrame, least: float, band_size: int) -> DataFrame:
                          part.column("size").take(again), part.column("code").take(again), part.column("factor").take(again)],
                         [c.split()[0] for c in CELLS.split(", ")])
 
-    return classes.select("cid", "label_key", F.size("v").alias("size"), "code", "factor").mapInArrow(run, CELLS)
+    return classes.select("cid", "label_key", F.size("v").alias("size"), "code", "factor").mapInArrow(tidied(run), CELLS)
 
 
 def _candidates(table: pa.Table, least: float, band_size: int) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def candidates(classes: DataFrame, least: float, band_size: int) -> DataFrame:
         if waiting is not None:
             yield from _candidates(waiting, least, band_size)
 
-    return met.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, PAIRS)
+    return met.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(tidied(run), PAIRS)
 
 
 def unsettled(pairs: DataFrame, least: float) -> DataFrame:
@@ -240,7 +240,7 @@ def unsettled(pairs: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in names], names)
 
     kind = pairs.schema["v"].dataType.simpleString()
-    return pairs.select("a", "b", "code", "factor", "label", "v").mapInArrow(run, f"a long, b long, label string, v {kind}")
+    return pairs.select("a", "b", "code", "factor", "label", "v").mapInArrow(tidied(run), f"a long, b long, label string, v {kind}")
 
 
 def confirmed(pairs: DataFrame, least: float) -> DataFrame:
@@ -253,7 +253,7 @@ def confirmed(pairs: DataFrame, least: float) -> DataFrame:
                 keep[rows] = cosines(x, other[size][1]) >= least
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
-    return pairs.select("a", "b", "v", "w").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "v", "w").mapInArrow(tidied(run), "a long, b long")
 
 
 def _usable(v: Column) -> Column:
