@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowwarden import fixed
 from rowwarden.functions import text as tx
-from rowwarden.operators.spread import running_offset, salt
+from rowwarden.operators.spread import block_of, running_offset
 
 
 def participant_numbers(rows: DataFrame, position: str = "merged_row") -> DataFrame:
@@ -16,7 +16,7 @@ def participant_numbers(rows: DataFrame, position: str = "merged_row") -> DataFr
     The distinct participants are numbered, not the rows.
     """
     key = F.coalesce(tx.normalize_name(F.col("folder_name")), tx.normalize_name(F.col("participant_name")))
-    keyed = rows.drop("participant_sequence").withColumns({"_key": key, "_salt": salt(position)})
+    keyed = rows.drop("participant_sequence").withColumns({"_key": key, "_salt": block_of(F.col(position))})
     parts = keyed.filter(F.col("_key").isNotNull()).groupBy("_key", "_salt").agg(F.min(position).alias("_first"))
     firsts = parts.groupBy("_key").agg(F.min("_first").alias("_first")).withColumn("_n", F.lit(1))
     numbers = running_offset(firsts, "_first", "_n", "_before").select(

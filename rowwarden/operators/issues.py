@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowwarden import fixed
 from rowwarden.functions import text as tx
 from rowwarden.operators.layouts import Layout
-from rowwarden.operators.spread import SALTS, aggregate_by_key
+from rowwarden.operators.spread import aggregate_by_key
 
 ISSUE_COLUMNS = (
     "severity", "file", "sheet", "source_row", "merged_row", "column", "header", "rule", "original", "corrected",
@@ -63,10 +63,7 @@ def identity_key(email: Column, name: Column) -> Column:
 def first_occurrences(rows: DataFrame, key: str, position: str, payload: list[str]) -> DataFrame:
     """Add ``_first`` (struct of position and payload of the first row of the key) to every row with a key."""
     first = F.struct(position, *payload)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(SALTS)).cast("int"))
-    return aggregate_by_key(
-        salted, [key], "_salt", [F.min(first).alias("_p")], [F.min("_p").alias("_first")], how="inner"
-    ).drop("_salt")
+    return aggregate_by_key(rows, [key], position, [F.min(first).alias("_p")], [F.min("_p").alias("_first")], how="inner")
 
 
 def find_duplicates(rows: DataFrame, layout: Layout) -> DataFrame:

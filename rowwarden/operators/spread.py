@@ -1,9 +1,8 @@
 """Keyed look-ups and numbering that stay balanced when one key holds a third of all rows.
 
-Rows are never gathered per key.  Every hot group is split by a *salt* taken from the rows themselves (a hash of their
-identity, or their position divided by a block size); per-key results are merged from per-salt partial results and
-brought back to the rows by an equi-join on (key, salt).  Only salts that occur are looked up, so cold keys are not
-replicated.
+Rows are never gathered per key.  Every hot group is split by a *salt* taken from the rows themselves, their position
+divided by a block size; per-key results are merged from per-salt partial results and brought back to the rows by an
+equi-join on (key, salt).  Only salts that occur are looked up, so cold keys are not replicated.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ BLOCK_BITS = 16  # 65,536 positions per block
 
 
 def salt(*columns: str | Column) -> Column:
-    """A stable number in 0..1023 from the identity of a row."""
+    """A stable number in 0..1023 from the identity of a row, for rows that lie in no order."""
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
@@ -40,35 +39,38 @@ def join_by_key(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], salt_co
 def aggregate_by_key(
     rows: DataFrame,
     keys: Sequence[str],
-    salt_column: str,
+    position: str,
     partial: Sequence[Column],
     merged: Sequence[Column],
     how: str = "left",
 ) -> DataFrame:
-    """Add per-key aggregates to every row: ``partial`` per (key, salt), ``merged`` over those per key."""
+    """Add per-key aggregates to every row: ``partial`` per key and block of positions, ``merged`` over those per key.
+
+    Rows that lie together share a block, so they combine before they are shuffled, and a hot key is spread over its blocks.
+    """
     keys = list(keys)
-    parts = rows.groupBy(*keys, salt_column).agg(*partial)
+    blocked = rows.withColumn("_salt", block_of(F.col(position)))
+    parts = blocked.groupBy(*keys, "_salt").agg(*partial)
     whole = parts.groupBy(*keys).agg(*merged)
-    salted = parts.select(*keys, salt_column).join(whole, keys, "inner")
-    return rows.join(salted, [*keys, salt_column], how)
+    salted = parts.select(*keys, "_salt").join(whole, keys, "inner")
+    return blocked.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def running_offset(counts: DataFrame, position: str, n: str, out: str) -> DataFrame:
-    """Exclusive running sum of ``n`` in the order of the unique integer ``position``.
+def running_offset(counts: DataFrame, position: str, n: str, out: str, bits: int = 48) -> DataFrame:
+    """Exclusive running sum of ``n`` in the order of the unique integer ``position``, below 2 ** ``bits``.
 
-    Two levels: sums per block of 65,536 positions, then positions inside each block.  The only unpartitioned window
-    runs over one row per block.
+    Positions are summed in blocks of 65,536, blocks in blocks of blocks, and so on until at most 65,536 are left.  So no
+    window, neither inside a block nor the last one without partitions, sees more lines than that.
     """
-    blocked = counts.withColumn("_ro_block", block_of(F.col(position)))
-    totals = blocked.groupBy("_ro_block").agg(F.sum(n).alias("_ro_total"))
-    before = Window.orderBy("_ro_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_ro_block", F.coalesce(F.sum("_ro_total").over(before), F.lit(0)).alias("_ro_base"))
-    inside = Window.partitionBy("_ro_block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        blocked.join(bases, "_ro_block")
-        .withColumn(out, F.col("_ro_base") + F.coalesce(F.sum(n).over(inside), F.lit(0)))
-        .drop("_ro_block", "_ro_base")
-    )
+    before = (Window.unboundedPreceding, -1)
+    if bits <= BLOCK_BITS:
+        return counts.withColumn(out, F.coalesce(F.sum(n).over(Window.orderBy(position).rowsBetween(*before)), F.lit(0)))
+    block, total, base = (f"_{name}{bits}" for name in ("block", "total", "base"))
+    blocked = counts.withColumn(block, block_of(F.col(position)))
+    totals = blocked.groupBy(block).agg(F.sum(n).alias(total))
+    bases = running_offset(totals, block, total, base, bits - BLOCK_BITS).select(block, base)
+    inside = Window.partitionBy(block).orderBy(position).rowsBetween(*before)
+    return blocked.join(bases, block).withColumn(out, F.col(base) + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop(block, base)
 
 
 def _block_offsets(blocked: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,7 +96,7 @@ def ordinal_within(rows: DataFrame, keys: Sequence[str], position: str, out: str
 def number_rows(rows: DataFrame, file_position: str, row_position: str, out: str, start: int = 0) -> DataFrame:
     """Consecutive numbers over all rows: files in order of ``file_position``, rows in order of ``row_position``."""
     # Rows are counted per (file, block); the counts are summed within groups of 65,536 files, the groups among
-    # themselves.  No window sees rows, and the unpartitioned one sees one line per group of files.
+    # themselves.  No window but the last sees rows, and that one a block of them.
     blocked = rows.withColumn("_block", block_of(F.col(row_position)))
     counts = blocked.groupBy(file_position, "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_group", block_of(F.col(file_position))
@@ -104,8 +106,7 @@ def number_rows(rows: DataFrame, file_position: str, row_position: str, out: str
     )
     within = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     groups = counts.groupBy("_group").agg(F.sum("_n").alias("_n"))
-    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    bases = groups.select("_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    bases = running_offset(groups, "_group", "_n", "_before", 2 * BLOCK_BITS).select("_group", "_before")
     offsets = within.join(bases, "_group").select(
         file_position, "_block", (F.col("_offset") + F.col("_before")).alias("_offset")
     )

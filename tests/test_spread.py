@@ -21,19 +21,34 @@ def test_numbering_over_many_blocks(spark, monkeypatch):
     assert all(by_file[r["file_ix"]].index(r["source_row"]) == r["n"] for r in ranked)
 
 
-def test_lookups_with_a_hot_key(spark):
+def test_lookups_with_a_hot_key(spark, monkeypatch):
     rows = spark.range(3000).select(
         "id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 30 == 0, None)
         .otherwise(F.col("id").cast("string")).alias("k"),
-    ).withColumn("s", spread.salt("id"))
+    )
+    salted = rows.withColumn("s", spread.salt("id"))
     lookup = rows.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    joined = spread.join_by_key(rows, lookup, ["k"], "s")
+    joined = spread.join_by_key(salted, lookup, ["k"], "s")
     assert joined.count() == 3000
     assert {r["k"]: r["n"] for r in joined.filter("k = 'hot'").distinct().collect()} == {"hot": 2000}
     assert joined.filter("k is null and n is not null").count() == 0
-    total = spread.aggregate_by_key(rows.filter("k is not null"), ["k"], "s", [F.min("id").alias("p")],
-                                    [F.min("p").alias("first")])
-    assert total.filter("k = 'hot' and first <> 1").count() == 0 and total.count() == 2900
+    monkeypatch.setattr(spread, "BLOCK_BITS", 6)
+    total = spread.aggregate_by_key(rows.filter("k is not null"), ["k"], "id", [F.min("id").alias("p"), F.count("*").alias("c")],
+                                    [F.min("p").alias("first"), F.sum("c").alias("n")])
+    assert total.filter("k = 'hot' and (first <> 1 or n <> 2000)").count() == 0 and total.count() == 2900
+    every = spread.aggregate_by_key(rows, ["k"], "id", [F.min("id").alias("p")], [F.min("p").alias("first")])
+    assert every.count() == 3000 and every.filter("k is null and first is not null").count() == 0
+
+
+def test_running_sums_over_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(spread, "BLOCK_BITS", 2)
+    rnd = random.Random(4)
+    counts = {rnd.randrange(1 << 9): rnd.randrange(5) for _ in range(120)} | {0: 3, 511: 2}
+    got = spread.running_offset(spark.createDataFrame(list(counts.items()), "at bigint, n int").repartition(3), "at", "n", "before", bits=9)
+    assert {r["at"]: r["before"] for r in got.collect()} == {k: sum(n for at, n in counts.items() if at < k) for k in counts}
+    # The last window, which has no partitions, sees no more lines than a block has.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 5 and got.columns == ["at", "n", "before"]
 
 
 def test_listing(spark):
