@@ -15,6 +15,9 @@ from rowwarden.functions.distance import distance_to_entry_sql, word_table_sql
 from rowwarden.functions.vocab import plain_vocab_key
 from rowwarden.operators.layouts import CANONICAL, DELIVERY
 
+# --- fixed values: why a workbook was skipped ------------------------------------------------------------------------
+DIAGNOSIS_LEAD = f"No sheet had at least {fixed.DELIVERY_MIN_MATCHES} recognisable headers. Saw — "
+
 # Vocabulary terms in order, each with the attribute field it belongs to.
 TERMS = tuple((f, t) for f, terms in fixed.VOCABULARY.items() for t in terms)
 
@@ -172,8 +175,7 @@ def diagnose_delivery(cells: DataFrame, hits: DataFrame | None = None) -> DataFr
     )
     ordered = F.array_sort(F.collect_list(F.struct("sheet_ix", line.alias("line"))))
     joined = F.array_join(F.transform(ordered, lambda e: e.line), "; ")
-    lead = f"No sheet had at least {fixed.DELIVERY_MIN_MATCHES} recognisable headers. Saw — "
-    return every.groupBy("file_id").agg(F.concat(F.lit(lead), joined).alias("reason"))
+    return every.groupBy("file_id").agg(F.concat(F.lit(DIAGNOSIS_LEAD), joined).alias("reason"))
 
 
 def missing_headers(headers: DataFrame) -> DataFrame:

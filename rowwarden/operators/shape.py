@@ -124,10 +124,11 @@ def project_delivery(cells: DataFrame, headers: DataFrame, prefer: str = "folder
     )
 
 
-def choose_override_sheet(cells: DataFrame) -> DataFrame:
-    """(file_id, sheet): the sheet called "merged" in any case, else the first."""
+def choose_override_sheet(cells: DataFrame, name: str | None = None) -> DataFrame:
+    """(file_id, sheet): the sheet of that name, or without one the sheet called "merged" in any case, else the first."""
     order = F.struct(F.when(F.lower("sheet") == "merged", 0).otherwise(1), F.col("sheet_ix"))
-    return cells.filter("kind <> 'unreadable'").groupBy("file_id").agg(F.min_by("sheet", order).alias("sheet"))
+    named = cells if name is None else cells.filter(F.col("sheet") == name)
+    return named.filter("kind <> 'unreadable'").groupBy("file_id").agg(F.min_by("sheet", order).alias("sheet"))
 
 
 def read_override(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowwarden.operators import issues as iss
 from rowwarden.operators.headers import detect_canonical, missing_headers
 from rowwarden.operators.layouts import CANONICAL
-from rowwarden.operators.reports import file_reports
+from rowwarden.operators.reports import file_reports, row_tally, run_summary
 from rowwarden.operators.rules import apply_rules
 from rowwarden.operators.shape import project_canonical, with_file
 from rowwarden.operators.spread import number_rows
@@ -26,6 +26,7 @@ class Consolidated:
     issues: DataFrame
     reports: DataFrame
     headers: DataFrame
+    summary: DataFrame
 
 
 def file_issues(files: DataFrame, headers: DataFrame, unreadable: DataFrame) -> DataFrame:
@@ -68,23 +69,21 @@ def consolidate(
     current_year: int,
     day_first: bool = True,
     strict_reference: bool = False,
-    materialize: bool = False,
 ) -> Consolidated:
-    """Cells and their files (file_id, file_ix, name, origin) to rows, issues, reports and headers.
+    """Cells and their files (file_id, file_ix, name, origin) to rows, issues, reports, headers and a summary.
 
-    The projected rows are written to the checkpoint folder once, so that the cells are shuffled once only: numbering
-    counts the rows before it numbers them.  ``materialize`` also writes the cleaned rows, for callers that use
-    several of the results.
+    The projected rows are written once, so that the cells are shuffled once only: numbering counts the rows before it
+    numbers them.  The cleaned rows are written once as well, and counted on the way; all other results read them.
     """
     unreadable = unreadable_files(cells)
     headers = staged(detect_canonical(cells).join(unreadable.select("file_id"), "file_id", "left_anti"))
     shaped = staged(project_canonical(cells, with_file(headers, files)))
     numbered = number_rows(shaped, "file_ix", "source_row", "merged_row", start=FIRST_DATA_ROW)
-    rows = apply_rules(
+    ruled, tally = row_tally(apply_rules(
         numbered, CANONICAL, current_year=current_year, day_first=day_first, strict_reference=strict_reference
-    )
-    if materialize:
-        rows = staged(rows)
-    per_file = file_issues(files, headers, unreadable).unionByName(iss.explode_row_issues(rows))
-    issues = per_file.unionByName(iss.find_duplicates(rows, CANONICAL))
-    return Consolidated(rows, issues, file_reports(files, headers, rows, per_file), headers)
+    ))
+    rows = staged(ruled)
+    per_file = file_issues(files, headers, unreadable)
+    others = per_file.unionByName(iss.find_duplicates(rows, CANONICAL))
+    reports = file_reports(files, headers, rows, per_file)
+    return Consolidated(rows, others.unionByName(iss.explode_row_issues(rows)), reports, headers, run_summary(reports, tally.get, others))

@@ -14,9 +14,10 @@ from rowwarden.functions.filenames import folder_of
 from rowwarden.operators import issues as iss
 from rowwarden.operators import match
 from rowwarden.operators.annotate import annotate
-from rowwarden.operators.headers import choose_delivery_sheet, diagnose_delivery, header_hits_delivery
+from rowwarden.operators.headers import DIAGNOSIS_LEAD, choose_delivery_sheet, diagnose_delivery, header_hits_delivery
 from rowwarden.operators.identity import known_names, participant_of_files
 from rowwarden.operators.layouts import DELIVERY
+from rowwarden.operators.reports import delivery_reports, delivery_summary, row_tally
 from rowwarden.operators.rules import apply_rules
 from rowwarden.operators.shape import choose_override_sheet, project_delivery, read_override, with_file
 from rowwarden.operators.spread import number_rows
@@ -34,6 +35,8 @@ class Delivered:
     guards: DataFrame
     members: DataFrame
     metrics: DataFrame
+    reports: DataFrame
+    summary: DataFrame
 
 
 def workbook_issues(books: DataFrame, headers: DataFrame, unreadable: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -41,13 +44,23 @@ def workbook_issues(books: DataFrame, headers: DataFrame, unreadable: DataFrame,
     seen = books.join(unreadable, "file_id", "left").join(headers.select("file_id", "header_row"), "file_id", "left")
     broken = F.col("read_error").isNotNull()
     unread = seen.filter(broken).select(*iss.file_issue("error", iss.RULE_BOOK_UNREADABLE, F.col("read_error")))
-    none = f"No sheet had at least {fixed.DELIVERY_MIN_MATCHES} recognisable headers. Saw — "
+    none = DIAGNOSIS_LEAD
     skipped = seen.filter(~broken & F.col("header_row").isNull()).join(reasons, "file_id", "left").select(
         *iss.file_issue("error", iss.RULE_SKIPPED, F.coalesce("reason", F.lit(none)))
     )
     return unread.unionByName(skipped).select(*iss.ISSUE_COLUMNS)
 
 
+@dataclass(frozen=True)
+class Merged:
+    """Cleaned rows, written once; issues about whole workbooks; a report per workbook; counts of rows and findings."""
+
+    rows: DataFrame
+    issues: DataFrame
+    reports: DataFrame
+    tally: dict[str, int]
+
+
 def merge_metadata(
     cells: DataFrame,
     books: DataFrame,
@@ -57,36 +70,42 @@ def merge_metadata(
     day_first: bool = True,
     prefer: str = "folder",
     strict_reference: bool = False,
-    override: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Cells of metadata workbooks to cleaned, numbered delivery rows, and the issues about whole workbooks.
-
-    ``books`` has file_id, file_ix, name, path.  ``override`` reads one already merged sheet by position instead.
+    override_file: str | None = None,
+    override_sheet: str | None = None,
+) -> Merged:
+    """Cells of metadata workbooks to cleaned, numbered delivery rows.
+
+    ``books`` has file_id, file_ix, name, path.  ``override_file`` names the one workbook (file_id) to read instead: an
+    already merged sheet, by position, ``override_sheet`` or else the one called "merged" or else the first.  Only its
+    cells are scanned.  A workbook that broke while it was read gives no rows and an issue, in either way.
     """
+    if override_file is not None:
+        cells, books = (d.filter(F.col("file_id") == override_file) for d in (cells, books))
     unreadable = unreadable_files(cells)
-    if override:
-        shaped, found = read_override(cells, with_file(choose_override_sheet(cells), books)), None
+    broken = unreadable.select("file_id")
+    if override_file is not None:
+        headers = choose_override_sheet(cells, override_sheet).join(broken, "file_id", "left_anti").withColumn("header_row", F.lit(1))
+        shaped = read_override(cells, with_file(headers.select("file_id", "sheet"), books))
+        found = workbook_issues(books.join(broken, "file_id", "left_semi"), headers, unreadable, no_reasons(cells))
     else:
         hits = staged(header_hits_delivery(cells))
-        headers = choose_delivery_sheet(hits).join(unreadable.select("file_id"), "file_id", "left_anti")
+        headers = choose_delivery_sheet(hits).join(broken, "file_id", "left_anti")
         placed = with_file(headers, books.withColumn("folder", folder_of(F.col("path"), roots)))
         shaped = project_delivery(cells, placed, prefer)
         found = workbook_issues(books, headers, unreadable, diagnose_delivery(cells, hits))
     # Written once, so that the cells are shuffled once: numbering counts the rows before it numbers them.
     shaped = staged(shaped)
     numbered = number_rows(shaped, "file_ix", "source_row", "merged_row", start=FIRST_DATA_ROW)
-    rows = apply_rules(
+    ruled, tally = row_tally(apply_rules(
         numbered, DELIVERY, current_year=current_year, day_first=day_first, strict_reference=strict_reference
-    )
-    return rows, rows.sparkSession.createDataFrame([], _issue_schema()) if found is None else found
+    ))
+    rows = staged(ruled)
+    return Merged(rows, found, delivery_reports(books, headers, rows, unreadable), tally.get)
 
 
-def _issue_schema() -> str:
-    integer = {"source_row", "phase", "rule_seq"}
-    big = {"merged_row", "file_ix"}
-    return ",".join(
-        f"{c} {'int' if c in integer else 'bigint' if c in big else 'string'}" for c in iss.ISSUE_COLUMNS
-    )
+def no_reasons(cells: DataFrame) -> DataFrame:
+    """(file_id, reason) of no workbook at all."""
+    return cells.limit(0).select("file_id", F.lit("").alias("reason"))
 
 
 def attribute_media(
@@ -112,31 +131,31 @@ def deliver(
     write_mode: str = "strict",
     output: str = "links",
     strict_reference: bool = False,
-    override: bool = False,
-    materialize: bool = True,
+    override_file: str | None = None,
+    override_sheet: str | None = None,
 ) -> Delivered:
     """The whole pipeline.
 
     ``listing`` has file_id, file_ix, name, path, server_modified; ``links`` has path, url.  ``output`` "merge" leaves
-    the link stage out and plans over nothing.  To plan again once links were made, call with the longer ``links``.
+    the link stage out and plans over nothing.  ``override_file`` and ``override_sheet``: see ``merge_metadata``.  Once more
+    links were made, ``replan.replan`` brings the plan up to date.
     """
     books, media = split_listing(listing)
-    rows, book_issues = merge_metadata(
-        cells, books if not override else listing, roots, current_year=current_year, day_first=day_first,
-        prefer=prefer, strict_reference=strict_reference, override=override,
+    merged = merge_metadata(
+        cells, books if override_file is None else listing, roots, current_year=current_year, day_first=day_first,
+        prefer=prefer, strict_reference=strict_reference, override_file=override_file, override_sheet=override_sheet,
     )
-    if materialize:
-        rows = staged(rows)
-    issues = book_issues.unionByName(iss.explode_row_issues(rows))
-    wanted = rows
+    rows, wanted = merged.rows, merged.rows
     if output == "merge":
         media, wanted = media.limit(0), rows.limit(0)
     files = attribute_media(media, wanted, links, roots, preset, strict_reference)
     facts = match.media_facts(files)
-    plan = match.plan_rows(wanted, files, preset, facts=facts)
-    if materialize:
-        plan = staged(plan)
+    plan = staged(match.plan_rows(wanted, files, preset, facts=facts))
     guards = match.find_guards(files, wanted, plan, facts)
-    members = match.guard_members(files, wanted, plan, facts)
-    final = annotate(rows if output == "merge" else match.write_links(plan, write_mode))
-    return Delivered(final, issues, plan, guards, members, match.plan_metrics(plan, guards))
+    metrics = match.plan_metrics(plan, guards)
+    return Delivered(
+        rows=annotate(rows if output == "merge" else match.write_links(plan, write_mode)),
+        issues=merged.issues.unionByName(iss.explode_row_issues(rows)),
+        plan=plan, guards=guards, members=match.guard_members(files, wanted, plan, facts), metrics=metrics,
+        reports=merged.reports, summary=delivery_summary(merged.tally, merged.issues, metrics),
+    )

@@ -274,3 +274,27 @@ PAPER_SHEET = """
 select distinct name_key, folder as folder_name, cast('Indoor' as string) as environment, cast('' as string) as expression,
   cast(null as string) as non_neutral, min(id) over (partition by folder) as merged_row from (""" + PAPERS + """) p
 """
+
+# A merged delivery sheet with 30 columns by position, in a workbook of two sheets; the other workbook holds the same rows.
+_DELIVERY_VALUES = {
+    4: "concat('Group ', cast(c_nationkey as string))", 6: "c_name", 18: "case when c_custkey % 5 = 0 then 'Glases' end",
+    22: "case when c_custkey % 5 = 0 then null else 'N/A-none apply' end", 
+}
+_LINES = " union all ".join(
+    f"select cast(c_custkey + 2 as int) as row, {col} as col, case when c_custkey % 4 = 3 then ' ' else {value} end as s from {{customer}}"
+    for col, value in _DELIVERY_VALUES.items()
+)
+OVERRIDE_CELLS = f"""
+select file_id, sheet, sheet_ix, 'visible' as sheet_state, row, cast(col as int) as col, 'string' as kind, s, cast(null as double) as d,
+  cast(null as timestamp) as ts, cast(null as boolean) as b from (
+  select 'b.xlsx' as file_id, 'Merged' as sheet, 1 as sheet_ix, row, col, s from ({_LINES}) a
+  union all select 'b.xlsx', 'Merged', 1, 1, 6, 'Participant Name As Per ICF'
+  union all select 'b.xlsx', 'Merged', 1, 5, 31, 'beyond the last column'
+  union all select 'b.xlsx', 'Notes', 0, row, col, 'not this sheet' from ({_LINES}) b
+  union all select 'a.xlsx', 'Merged', 0, row, col, s from ({_LINES}) c) d
+where s is not null
+"""
+OVERRIDE_FILES = """
+select concat(x, '.xlsx') as file_id, cast(length(x) as bigint) as file_ix, concat(x, '.xlsx') as name, concat('/lot/', x, '.xlsx') as path
+from (select distinct case when r_regionkey % 2 = 0 then 'a' else 'b' end as x from {region}) r
+"""

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from books import Raw, write_book  # noqa: E402
+from books import Raw, cut_short, write_book  # noqa: E402
 
 from rowwarden.operators import headers, reports, shape  # noqa: E402
 from rowwarden.operators.layouts import CANONICAL, DELIVERY  # noqa: E402
@@ -94,7 +94,7 @@ def test_consolidation_end_to_end(spark, tmp_path):
     write_book(tmp_path / "c.xlsx", {"Data": [["nothing", "here"]]})
     (tmp_path / "d.xlsx").write_bytes(b"junk")
     cells, files = cells_of(spark, tmp_path), files_of(spark, tmp_path)
-    done = consolidate(cells, files, current_year=2026, materialize=True)
+    done = consolidate(cells, files, current_year=2026)
     rows = done.rows.orderBy("merged_row").collect()
     assert [(r["file"], r["source_row"], r["merged_row"]) for r in rows] == [
         ("a.xlsx", 3, 2), ("a.xlsx", 5, 3), ("b.xlsx", 2, 4)]
@@ -107,7 +107,7 @@ def test_consolidation_end_to_end(spark, tmp_path):
               for r in done.reports.collect()}
     assert report == {"a.xlsx": (True, 2, 2, 2, 3), "b.xlsx": (True, 1, 1, 4, 4), "c.xlsx": (False, 0, 0, None, None),
                       "d.xlsx": (False, 0, 0, None, None)}
-    summary = reports.run_summary(done.reports, done.issues).first()
+    summary = done.summary.first()
     assert (summary["files_merged"], summary["files_total"], summary["rows_merged"], summary["error"]) == (2, 4, 3, 3)
     assert reports.sources_report(done.reports).filter("Status = 'Skipped'").count() == 2
     reports.write_table(reports.merged_table(done.rows), str(tmp_path / "out"), "csv")
@@ -141,8 +141,10 @@ def test_delivery_end_to_end(spark, tmp_path):
     assert done.guards.count() == 0
     table = reports.delivery_table(done.rows)
     assert table.columns == [h for _, h in DELIVERY.columns]
-    summary = reports.delivery_summary(done.rows, done.issues, done.metrics).first()
-    assert (summary["rows_merged"], summary["needs_a_person"]) == (2, 1)
+    summary = done.summary.first()
+    assert (summary["rows_merged"], summary["auto_fixes"], summary["needs_a_person"]) == (2, 1, 1)
+    assert {r["name"]: r["diagnosis"] for r in done.reports.collect()} == {"meta.xlsx": "2 row(s)", "other.xlsx": "no headers matched"}
+    assert done.members.count() == 0
     assert reports.delivery_marks(done.issues, done.plan).count() == 0
     # Planning again once the link was made is the same call with the longer link table.
     more = links.unionByName(files.filter("name like '%SMILING%'").select("path", F.lit(link).alias("url")))
@@ -161,3 +163,44 @@ def test_override_sheet(spark, tmp_path):
     cells = cells_of(spark, tmp_path)
     rows = shape.read_override(cells).collect()
     assert [(r["source_row"], r["folder_name"], r["head_and_hair"]) for r in rows] == [(2, "Iris", "Glases")]
+
+
+def test_override_reads_the_chosen_workbook_only(spark, tmp_path):
+    def line(name):
+        return [None] * 3 + [name, None, name] + [None] * 24
+
+    head = [h for _, h in DELIVERY.columns]
+    write_book(tmp_path / "a.xlsx", {"Merged": [head, line("Wrong")]})
+    write_book(tmp_path / "b.xlsx", {"First": [head, line("One"), line("Two")], "Other": [head, line("Three")]})
+    cut_short(tmp_path / "b.xlsx", tmp_path / "broken.xlsx")
+    cells, files = cells_of(spark, tmp_path), files_of(spark, tmp_path)
+    at = {r["name"]: r["file_id"] for r in files.collect()}
+    links = files.limit(0).select("path", F.lit("").alias("url"))
+
+    def read(name, sheet=None):
+        done = deliver(cells, files, links, [str(tmp_path)], current_year=2026, output="merge", override_file=at[name], override_sheet=sheet)
+        return ([r["folder_name"] for r in done.rows.orderBy("merged_row").collect()], [i["rule"] for i in done.issues.filter("merged_row is null").collect()],
+                [(r["name"], r["diagnosis"]) for r in done.reports.collect()])
+
+    assert read("b.xlsx") == (["One", "Two"], [], [("b.xlsx", "2 row(s)")])
+    assert read("b.xlsx", "Other") == (["Three"], [], [("b.xlsx", "1 row(s)")])
+    assert read("b.xlsx", "None such") == ([], [], [("b.xlsx", "no headers matched")])
+    # The first sheet of the damaged copy can still be read; nothing of it is kept.
+    assert cells.filter(F.col("file_id") == at["broken.xlsx"]).filter("sheet = 'First'").count() > 0
+    assert read("broken.xlsx") == ([], ["Workbook could not be read"], [("broken.xlsx", "could not be read")])
+
+
+def test_no_rows_at_all(spark, tmp_path):
+    write_book(tmp_path / "a.xlsx", {"Data": [["nothing", "here"]]})
+    cells, files = cells_of(spark, tmp_path), files_of(spark, tmp_path)
+    done = consolidate(cells, files, current_year=2026)
+    assert done.rows.count() == 0 and done.summary.first().asDict() == {
+        "files_merged": 0, "files_total": 1, "rows_merged": 0, "fixed": 0, "review": 0, "error": 1}
+    got = deliver(cells, files, files.limit(0).select("path", F.lit("").alias("url")), [str(tmp_path)], current_year=2026)
+    assert got.rows.count() == 0 and got.summary.first()["needs_a_person"] == 1 and got.reports.first()["diagnosis"] == "no headers matched"
+
+
+def test_vocabulary_sheet(spark):
+    rows = reports.vocabulary_sheet(spark).collect()
+    assert rows[0].asDict() == {"Head and Hair": "Glasses", "Facial Features ": "Mustache", "Accessories and jewellery": "Makeup", "Others": "Freckles"}
+    assert len(rows) == 7 and rows[6]["Facial Features "] == "Face/neck tattoos" and rows[6]["Others"] is None
