@@ -160,8 +160,3 @@ def delivery_reports(books: DataFrame, headers: DataFrame, rows: DataFrame, unre
         .otherwise(F.format_string(DIAGNOSIS_ROWS, n)).alias("diagnosis"),
     )
 
-
-def write_table(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """Write an export.  CSV gets a header line; text stays text in both."""
-    writer = df.write.mode("overwrite").format(format)
-    (writer.option("header", "true") if format == "csv" else writer).save(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,12 +15,13 @@ from rowwarden.functions.dates import parse_birthdate
 from rowwarden.operators import annotate as ann
 from rowwarden.operators import headers, identity, match, reports, rules, shape, spread
 from rowwarden.operators import issues as iss
-from rowwarden.operators.layouts import CANONICAL
+from rowwarden.operators.layouts import CANONICAL, DELIVERY
+from rowwarden.plans import replan
 from rowwarden.plans.consolidate import consolidate
 from rowwarden.plans.deliver import merge_metadata, workbook_issues
 from rowwarden.queries import mess
-from rowwarden.session import staged
-from rowwarden.sources import listing
+from rowwarden.session import remove_at_end, shared_folder, staged
+from rowwarden.sources import exports, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -910,3 +912,91 @@ def delivery_marks(spark, sf_dir):
     marks = reports.delivery_marks(reviews, plan)
     by_rule = F.when(F.col("column") != 5, F.substring_index("note", ":", 1)).otherwise(F.col("note"))
     return marks.select("row", "column", by_rule.alias("note"))
+
+
+# ---- planning again -------------------------------------------------------------------------------------------------------
+
+# Every fortieth participant's files without a link get one.
+_NEWLY = "p % 40 = 7 and link is null"
+_NEW_LINK = "concat('https://www.dropbox.com/scl/fi/new/', name, '?rlkey=n&dl=0')"
+_RELINKED = (f"select p, name_key, path, name, kind, environment, expression, token, server_modified, "
+             f"case when {_NEWLY} then {_NEW_LINK} else link end as link from ({mess.FILES}) old")
+
+
+@query(_PLAN_CTE.replace(f"from ({mess.FILES}) f)", f"from ({_RELINKED}) f)", 1) + f"""
+select merged_row, status, video_link, icf_link, assent_link,
+  cast(name_key in (select name_key from ({mess.FILES}) f where {_NEWLY}) as int) as planned_again from answer
+""")
+def replan_after_links(spark, sf_dir):
+    """The plan once more links exist, only their participants planned again: the same as planning everybody again."""
+    rows, media, plan = _planned(spark, sf_dir)
+    kept = replan.keep(rows, media, plan, parts=8)
+    links = mess.run(spark, sf_dir, mess.FILES).filter(_NEWLY).select("path", F.expr(_NEW_LINK).alias("url"))
+    done = replan.replan(kept, links, PRESET)
+    again = done.delta.select("merged_row", F.lit(1).alias("planned_again"))
+    return done.plan.join(again, "merged_row", "left").select(
+        "merged_row", "status", *[tx.null_if_empty(F.col(f"{k}.link")).alias(f"{k}_link") for k in ("video", "icf", "assent")],
+        F.coalesce("planned_again", F.lit(0)).alias("planned_again"))
+
+
+# ---- exports, read back through their manifest ------------------------------------------------------------------------------
+
+def _exported(df: DataFrame, kind: str) -> DataFrame:
+    folder = f"{shared_folder(df.sparkSession)}/export-{uuid.uuid4().hex}"
+    remove_at_end(df.sparkSession, folder)
+    exports.export_table(df, folder, kind)
+    return exports.read_export(df.sparkSession, folder)
+
+
+def _titled(layout_columns, values: dict[str, str]) -> str:
+    return ", ".join(f'{values.get(f, "cast(null as varchar)")} as "{h}"' for f, h in layout_columns)
+
+
+@query("select " + _titled(CANONICAL.columns, {
+    "participant_name": "c_name", "participant_email": "concat('u', cast(c_custkey % 97 as string), '@x.org')", "device": "c_mktsegment",
+    "birthdate": f"concat({_BIRTH}, '/', lpad(cast(1 + c_custkey % 12 as string), 2, '0'))", "none_apply": "'N/A-none apply'",
+    "country": "case when n % 5 <> 0 then concat('N', cast(n as string)) end"}) + f" from {_C}")
+def export_merged(spark, sf_dir):
+    return _exported(reports.merged_table(_consolidated(spark, sf_dir).rows), "csv")
+
+
+@query(f"""
+select case severity when 'review' then 'NEEDS REVIEW' else 'AUTO-FIXED' end as "Severity", file as "Source File", 'Data' as "Sheet",
+  merged_row as "Merged Row", column_letter as "Column", rule as "Check", original as "Original Value", corrected as "Corrected Value"
+from (select e.*, g.file from ({_EXPECTED_ISSUES}) e join ({mess.ROWS}) g on g.merged_row = e.merged_row) x
+""")
+def export_qa_report(spark, sf_dir):
+    table_ = _exported(reports.qa_report(iss.explode_row_issues(_ruled(spark, sf_dir))), "csv")
+    assert table_.columns == list(fixed.QA_REPORT_HEADERS)
+    return table_.drop("Source Row", "Header", "Details")
+
+
+@query(f"""
+select upper(severity) as "Severity", file as "Source file", merged_row as "Row", column_letter as "Col", rule as "Check",
+  original as "Original", corrected as "Corrected"
+from (select e.*, g.file from ({_EXPECTED_ISSUES}) e join ({mess.ROWS}) g on g.merged_row = e.merged_row) x
+""")
+def export_delivery_qa(spark, sf_dir):
+    table_ = _exported(reports.delivery_qa_report(iss.explode_row_issues(_ruled(spark, sf_dir))), "parquet")
+    assert table_.columns == list(fixed.DELIVERY_QA_HEADERS)
+    return table_.drop("Header", "Details")
+
+
+@query(f"""
+select name as "Source File", 'Upload' as "Origin", sheet_name as "Sheet Used", header_row as "Header Row", cast(row_count as bigint) as "Rows Merged",
+  cast(first_merged_row as bigint) as "Merged Rows From", cast(last_merged_row as bigint) as "Merged Rows To", 'Merged' as "Status" from ({_REPORTS}) r
+""")
+def export_sources(spark, sf_dir):
+    return _exported(reports.sources_report(_consolidated(spark, sf_dir).reports), "csv")
+
+
+@query("select " + _titled(DELIVERY.columns, {
+    "participant_sequence": "cast(dense_rank() over (order by n) as int)", "qa_result": "'Review'", "comments": "'left out'",
+    "folder_name": "concat('Group ', cast(n as string))", "participant_name": "c_name", "environment": "'Indoor'",
+    "birthdate": _BIRTH, **{f: _ticked(f).rsplit(" as ", 1)[0] for f in _TICK_COLUMNS},
+    "none_apply": f"case when {' and '.join(f'c_custkey % {p} <> 0' for p in _PRIME.values())} then 'N/A-none apply' end"})
+    + f" from {_C} where n % 6 <> 5 and c_custkey % 10 <> 9")
+def export_delivery(spark, sf_dir):
+    cells, books = _cells(spark, sf_dir, mess.MARK_CELLS), mess.run(spark, sf_dir, mess.CELL_FILES)
+    rows = merge_metadata(cells, books, ROOTS, current_year=YEAR).rows
+    return _exported(reports.delivery_table(ann.annotate(rows)).withColumn("Comments", F.lit("left out")), "parquet")

@@ -47,13 +47,17 @@ def remove_at_end(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet to the shared folder, for results that several later steps read.
 
-    Readers prune columns and push filters down, and a lost executor costs no recomputation.
+    Readers prune columns and push filters down, and a lost executor costs no recomputation.  ``by`` names a column of few
+    values; there is a folder for each, and readers that ask for some of them list only those.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     remove_at_end(spark, folder)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    if by is None:
+        df.write.parquet(folder)
+    else:
+        df.repartition(by).write.partitionBy(by).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder).select(*df.columns)

@@ -11,7 +11,7 @@ from rowwarden.operators import headers, reports, shape  # noqa: E402
 from rowwarden.operators.layouts import CANONICAL, DELIVERY  # noqa: E402
 from rowwarden.plans.consolidate import consolidate  # noqa: E402
 from rowwarden.plans.deliver import deliver  # noqa: E402
-from rowwarden.sources import workbooks as wb  # noqa: E402
+from rowwarden.sources import exports, workbooks as wb  # noqa: E402
 from rowwarden.sources.listing import index_files, list_files  # noqa: E402
 
 METADATA = ["Participant Name As Per ICF", "Participant Email", "Expressions", "For Non Neutral Please Select",
@@ -110,8 +110,11 @@ def test_consolidation_end_to_end(spark, tmp_path):
     summary = done.summary.first()
     assert (summary["files_merged"], summary["files_total"], summary["rows_merged"], summary["error"]) == (2, 4, 3, 3)
     assert reports.sources_report(done.reports).filter("Status = 'Skipped'").count() == 2
-    reports.write_table(reports.merged_table(done.rows), str(tmp_path / "out"), "csv")
-    assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
+    for kind in ("csv", "parquet"):
+        made = exports.export_table(reports.merged_table(done.rows), str(tmp_path / kind), kind)
+        back = exports.read_export(spark, str(tmp_path / kind))
+        assert made.rows == 3 and back.columns == [h for _, h in CANONICAL.columns]
+        assert sorted(map(str, back.collect())) == sorted(map(str, reports.merged_table(done.rows).collect()))
 
 
 def test_delivery_end_to_end(spark, tmp_path):
@@ -146,7 +149,7 @@ def test_delivery_end_to_end(spark, tmp_path):
     assert {r["name"]: r["diagnosis"] for r in done.reports.collect()} == {"meta.xlsx": "2 row(s)", "other.xlsx": "no headers matched"}
     assert done.members.count() == 0
     assert reports.delivery_marks(done.issues, done.plan).count() == 0
-    # Planning again once the link was made is the same call with the longer link table.
+    # With the longer link table everything is planned anew; ``replan`` plans again only what the new links touch.
     more = links.unionByName(files.filter("name like '%SMILING%'").select("path", F.lit(link).alias("url")))
     again = deliver(cells, files, more, roots, current_year=2026, write_mode="cellwise")
     assert again.metrics.first()["rows_filled"] == 2
