@@ -19,9 +19,9 @@ from rowwarden.operators.layouts import CANONICAL, DELIVERY
 from rowwarden.plans import replan
 from rowwarden.plans.consolidate import consolidate
 from rowwarden.plans.deliver import merge_metadata, workbook_issues
-from rowwarden.queries import mess
+from rowwarden.queries import books, mess
 from rowwarden.session import remove_at_end, shared_folder, staged
-from rowwarden.sources import exports, listing
+from rowwarden.sources import exports, listing, workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -329,6 +329,29 @@ def upload_filter(spark, sf_dir):
     return accepted.join(kinds, "doc_id").select("doc_id", "accepted", "workbook")
 
 
+_BOOK_ROWS = """
+select cast(floor(c_custkey / 40) as bigint) as book, c_custkey as key, c_name as name, cast(c_acctbal as double) as amount,
+  cast(20000 + c_custkey % 20000 as bigint) as serial from {customer}
+"""
+
+
+@query(f"""
+with r as (select *, row_number() over (partition by book order by key) + 1 as pos, concat('book ', cast(book as string), '.xlsx') as file_id
+  from ({_BOOK_ROWS}) b where book % 7 <> 3)
+select file_id, 'Data' as sheet, cast(pos as int) as row, cast(1 as int) as col, 'string' as kind, name as value from r
+union all select file_id, 'Data', cast(pos as int), 2, 'number', cast(amount as varchar) from r
+union all select file_id, 'Data', cast(pos as int), 3, 'date', strftime(date '1899-12-30' + cast(serial as int), '%Y-%m-%d') from r
+union all select file_id, 'Data', cast(pos as int), 4, 'boolean', case when key % 2 = 1 then 'true' else 'false' end from r
+union all select distinct file_id, 'Data', 1, 1, 'string', 'Name' from r
+union all select distinct concat('book ', cast(book as string), '.xlsx'), null, 0, 0, 'unreadable', null from ({_BOOK_ROWS}) b where book % 7 = 3
+""")
+def workbook_cells(spark, sf_dir):
+    """Workbooks of text in three forms, numbers, dates, flags and errors, built from rows and decoded again; some damaged."""
+    cells = workbooks.decode_cells(books.workbooks(mess.run(spark, sf_dir, _BOOK_ROWS)))
+    shown = F.when(F.col("kind") == "number", F.col("d").cast("string")).when(F.col("kind") != "unreadable", F.col("s"))
+    return cells.filter("sheet is null or sheet <> 'Notes'").select("file_id", "sheet", "row", "col", "kind", shown.alias("value"))
+
+
 # ---- headers and shape ------------------------------------------------------------------------------------------------
 
 _N = "(select n_nationkey as n, concat('nation_', cast(n_nationkey as string), '.xlsx') as file_id from {nation}) t"

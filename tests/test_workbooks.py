@@ -188,8 +188,7 @@ def test_override_reads_the_chosen_workbook_only(spark, tmp_path):
     assert read("b.xlsx") == (["One", "Two"], [], [("b.xlsx", "2 row(s)")])
     assert read("b.xlsx", "Other") == (["Three"], [], [("b.xlsx", "1 row(s)")])
     assert read("b.xlsx", "None such") == ([], [], [("b.xlsx", "no headers matched")])
-    # The first sheet of the damaged copy can still be read; nothing of it is kept.
-    assert cells.filter(F.col("file_id") == at["broken.xlsx"]).filter("sheet = 'First'").count() > 0
+    assert [r["kind"] for r in cells.filter(F.col("file_id") == at["broken.xlsx"]).collect()] == ["unreadable"]
     assert read("broken.xlsx") == ([], ["Workbook could not be read"], [("broken.xlsx", "could not be read")])
 
 
@@ -203,6 +202,25 @@ def test_no_rows_at_all(spark, tmp_path):
     assert got.rows.count() == 0 and got.summary.first()["needs_a_person"] == 1 and got.reports.first()["diagnosis"] == "no headers matched"
 
 
+def test_workbook_format(spark, tmp_path):
+    wb.register(spark)
+    write_book(tmp_path / "a.xlsx", {"One": [["x", 1.5], [None, True]], "Two": [["y", Raw('s="1"|<v>32874</v>')]]})
+    (tmp_path / "sub").mkdir()
+    write_book(tmp_path / "sub" / "b.XLSM", {"Two": [["z"]]})
+    cut_short(tmp_path / "a.xlsx", tmp_path / "broken.xlsx")
+    (tmp_path / "note.txt").write_text("no workbook")
+    plain = cells_of(spark, tmp_path).withColumn("file_id", F.regexp_replace("file_id", "^file:", ""))
+    for split in ("file", "sheet"):
+        every = spark.read.format("workbook").option("split", split).load(str(tmp_path))
+        assert every.schema == wb.CELLS and sorted(map(str, every.collect())) == sorted(map(str, plain.collect()))
+        assert every.rdd.getNumPartitions() == (3 if split == "file" else 5)
+    two = spark.read.format("workbook").option("sheets", "Two").schema("file_id string, s string").load(str(tmp_path))
+    assert sorted((Path(r["file_id"]).name, r["s"]) for r in two.collect()) == [("a.xlsx", "1990-01-01"), ("a.xlsx", "y"), ("b.XLSM", "z")]
+    asked = spark.read.format("workbook").load(str(tmp_path)).filter((F.col("sheet") == "Two") & (F.col("file_id") == str(tmp_path / "a.xlsx")))
+    assert sorted(r["s"] for r in asked.collect()) == ["1990-01-01", "y"] and asked.rdd.getNumPartitions() == 1
+    assert spark.read.format("workbook").load(str(tmp_path)).filter("kind = 'number' and sheet in ('One', 'None')").count() == 1
+
+
 def test_vocabulary_sheet(spark):
     rows = reports.vocabulary_sheet(spark).collect()
     assert rows[0].asDict() == {"Head and Hair": "Glasses", "Facial Features ": "Mustache", "Accessories and jewellery": "Makeup", "Others": "Freckles"}
