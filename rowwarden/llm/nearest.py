@@ -32,7 +32,10 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def matrices(table: pa.Table, id_name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors by dimension; of rows that share an id the smallest vector counts."""
+    """Ids and vectors by dimension; of rows that share an id the smallest vector counts.
+
+    Each vector is scaled by a power of two, which leaves its cosines as they are, so that no square over- or underflows.
+    """
     column = table.column("v").combine_chunks()
     ids = table.column(id_name).to_numpy()
     if isinstance(column, pa.ChunkedArray):
@@ -46,7 +49,8 @@ def matrices(table: pa.Table, id_name: str) -> dict[int, tuple[np.ndarray, np.nd
         order = np.lexsort((*x.T[::-1], ids[rows]))
         own = ids[rows][order]
         first = np.concatenate([[True], own[1:] != own[:-1]])
-        found[int(d)] = own[first], x[order][first]
+        x = x[order][first]
+        found[int(d)] = own[first], np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return found
 
 
@@ -132,5 +136,6 @@ def brute_force(rows: list[tuple], query_ids: list[int], k: int) -> Iterator[tup
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     for q, a in good:
         if q in query_ids:
-            best = sorted(((-(a @ b) / (np.sqrt(a @ a) * np.sqrt(b @ b)), i) for i, b in good if i != q and len(a) == len(b)))[:k]
+            unit = lambda x: x / abs(x).max()
+            best = sorted(((-(unit(a) @ unit(b)) / (np.sqrt(unit(a) @ unit(a)) * np.sqrt(unit(b) @ unit(b))), i) for i, b in good if i != q and len(a) == len(b)))[:k]
             yield from ((q, r + 1, i, -s) for r, (s, i) in enumerate(best))

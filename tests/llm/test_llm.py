@@ -304,6 +304,17 @@ def test_nearest(spark):
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_of_very_small_and_large_vectors(spark):
+    base = np.random.default_rng(9).normal(size=(60, 8))
+    rows = [(i, (v * 10.0 ** (0, -200, 200, -310)[i % 4]).tolist(), "x", 1.5) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, score double")
+    found = {(q, r): (v, s) for q, r, v, s in nearest.nearest(df, df.filter("vec_id % 5 = 0")).collect()}
+    want = {(q, r): (v, s) for q, r, v, s in nearest.brute_force([r[:2] for r in rows], list(range(0, 60, 5)), 5)}
+    assert len(found) == 60 and all(abs(found[k][1]) <= 1 + 1e-12 for k in found)
+    # Vectors near 1e-310 have fewer digits.
+    assert all(found[k][0] == want[k][0] and abs(found[k][1] - want[k][1]) < 1e-12 for k in want)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var p="</p>";</script></head><body><nav><ul><li><a href=/x>Menu</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies</p></div><article><h1>Head &amp; line</h1><p><b>One   two
 three.<br><p>Four &lt;b&gt; <a href=/y>five</a>.</p><div class="ad">Buy</div><ul><li>x<li>y</ul></article>
