@@ -81,6 +81,40 @@ def birthdate_status_counts(spark, sf_dir):
     return _parsed(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Typed cells, short years, and months and years out of range: what the texts above leave out.
+_TYPED = """
+select id, v, y, m, d, ym, case when v = 1 then cast(concat(y, '-', m, '-', d, ' 10:00:00') as timestamp) end as ts,
+  case v when 2 then cast(y as double) when 3 then cast(concat(y, m) as double) when 4 then cast(concat(y, m, d) as double)
+    when 5 then cast(90000 + id as double) + 0.5 when 6 then -1.0 * id end as number,
+  case v when 7 then concat(d, '/', m, '/', substr(y, 3, 2)) when 8 then concat('13/', y) when 9 then concat('1850/', m)
+    when 10 then concat(m, '/', substr(y, 3, 2)) when 11 then concat(m, '/', d, '/', y) when 0 then '  ' end as raw
+from (select o_orderkey as id, o_orderkey % 12 as v, cast(1950 + o_orderkey % 50 as string) as y,
+    lpad(cast(1 + o_custkey % 12 as string), 2, '0') as m, lpad(cast(1 + o_custkey % 28 as string), 2, '0') as d,
+    concat(cast(1950 + o_orderkey % 50 as string), '/', lpad(cast(1 + o_custkey % 12 as string), 2, '0')) as ym from {orders}) o
+"""
+
+
+@query(f"""
+select id, case when v in (1, 3, 4) then ym when v = 7 then ym when v = 9 then concat('1850/', m) when v = 10 then ym
+    when v = 11 then concat(y, '/', m) end as value,
+  case when v = 0 then 'empty' when v in (1, 3, 4) then 'fixed' when v = 2 then 'review' when v in (5, 6, 8) then 'unparseable'
+    when v = 11 and cast(d as int) > 12 then 'fixed' else 'review' end as status,
+  case when v = 7 and cast(d as int) > 12 then null when v = 7 then concat(y, '/', d) else '-' end as month_first
+from ({_TYPED}) t
+""")
+def birthdate_typed(spark, sf_dir):
+    """Cells typed as dates and numbers, years of two digits, months and years out of range; months before days where asked."""
+    g = mess.run(spark, sf_dir, _TYPED)
+    cell = {"number": F.col("number"), "timestamp": F.col("ts")}
+    a = parse_birthdate(F.col("raw"), current_year=YEAR, day_first=True, **cell)
+    b = parse_birthdate(F.col("raw"), current_year=YEAR, day_first=False, **cell)
+    # Where both orders are possible the month is the second number, or the first.
+    return g.select("id", "v", a.alias("a"), b.alias("b")).select(
+        "id", F.when(F.col("v") == 11, F.col("b.value")).otherwise(F.col("a.value")).alias("value"),
+        F.when(F.col("v") == 11, F.col("b.status")).otherwise(F.col("a.status")).alias("status"),
+        F.when(F.col("v") == 7, F.col("b.value")).otherwise(F.lit("-")).alias("month_first"))
+
+
 # Numbers whose digits and place are known: up to 15 digits d at 10^e, and the ends of what a double holds.
 _DIGITS = "cast(1 + (o_orderkey * 7919 + o_custkey) % 999999999 as string)"
 _NUMBERS = f"""
@@ -408,6 +442,36 @@ def canonical_rows(spark, sf_dir):
     )
 
 
+# Three sheets a workbook: a hidden one that matches best, one that matches a little, one that matches more; every fifth
+# workbook has the first two only.  Rows blank in all mapped columns between the others.
+_CHOICES = """
+select file_id, sheet, sheet_ix, sheet_state, cast(row as int) as row, cast(col as int) as col, 'string' as kind, s,
+  cast(null as double) as d, cast(null as timestamp) as ts, cast(null as boolean) as b from (
+  select n, concat('nation_', cast(n as string), '.xlsx') as file_id, sheet, sheet_ix, sheet_state, row, col, s from (
+    select n_nationkey as n, 'Secret' as sheet, 0 as sheet_ix, 'veryHidden' as sheet_state, 1 as row, k as col, h as s from {nation}, (
+      select 1 as k, 'Participant Email' as h union all select 2, 'Birthdate' union all select 3, 'Device' union all select 4, 'Gender') w
+    union all select n_nationkey, 'Little', 1, 'visible', 2, 1, 'Participant Email' from {nation}
+    union all select n_nationkey, 'More', 2, 'hidden', 1, k, h from {nation}, (
+      select 1 as k, 'Age Group' as h union all select 2, 'Device' union all select 4, 'Note') w where n_nationkey % 5 <> 0
+    union all select c_nationkey, case when c_nationkey % 5 = 0 then 'Little' else 'More' end, case when c_nationkey % 5 = 0 then 1 else 2 end,
+      'visible', c_custkey + 2, k, case when k = 4 then 'a note' when c_custkey % 3 = 0 then ' ' else concat('v', cast(c_custkey as string)) end
+      from {customer}, (select 1 as k union all select 4) w) a) b
+"""
+
+
+@query(f"""
+select concat('nation_', cast(n as string), '.xlsx') as file_id, case when n % 5 = 0 then 'Little' else 'More' end as sheet,
+  cast(c_custkey + 2 as int) as source_row, case when n % 5 = 0 then concat('v', cast(c_custkey as string)) end as participant_email,
+  case when n % 5 <> 0 then concat('v', cast(c_custkey as string)) end as age_group
+from {_C} where c_custkey % 3 <> 0
+""")
+def sheet_choice(spark, sf_dir):
+    """The sheet that matches best of several, none that is hidden for good; rows blank in every mapped column go."""
+    cells = _cells(spark, sf_dir, _CHOICES)
+    rows = shape.project_canonical(cells, headers.detect_canonical(cells))
+    return rows.select("file_id", "sheet", "source_row", "participant_email", "age_group")
+
+
 def _cells(spark, sf_dir, generator: str) -> DataFrame:
     """The derived cell table, stored as a decoded one would be."""
     return staged(mess.run(spark, sf_dir, generator))
@@ -600,6 +664,37 @@ def classify_files(spark, sf_dir):
     return _classified(spark, sf_dir).select("path", "kind")
 
 
+@query("""
+select path, case when p % 4 = 0 then 'icf' when p % 4 = 1 then 'assent' when p % 4 = 2 then 'icf' else 'video' end as kind,
+  case when p % 4 = 3 then case when p % 8 = 3 then 'Non-Neutral' else 'Neutral' end end as expression
+from (select s_suppkey as p, s_name as path from {supplier}) s
+""")
+def preset_kinds(spark, sf_dir):
+    """Names with more than one kind of word in them, by the second naming convention; expressions that are negated."""
+    word = F.element_at(F.array(*[F.lit(w) for w in ("ICF consent", "Assent ICF", "consent", "Indoor NonNeutral frown", "x ICF", "assent", "ICF", "Outdoor NEUTRAL")]),
+                        (F.col("s_suppkey") % 8 + 1).cast("int"))
+    ext = F.when(F.col("s_suppkey") % 4 == 3, ".mp4").when(F.col("s_suppkey") % 4 == 1, ".pdf").otherwise(".docx")
+    files = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("path"), F.concat("s_name", F.lit(" "), word, ext).alias("name"))
+    return match.classify_files(files, fixed.PRESETS["icf_first"]).select("path", "kind", "expression")
+
+
+@query(f"""
+select row_number() over (order by case severity when 'error' then 0 when 'review' then 1 else 2 end, merged_row, rank) as place,
+  merged_row, severity from (select e.*, case rule when 'Whitespace cleaned' then 1 when 'Birthdate reformatted to YYYY/MM' then 2
+    when 'Birthdate needs a manual fix' then 2 when 'Slash placeholder cleared' then 3 when 'Head attribute conflict resolved' then 5
+    when 'Head attribute placeholder added' then 5 else 4 end as rank from ({_EXPECTED_ISSUES}) e) x
+""")
+def issue_order(spark, sf_dir):
+    """The log in the order of the report: worst first, then by merged row, then as found."""
+    ordered = iss.in_report_order(iss.explode_row_issues(_ruled(spark, sf_dir)))
+    part = F.spark_partition_id()
+    numbered = ordered.select("merged_row", "severity", part.alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    numbered = staged(numbered)
+    sizes = spread.running_offset(numbered.groupBy("_part").agg(F.count("*").alias("n")), "_part", "n", "before", 32)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_id"))
+    return numbered.join(sizes, "_part").select((F.col("before") + inside).alias("place"), "merged_row", "severity")
+
+
 @query(f"""
 select path, environment, expression, token, cast(token = 'n3utral' as int) as fuzzy from ({mess.FILES}) f
 where kind = 'video'
