@@ -168,8 +168,9 @@ def forest(classes: DataFrame, kind: tuple[int, int]) -> DataFrame:
 
 
 def neighbours(trees: DataFrame) -> DataFrame:
-    """Sorts the orders and finds each row's neighbours: (key, id, other, common), common the equal values beyond the key.
+    """Sorts the orders and finds the rows that lie next to each other: (key, id, other, common), once for both of them.
 
+    ``common``: the equal values beyond the key; -1, and the id again, for a row at the end of a partition.
     The rows are range-partitioned by (key, tail), so a crowded region is spread over tasks and a task keeps two rows in
     mind.  Rows alone in their region go, except at the ends of a partition, where that can't be seen.
     """
@@ -187,8 +188,8 @@ def neighbours(trees: DataFrame) -> DataFrame:
             at = np.flatnonzero(same)
             equal = [common(a, b) for a, b in zip(tail[at].tolist(), tail[at + 1].tolist(), strict=True)]
             edge = [0] if last is None else []
-            rows = [np.concatenate([key[at], key[at], key[edge]]), np.concatenate([ids[at], ids[at + 1], ids[edge]]),
-                    np.concatenate([ids[at + 1], ids[at], ids[edge]]), np.array(equal * 2 + [-1] * len(edge), np.int64)]
+            rows = [np.concatenate([key[at], key[edge]]), np.concatenate([ids[at], ids[edge]]),
+                    np.concatenate([ids[at + 1], ids[edge]]), np.array(equal + [-1] * len(edge), np.int64)]
             last = key[-1], tail[-1], ids[-1]
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows], ["key", "id", "other", "common"])
         if last is not None:
@@ -198,6 +199,11 @@ def neighbours(trees: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, id long, other long, common long")
 
 
+def both_ways(met: DataFrame) -> DataFrame:
+    """Neighbours seen from either side."""
+    return met.unionByName(met.filter("id != other").select("key", F.col("other").alias("id"), F.col("id").alias("other"), "common"))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, ca, cb) of ids of ``docs`` (id, text), the ones whose full shingle sets reach the threshold.
 
@@ -243,10 +249,10 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         return staged(neighbours(trees))
 
     met = held(forest(classes, plan.sparse))
-    sizes = met.filter("common >= 0").groupBy("key").agg((F.count("*") / 2 + 1).alias("n"))
-    crowded = met.join(sizes.filter(F.col("n") > CROWD), "key").select("id").distinct()
+    sizes = met.filter("common >= 0").groupBy("key").agg((F.count("*") + 1).alias("n"))
+    crowded = both_ways(met).join(sizes.filter(F.col("n") > CROWD), "key").select("id").distinct()
     deep = held(forest(classes.join(crowded, "id", "left_semi"), plan.crowded))
-    adjacent = met.unionByName(deep).filter("common >= 0 and id != other")
+    adjacent = both_ways(met.unionByName(deep)).filter("common >= 0 and id != other")
 
     members = classes.select("id", F.col("id").alias("component")).distinct()
     nearest = adjacent.groupBy("id").agg(F.max(F.struct("common", F.col("other").alias("o"))).alias("best"))
@@ -280,7 +286,7 @@ def in_regions(met: DataFrame, deep: DataFrame, sizes: DataFrame, classes: DataF
     Members of a region's largest component are met by the others only, never by each other.
     """
     small = met.join(sizes.filter(F.col("n") > CROWD), "key", "left_anti")
-    rows = small.unionByName(deep).select("key", "id").distinct().join(members, "id")
+    rows = both_ways(small.unionByName(deep)).select("key", "id").distinct().join(members, "id")
     shares = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key") \
         .agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("largest"))
     mixed = shares.filter("components > 1").select("key", F.col("largest.component").alias("largest"))
