@@ -1036,7 +1036,7 @@ def delivery_marks(spark, sf_dir):
 
 # Every fortieth participant's files without a link get one.
 _NEWLY = "p % 40 = 7 and link is null"
-_NEW_LINK = "concat('https://www.dropbox.com/scl/fi/new/', name, '?rlkey=n&dl=0')"
+_NEW_LINK = "concat('https://www.dropbox.com/scl/fi/new/', replace(name, ' ', '-'), '?rlkey=n&dl=0')"
 _RELINKED = (f"select p, name_key, path, name, kind, environment, expression, token, server_modified, "
              f"case when {_NEWLY} then {_NEW_LINK} else link end as link from ({mess.FILES}) old")
 
