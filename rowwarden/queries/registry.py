@@ -1032,6 +1032,23 @@ def delivery_marks(spark, sf_dir):
     return marks.select("row", "column", by_rule.alias("note"))
 
 
+_MERGED = f"(select count(*) from {_C} where n % 6 <> 5 and c_custkey % 10 <> 9)"
+
+
+@query(_PLAN_CTE + _LINKED + f"""
+select {_MERGED} as rows_merged, cast(0 as bigint) as auto_fixes, links_resolved, links_reused, links_to_create,
+  {_MERGED} + (select count(*) from {_N} where n % 6 = 5) + (select count(*) from answer where status in ('review', 'missing')) as needs_a_person
+from (select count(*) as links_resolved, count(*) filter (where existed) as links_reused,
+  count(*) filter (where not existed) as links_to_create from linked) l
+""")
+def delivery_summary(spark, sf_dir):
+    """Rows merged, automatic fixes, links, and what still needs a person; rows were counted while they were written."""
+    cells, books_ = _cells(spark, sf_dir, mess.MARK_CELLS), mess.run(spark, sf_dir, mess.CELL_FILES)
+    merged = merge_metadata(cells, books_, ROOTS, current_year=YEAR)
+    rows, _, plan = _planned(spark, sf_dir)
+    return reports.delivery_summary(merged.tally, merged.issues, match.plan_metrics(staged(plan), rows.limit(0)))
+
+
 # ---- planning again -------------------------------------------------------------------------------------------------------
 
 # Every fortieth participant's files without a link get one.
