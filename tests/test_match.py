@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 from test_functions import osa
 
 from rowwarden import fixed
