@@ -15,7 +15,7 @@ from rowwarden.fixed import Preset
 from rowwarden.functions import text as tx
 from rowwarden.functions.links import normalize_shared_link
 from rowwarden.operators import match
-from rowwarden.session import staged
+from rowwarden.session import by_merge, staged
 
 PARTS = 64
 
@@ -52,7 +52,7 @@ def keep(rows: DataFrame, files: DataFrame, plan: DataFrame, parts: int = PARTS)
 def changed_files(files: DataFrame, links: DataFrame) -> DataFrame:
     """(path, link) of the files whose link differs from the one they had; ``links`` has path and url."""
     wanted = links.groupBy("path").agg(F.min("url").alias("url")).select("path", normalize_shared_link(F.col("url")).alias("_link"))
-    return files.join(wanted, "path").filter(F.col("_link") != F.col("link")).select("path", "name_key", F.col("_link").alias("link"))
+    return files.join(by_merge(wanted), "path").filter(F.col("_link") != F.col("link")).select("path", "name_key", F.col("_link").alias("link"))
 
 
 def replan(kept: Kept, links: DataFrame, preset: Preset, position: str = "merged_row") -> Replanned:
@@ -67,12 +67,12 @@ def replan(kept: Kept, links: DataFrame, preset: Preset, position: str = "merged
     here = F.col("_part").isin(parts) if parts else F.lit(False)
 
     def touched(table: DataFrame, how: str) -> DataFrame:
-        return table.filter(here).join(people, "name_key", how)
+        return table.filter(here).join(by_merge(people), "name_key", how)
 
     new = changed.select("path", F.col("link").alias("_link"))
 
     def linked(files: DataFrame) -> DataFrame:
-        found = files.join(new, "path", "left")
+        found = files.join(by_merge(new), "path", "left")
         given = F.col("_link").isNotNull()
         return found.withColumns({"link": F.coalesce("_link", "link"), "link_existed": F.col("link_existed") | given}).drop("_link").select(*files.columns)
 

@@ -191,3 +191,18 @@ def test_identity(spark):
     assert {r["path"][len(ROOT) + 1:]: r["name_key"] for r in owned.collect()} == cases
     strict = identity.participant_of_files(files, [ROOT], names, strict_reference=True)
     assert strict.filter("name_key = 'lot'").count() == 1
+
+
+def test_no_table_of_the_plan_is_broadcast(spark):
+    # Through the driver, tables that grow with the files fill it: AQE goes by compressed bytes, which these few rows have little of.
+    files = spark.createDataFrame([(f"/r/Cast {i}/INDOOR_{w}.mp4", f"INDOOR_{w}.mp4") for i in range(3) for w in ("GRIN", "FROWN")], "path string, name string")
+    rows = spark.createDataFrame([(i + 2, f"cast {i}", "Indoor", "", "grin") for i in range(3)],
+                                 "merged_row bigint, folder_name string, environment string, expression string, non_neutral string")
+    media = match.prepare_files(identity.participant_of_files(files, ["/r"]), PRESET)
+    facts = match.media_facts(media)
+    plan = match.plan_rows(rows, media, PRESET, facts=facts)
+    groups = match.group_files(media, facts)
+    assert [r["video"]["name"] for r in plan.collect()] == ["INDOOR_GRIN.mp4"] * 3 and groups.count() == 3
+    for df in (plan, groups, match.unmatched_groups(groups, rows)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
