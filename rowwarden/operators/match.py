@@ -78,8 +78,9 @@ def prepare_files(files: DataFrame, preset: Preset) -> DataFrame:
     Numbers rise with the listing but leave gaps: partitions of a sorted listing count on their own.
     """
     order = ["file_ix", "path"] if "file_ix" in files.columns else ["path"]
-    listed = classify_files(files, preset).repartitionByRange(*order).sortWithinPartitions(*order)
-    return staged(listed.withColumn("fid", F.monotonically_increasing_id()))
+    # Classified after the listing was dealt out: what lies before a range partitioning runs twice, once for its sample.
+    listed = files.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(classify_files(listed, preset).withColumn("fid", F.monotonically_increasing_id()))
 
 
 def media_facts(files: DataFrame) -> DataFrame:

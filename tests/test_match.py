@@ -206,3 +206,13 @@ def test_no_table_of_the_plan_is_broadcast(spark):
     for df in (plan, groups, match.unmatched_groups(groups, rows)):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_listing_is_dealt_out_before_names_are_read(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(match, "staged", lambda df: written.append(df) or df)
+    files = spark.createDataFrame([(f"/r/A/{n}.mp4", f"{n}.mp4", "A", "a") for n in "cab"], "path string, name string, folder string, name_key string")
+    got = match.prepare_files(files, PRESET).orderBy("fid").collect()
+    assert [r["name"] for r in got] == ["a.mp4", "b.mp4", "c.mp4"]
+    below = written[0]._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "RLIKE" not in below
