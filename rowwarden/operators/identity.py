@@ -12,6 +12,7 @@ from rowwarden.functions import text as tx
 from rowwarden.session import staged
 
 _LEADING = 1000
+_BATCH_BITS = 10          # texts that share one copy of the filter
 _MOST_WORDS = 1 << 20     # of 64 bits in the filter of known names: 8 MB
 
 
@@ -59,11 +60,15 @@ def _can_be(text: str) -> str:
 def name_pieces(files: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
     """(key, known, at): pieces of each text that are names, or very nearly always so, and where they begin."""
     slim = files.select(key, F.col(text).alias("_text")).filter(F.col("_text").isNotNull())
-    begins = _can_be("concat('^', substring(_text, s, least))")
-    starts = f"filter(sequence(1, greatest(length(_text) - least + 1, 1)), s -> {begins})"
-    fitting = f"filter(sizes, k -> s + k - 1 <= length(_text) and {_can_be('substring(_text, s, k)')})"
-    pieces = f"flatten(transform({starts}, s -> transform({fitting}, k -> named_struct('known', substring(_text, s, k), 'at', s))))"
-    return slim.crossJoin(F.broadcast(name_filter(names))).select(key, F.inline(F.expr(pieces)))
+    # The filter is copied into every row it is joined to, so it meets batches of texts and not each text by itself.
+    batch = F.shiftright(F.monotonically_increasing_id(), _BATCH_BITS)
+    batches = slim.withColumn("_batch", batch).groupBy("_batch").agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col("_text").alias("text"))).alias("texts"))
+    begins = _can_be("concat('^', substring(t.text, s, least))")
+    starts = f"filter(sequence(1, greatest(length(t.text) - least + 1, 1)), s -> {begins})"
+    fitting = f"filter(sizes, k -> s + k - 1 <= length(t.text) and {_can_be('substring(t.text, s, k)')})"
+    pieces = f"flatten(transform({starts}, s -> transform({fitting}, k -> named_struct('key', t.key, 'known', substring(t.text, s, k), 'at', s))))"
+    found = batches.crossJoin(F.broadcast(name_filter(names))).select(F.inline(F.expr(f"flatten(transform(texts, t -> {pieces}))")))
+    return found.withColumnRenamed("key", key)
 
 
 def match_known_names(files: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:

@@ -216,3 +216,13 @@ def test_the_listing_is_dealt_out_before_names_are_read(spark, monkeypatch):
     assert [r["name"] for r in got] == ["a.mp4", "b.mp4", "c.mp4"]
     below = written[0]._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
     assert "RLIKE" not in below
+
+
+def test_the_name_filter_meets_batches_of_texts(spark):
+    names = spark.createDataFrame([("ann lee", 1), ("bo", 2)], "known string, first_seen long")
+    files = spark.createDataFrame([(i, f"take {i} of ann lee") for i in range(3000)] + [(9000, None), (None, "bo")], "id long, base string").coalesce(1)
+    pieces = identity.name_pieces(files, names, "id", "base")
+    found = {(r["id"], r["known"]) for r in pieces.collect()}
+    assert {(i, "ann lee") for i in range(3000)} <= found and (None, "bo") in found
+    met = pieces._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" in met.split("Join Cross")[1]
