@@ -51,6 +51,18 @@ def test_running_sums_over_many_levels(spark, monkeypatch):
     assert plan.count("Window [") == 5 and got.columns == ["at", "n", "before"]
 
 
+def test_numbering_gathers_no_counts_of_many_files(spark, monkeypatch):
+    # Files in one group of 65,536 whose rows lie far apart: a count for nearly every row.
+    monkeypatch.setattr(spread, "BLOCK_BITS", 4)
+    keys = [(f, r * 40) for f in range(14) for r in range(20)]
+    rows = spark.createDataFrame(keys, "file_ix bigint, source_row int").repartition(5)
+    numbered = spread.number_rows(rows, "file_ix", "source_row", "n")
+    assert {(r[0], r[1]): r[2] for r in numbered.collect()} == {k: i for i, k in enumerate(keys)}
+    windows = [line for line in numbered._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    of_counts = [w for w in windows if "_block#" in w]
+    assert of_counts and all("], [file_ix#" in w for w in of_counts)
+
+
 def test_listing(spark):
     files = spark.createDataFrame(
         [("a.xlsx", 1, "/r/a.xlsx"), ("a.xlsx", 1, "/r/s/a.xlsx"), ("a.xlsx", 2, "/r/t/a.xlsx"), ("~$a.xlsx", 3, "/r/~$a.xlsx"),
