@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowwarden.operators.spread import running_offset
 
 _SPARK = {"days": "datediff(o_orderdate, date '1970-01-01')"}
 _DUCK = {"days": "date_diff('day', date '1970-01-01', cast(o_orderdate as date))"}
@@ -262,19 +265,37 @@ from (""" + CONTESTED_FILES + """) f where id % 7 = 1
 """
 
 # Groups of exactly 1, 100 and 101 consent files, a third of the rest in one group, the others in groups of seven.
+_PLACED = "(select o_orderkey as id, row_number() over (order by o_orderkey) as n from {orders})"
 PAPERS = """
 select id, folder, concat('ICF ', lpad(cast(id as string), 9, '0'), '.pdf') as name,
   concat('/lot/', folder, '/ICF ', lpad(cast(id as string), 9, '0'), '.pdf') as path,
   lower(folder) as name_key from (
   select id, case when n = 1 then 'One' when n <= 101 then 'Hundred' when n <= 202 then 'More' when n % 3 = 0 then 'Hot'
     else concat('Seven ', cast(cast(floor(n / 10) as bigint) as string)) end as folder
-  from (select o_orderkey as id, row_number() over (order by o_orderkey) as n from {orders}) r) g
+  from """ + _PLACED + """ r) g
 """
 PAPER_SHEET = """
 select distinct name_key, folder as folder_name, cast('Indoor' as string) as environment, cast('' as string) as expression,
   cast(null as string) as non_neutral, min(id) over (partition by folder) as merged_row from (""" + PAPERS + """) p
 """
 
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``PAPERS``, orders placed by running sums of counts instead of one window over all of them."""
+    counts = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderkey").alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    placed = running_offset(counts.withColumn("_p", F.coalesce("id", F.lit(-(1 << 63)))), "_p", "c", "before")  # nulls come first
+    numbered = placed.select("id", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("c"))).alias("n"))
+    return spark.sql(PAPERS.replace(_PLACED, "{numbered}"), numbered=numbered)
+
+
+def paper_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``PAPER_SHEET``: a row per folder, combined before it is shuffled."""
+    folders = papers(spark, sf_dir).groupBy("folder").agg(F.min("id").alias("merged_row"))
+    return folders.select(
+        F.lower("folder").alias("name_key"), F.col("folder").alias("folder_name"), F.lit("Indoor").alias("environment"),
+        F.lit("").alias("expression"), F.lit(None).cast("string").alias("non_neutral"), "merged_row")
+
+
 # A merged delivery sheet with 30 columns by position, in a workbook of two sheets; the other workbook holds the same rows.
 _DELIVERY_VALUES = {
     4: "concat('Group ', cast(c_nationkey as string))", 6: "c_name", 18: "case when c_custkey % 5 = 0 then 'Glases' end",

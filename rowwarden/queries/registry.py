@@ -888,7 +888,7 @@ def contested_slots(spark, sf_dir):
 
 
 def _papers(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files, rows = mess.run(spark, sf_dir, mess.PAPERS).select("path", "name"), mess.run(spark, sf_dir, mess.PAPER_SHEET).drop("name_key")
+    files, rows = mess.papers(spark, sf_dir).select("path", "name"), mess.paper_sheet(spark, sf_dir).drop("name_key")
     media = match.prepare_files(identity.participant_of_files(files, ROOTS), PRESET)
     return media, rows, staged(match.plan_rows(rows, media, PRESET))
 
