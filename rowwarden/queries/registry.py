@@ -686,12 +686,13 @@ select row_number() over (order by case severity when 'error' then 0 when 'revie
 """)
 def issue_order(spark, sf_dir):
     """The log in the order of the report: worst first, then by merged row, then as found."""
-    ordered = iss.in_report_order(iss.explode_row_issues(_ruled(spark, sf_dir)))
-    part = F.spark_partition_id()
-    numbered = ordered.select("merged_row", "severity", part.alias("_part"), F.monotonically_increasing_id().alias("_id"))
-    numbered = staged(numbered)
+    # Written before they are sorted: what lies before a range partitioning runs twice, once for its sample.
+    found = staged(iss.explode_row_issues(_ruled(spark, sf_dir)).select("severity", "merged_row", "phase", "file_ix", "source_row", "rule_seq"))
+    numbered = staged(iss.in_report_order(found).select("merged_row", "severity", F.monotonically_increasing_id().alias("_id")))
+    # The number of the partition, and below it 33 bits of the number of the row in it.
+    numbered = numbered.withColumn("_part", F.shiftright("_id", 33))
     sizes = spread.running_offset(numbered.groupBy("_part").agg(F.count("*").alias("n")), "_part", "n", "before", 32)
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_id"))
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return numbered.join(sizes, "_part").select((F.col("before") + inside).alias("place"), "merged_row", "severity")
 
 

@@ -25,3 +25,14 @@ def test_papers_are_placed_without_one_window_over_all(spark, tmp_path):
     assert _rows(papers) == _rows(mess.run(spark, sf_dir, mess.PAPERS))
     assert _rows(sheet.select(*mess.run(spark, sf_dir, mess.PAPER_SHEET).columns)) == _rows(mess.run(spark, sf_dir, mess.PAPER_SHEET))
     assert "row_number" not in papers._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_rules_run_once_for_the_order_of_issues(spark):
+    plan = registry.QUERIES["issue_order"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    sorted_from = []
+    write = registry.staged
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(registry, "staged", lambda df, *a: sorted_from.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
+        registry.QUERIES["issue_order"](spark, SF_DIR)
+    assert all("regexp" not in p and "rlike" not in p.lower() for p in sorted_from if "Sort" in p)
