@@ -36,3 +36,11 @@ def test_the_rules_run_once_for_the_order_of_issues(spark):
         patch.setattr(registry, "staged", lambda df, *a: sorted_from.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *a))
         registry.QUERIES["issue_order"](spark, SF_DIR)
     assert all("regexp" not in p and "rlike" not in p.lower() for p in sorted_from if "Sort" in p)
+
+
+def test_no_file_of_a_csv_export_is_long(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exports, "CSV_ROWS", 7)
+    table = spark.range(50).coalesce(1).select("id", F.concat(F.lit("a\n"), F.col("id").cast("string")).alias("t"))
+    made = exports.export_table(table, str(tmp_path / "out"), "csv")
+    assert made.rows == 50 and len(made.files) == 8
+    assert _rows(exports.read_export(spark, str(tmp_path / "out"))) == _rows(table)
