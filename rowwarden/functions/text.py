@@ -92,7 +92,7 @@ def header_key(text: Column) -> Column:
 
 def _spaced_key(text: Column, separators: str) -> Column:
     spaced = F.regexp_replace(F.lower(text), separators, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(spaced, "[^a-z0-9 ]", ""), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced, "[^a-z0-9 ]+", ""), "  +", " "))  # single blanks stay as they are
 
 
 def delivery_header_key(text: Column) -> Column:

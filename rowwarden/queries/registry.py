@@ -640,7 +640,8 @@ select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_acc
   '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) as k from {documents}) d where k <> ''
 """)
 def accent_fold_names(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.normalize_name(F.col("text")).alias("k"))
+    # Generated, so that the filter stays behind it and every text is folded once.
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(tx.normalize_name(F.col("text")))).alias("k"))
     return docs.filter(F.col("k").isNotNull()).select(
         "doc_id", F.length("k").cast("bigint").alias("key_length"), F.md5("k").alias("key_md5")
     )

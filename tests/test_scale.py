@@ -44,3 +44,8 @@ def test_no_file_of_a_csv_export_is_long(spark, tmp_path, monkeypatch):
     made = exports.export_table(table, str(tmp_path / "out"), "csv")
     assert made.rows == 50 and len(made.files) == 8
     assert _rows(exports.read_export(spark, str(tmp_path / "out"))) == _rows(table)
+
+
+def test_texts_are_folded_once(spark):
+    plan = registry.QUERIES["accent_fold_names"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("translate" in line for line in plan.splitlines()) == 1
