@@ -49,20 +49,27 @@ def rolling_cuts(data: np.ndarray) -> np.ndarray:
     return cuts[(cuts >= 16) & (cuts < len(data))]
 
 
-def pieces(data: np.ndarray) -> list[tuple[int, int]]:
-    """The inner parts of the chunks and the stretches around the joins, in order; together the whole text."""
-    if not len(data):
-        return []
+def marks_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the inner parts of the chunks and the stretches around the joins begin and end, for texts that lie in a row."""
     blank = (data == 32) | (data == 10)
     safe = np.flatnonzero(blank[1:] & (data[:-1] > 32) & (data[:-1] < 127)) + 1
     cuts = rolling_cuts(data)
-    # The last safe place up to a cut ends an inner part, the first one from the cut on begins the next.
-    left = np.searchsorted(safe, cuts, "right") - 1
-    right = np.searchsorted(safe, cuts, "left")
-    ends = np.where(left >= 0, safe[np.maximum(left, 0)] if len(safe) else 0, 0)
-    begins = np.where(right < len(safe), safe[np.minimum(right, len(safe) - 1)] if len(safe) else len(data), len(data))
-    marks = np.unique(np.concatenate([[0], ends, begins, [len(data)]]))
-    return list(zip(marks[:-1].tolist(), marks[1:].tolist(), strict=True))
+    own = np.searchsorted(offsets, cuts, "right") - 1
+    begin, end = offsets[own], offsets[np.minimum(own + 1, len(offsets) - 1)]
+    # The hash sees 16 bytes, so from the sixteenth byte of a text on it is that of the text alone.
+    inside = (cuts - begin >= 16) & (cuts < end)
+    cuts, begin, end = cuts[inside], begin[inside], end[inside]
+    # The last safe place up to a cut ends an inner part, the first one from the cut on begins the next.  Those of other
+    # texts give way to the ends of the text, which are marks in any case.
+    known = np.concatenate([[0], safe, [len(data)]])
+    left = known[np.searchsorted(known, cuts, "right") - 1]
+    right = known[np.searchsorted(known, cuts, "left")]
+    return np.unique(np.concatenate([offsets, np.maximum(left, begin), np.minimum(right, end)]))
+
+
+def pieces(data: np.ndarray) -> list[tuple[int, int]]:
+    """The inner parts of the chunks and the stretches around the joins, in order; together the whole text."""
+    return list(itertools.pairwise(marks_of(data, np.array([0, len(data)])).tolist()))
 
 
 def token_bytes(token: str) -> bytes:
@@ -120,10 +127,11 @@ def _cache(path: str) -> ChunkCache:
 
 def digests(cache: ChunkCache, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, str]]:
     """Of each text: number of ids, digest of the ids, digest of the decoded text."""
-    raw = data.tobytes()
-    parts = [[raw[a + s:a + e] for s, e in pieces(data[a:b])] for a, b in itertools.pairwise(offsets.tolist())]
-    known = cache.encode([p for own in parts for p in own])
-    for own in parts:
+    raw, marks = data.tobytes(), marks_of(data, offsets)
+    every = [raw[a:b] for a, b in itertools.pairwise(marks.tolist())]
+    known = cache.encode(every)
+    for a, b in itertools.pairwise(np.searchsorted(marks, offsets).tolist()):
+        own = every[a:b]
         hits = [known[p] for p in own]
         ids = b",".join([h[1] for h in hits if h[0]])
         decoded = b"".join([p if h[2] is None else h[2] for p, h in zip(own, hits, strict=True)])

@@ -1,8 +1,10 @@
 """What would not grow well: one window over all rows, one file read by one task, texts worked on twice."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rowwarden.llm import byte_bpe
 from rowwarden.queries import mess, registry
 from rowwarden.sources import exports
 
@@ -49,3 +51,15 @@ def test_no_file_of_a_csv_export_is_long(spark, tmp_path, monkeypatch):
 def test_texts_are_folded_once(spark):
     plan = registry.QUERIES["accent_fold_names"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("translate" in line for line in plan.splitlines()) == 1
+
+
+def test_byte_bpe_cuts_all_texts_of_a_batch_at_once():
+    rnd = np.random.default_rng(1)
+    signs = np.frombuffer(b"ab c\n.x yz\xc3\xa9 ", np.uint8)
+    texts = [signs[rnd.integers(0, len(signs), n)] for n in (0, 5000, 1, 15, 0, 16, 17, 3000, 2, 900, 0)]
+    texts.append(rnd.integers(97, 123, 4000).astype(np.uint8))
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    marks = byte_bpe.marks_of(np.concatenate(texts), offsets)
+    for text, begin in zip(texts, offsets.tolist(), strict=True):
+        own = marks[np.searchsorted(marks, begin):np.searchsorted(marks, begin + len(text)) + 1] - begin
+        assert byte_bpe.pieces(text) == list(zip(own[:-1].tolist(), own[1:].tolist(), strict=True))
