@@ -98,6 +98,16 @@ def test_distance_matches_recurrence(spark):
     assert all(r["w"] == (osa(r["a"], r["b"]) <= 2) for r in near)
 
 
+def test_sorted_letters_change_no_verdict(spark):
+    rnd = random.Random(4)
+    pairs = [tuple("".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 8))) for _ in "ab") for _ in range(1500)]
+    pairs += [(a, a[1] + a[0] + a[2:-2] + a[-1] + a[-2]) for a, _ in pairs if len(a) > 4]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(4)
+    letters = tuple(distance.sorted_letters(F.col(c)) for c in "ab")
+    for known in (letters, (letters[0], F.lit(None).cast("string"))):
+        assert all(r["w"] == (osa(r["a"], r["b"]) <= 2) for r in df.withColumn("w", distance.within(F.col("a"), F.col("b"), 2, known)).collect())
+
+
 def test_vocabulary(values):
     cases = {
         "facial_features": {"Moustache": ("corrected", "Mustache"), "Face/neck tattoos": ("exact", "Face/neck tattoos"),

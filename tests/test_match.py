@@ -141,6 +141,17 @@ def test_word_fits_like_brute_force(spark, edits):
         assert got.get(i, (0, None)) == (sum(n for n, _ in hits), min((f for _, f in hits), default=None)), (slot, w, got.get(i), hits)
 
 
+def test_words_meet_few_tokens_of_a_large_slot(spark):
+    draw = random.Random(8)
+    tokens = sorted({f"w{draw.randrange(16 ** 6):06x}" for _ in range(4000)})
+    wants = [f"{t[0]}{t[2]}{t[1]}{t[3:]}" for t in draw.sample(tokens, 100)] * 5
+    wanted = spark.createDataFrame([("s", w, i) for i, w in enumerate(wants)], "slot string, wanted string, at bigint")
+    held = spark.createDataFrame([("s", t, 1, i) for i, t in enumerate(tokens)], "slot string, token string, n int, fid bigint")
+    # All begin alike, and each word is asked for five times.
+    assert wordfit.meetings(wanted, held, ["slot"], True).count() < 100 * 100
+    assert wordfit.fitting_tokens(wanted, held, ["slot"], "at", True).select("at").distinct().count() == len(wants)
+
+
 def test_other_files_do_not_change_a_hit(spark):
     """A word's hits are the same beside two tokens and beside thousands."""
     rows = spark.createDataFrame([(2, "Ann", "", "", "smilling"), (3, "Ann", "", "", "q" * 300)],
