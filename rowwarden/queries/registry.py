@@ -20,7 +20,7 @@ from rowwarden.plans import replan
 from rowwarden.plans.consolidate import consolidate
 from rowwarden.plans.deliver import merge_metadata, workbook_issues
 from rowwarden.queries import books, mess
-from rowwarden.session import remove_at_end, shared_folder, staged
+from rowwarden.session import by_merge, remove_at_end, shared_folder, staged
 from rowwarden.sources import exports, listing, workbooks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -955,7 +955,7 @@ def write_links_cellwise(spark, sf_dir):
     done = match.write_links(plan, "cellwise")
     stamp = F.date_format(F.col("video.recorded_at"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     sheet = mess.run(spark, sf_dir, mess.SHEET).select("merged_row", F.col("recorded_at").alias("given"))
-    return done.join(sheet, "merged_row").select(
+    return done.join(by_merge(sheet), "merged_row").select(
         "merged_row", "video_url", "icf_url", "assent_url", F.coalesce("given", F.when(F.col("recorded_at").isNotNull(), stamp)).alias("recorded_at")
     )
 
@@ -1071,7 +1071,7 @@ def replan_after_links(spark, sf_dir):
     links = mess.run(spark, sf_dir, mess.FILES).filter(_NEWLY).select("path", F.expr(_NEW_LINK).alias("url"))
     done = replan.replan(kept, links, PRESET)
     again = done.delta.select("merged_row", F.lit(1).alias("planned_again"))
-    return done.plan.join(again, "merged_row", "left").select(
+    return done.plan.join(by_merge(again), "merged_row", "left").select(
         "merged_row", "status", *[tx.null_if_empty(F.col(f"{k}.link")).alias(f"{k}_link") for k in ("video", "icf", "assent")],
         F.coalesce("planned_again", F.lit(0)).alias("planned_again"))
 

@@ -40,6 +40,13 @@ def test_the_rules_run_once_for_the_order_of_issues(spark):
     assert all("regexp" not in p and "rlike" not in p.lower() for p in sorted_from if "Sort" in p)
 
 
+@pytest.mark.parametrize("name", ["write_links_cellwise", "replan_after_links"])
+def test_rows_of_a_plan_are_not_broadcast_to_what_they_meet(spark, name):
+    done = registry.QUERIES[name](spark, SF_DIR)
+    assert done.collect()
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_file_of_a_csv_export_is_long(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(exports, "CSV_ROWS", 7)
     table = spark.range(50).coalesce(1).select("id", F.concat(F.lit("a\n"), F.col("id").cast("string")).alias("t"))
