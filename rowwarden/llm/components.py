@@ -66,10 +66,16 @@ def _all_stars(stars: DataFrame) -> bool:
 
 
 def roots(edges: DataFrame) -> DataFrame:
-    """(id, component) of every id in ``edges`` (a, b) that is not the smallest it is connected with.  No links, no rows."""
+    """(id, component) of every id in ``edges`` (a, b) that is not the smallest it is connected with.  No links, no rows.
+
+    Links that one task may gather, ``GATHERED`` at most, are joined by it at once; rounds of stars, each of which takes
+    several shuffles, go on only while there are more.
+    """
     stars = staged(contracted(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v")))
-    while not _all_stars(stars):
+    while (left := stars.count()) > GATHERED and not _all_stars(stars):
         stars = staged(contracted(_small_star(_large_star(stars))))
+    if left <= GATHERED:
+        stars = staged(contracted(stars.coalesce(1)))
     return stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 

@@ -155,6 +155,18 @@ def test_components_of_a_long_path(spark):
     assert {tuple(r) for r in components.components(edges).collect()} == {(i, 0) for i in order} | {(100, 100), (101, 100)}
 
 
+def test_few_links_are_joined_without_rounds_of_shuffles(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(200)] + [(500, 400), (500, 400), (7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    want = {(i, 0) for i in range(201)} | {(400, 400), (500, 400)}
+    with monkeypatch.context() as patch:
+        patch.setattr(components, "GATHERED", 3)  # more links than that take the rounds
+        assert {tuple(r) for r in components.components(edges).collect()} == want
+    monkeypatch.setattr(components, "_large_star", None)
+    assert {tuple(r) for r in components.components(edges).collect()} == want
+    assert components.components(edges.limit(0)).count() == 0
+
+
 def test_line_dedup(docs, empty):
     found = by_id(line_chunks.dedupe_lines(docs))
     first = next(i for i, t, *_ in ROWS if t and "\n" in t.strip())
