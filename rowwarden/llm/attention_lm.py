@@ -12,16 +12,17 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowwarden.llm.batches import Remembered, staged, tidied
+from rowwarden.llm.batches import IS_SPACE, staged, tidied, utf8
+from rowwarden.llm.runs import coded, portions, runs
 
 DIM, CLASSES, OWN_CLASS, OWN_ROW = 16, 64, 32, 2048
 CONTEXT, SCORED = 16, 32          # ids of a window that are read only, and that are scored
@@ -30,16 +31,21 @@ BATCH = 64                        # windows at once
 ROUNDS, TRAINERS = 4, 8
 TRAINER_WORDS = 2_000_000
 KNOWN_SHARE = 4e-6                # words at least so frequent have their count sent to all tasks: 250,000 at most
-LEXICON_BYTES = 48 << 20          # of the words that a scoring task numbers for good
-CACHE_BYTES = 16 << 20            # of each of two generations of encoded words in training
+LEXICON_BYTES = 48 << 20          # of the words that a task numbers for good
+COUNTED, PORTION = 8 << 20, 2 << 20  # bytes of texts counted, and laid out, at once
+QUEUED = 4096                     # windows that are mixed in training
 LN10 = math.log(10)
 LEAST_MIX, MOST_MIX = 0.01, 0.9   # bounds of the attention model's weight in the mixture
 _encoders: dict[str, tuple] = {}
 
 
-def words(text: str | None) -> list[bytes]:
-    """Runs without ASCII white space, A-Z as a-z."""
-    return (text or "").encode().lower().split()
+def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Runs without ASCII white space, A-Z as a-z: all words of all texts as numbers into the distinct ones, those, and the
+    text of each."""
+    data, offsets = utf8(texts)
+    inside = ~IS_SPACE[data]
+    starts, stops, of = runs(data, offsets, inside)
+    return *coded(data, inside, stops - starts), of
 
 
 class Subwords:
@@ -55,14 +61,30 @@ class Subwords:
         self.begins = np.zeros(self.size, bool)
         self.begins[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
         self.coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known = Remembered(CACHE_BYTES, lambda word, ids: len(word) + 4 * len(ids) + 300)
 
-    def of(self, word: bytes) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            found = np.array(self.coder.encode_ordinary(" " + word.decode()), np.int32)
-            self.known.put(word, found)
-        return found
+    def of(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        text = " ".join(found)
+        # In one call where no word holds white space of another kind, so that each begins at an id with a blank.
+        if len(text.split()) == len(found):
+            ids = np.array(self.coder.encode_ordinary(" " + text), np.int32)
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) == len(found):
+                return ids, np.diff(first, append=len(ids))
+        plain = np.array([len(w.split()) == 1 for w in found], bool)
+        if plain.any() and not plain.all():
+            return self._mixed(found, plain)
+        coded_words = [self.coder.encode_ordinary(" " + w) for w in found]
+        return np.array([i for x in coded_words for i in x], np.int32), np.array([len(x) for x in coded_words], np.int64)
+
+    def _mixed(self, found: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes, parts = np.zeros(len(found), np.int64), []
+        for side in (plain, ~plain):
+            ids, sizes[side] = self.of([found[i] for i in np.flatnonzero(side)])
+            parts.append(ids)
+        flat, of = np.zeros(sizes.sum(), np.int32), np.repeat(plain, sizes)
+        flat[of], flat[~of] = parts
+        return flat, sizes
 
 
 class Lexicon:
@@ -71,35 +93,73 @@ class Lexicon:
     Once ``LEXICON_BYTES`` are taken, the words of each batch that are new are numbered for that batch only.
     """
 
-    def __init__(self, coder: Subwords, often: dict[bytes, int]) -> None:
+    def __init__(self, coder: Subwords, often: dict[str, int]) -> None:
         self.coder, self.often = coder, often
-        self.number: dict[bytes, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.room = LEXICON_BYTES
         self.flat, self.sizes, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)
 
-    def _laid_out(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        coded = [self.coder.coder.encode_ordinary(" " + w.decode()) for w in new]
-        return (np.concatenate([self.flat, np.array([i for x in coded for i in x], np.int32)]),
-                np.concatenate([self.sizes, np.array([len(x) for x in coded], np.int64)]),
+    def _laid_out(self, new: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, sizes = self.coder.of(new)
+        return (np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes]),
                 np.concatenate([self.counts, np.array([self.often.get(w, 0) for w in new], float)]))
 
-    def look_up(self, split: list[list[bytes]]) -> tuple:
-        """Word numbers of all texts in a row, and the arrays they point into: ids, first places, sizes, counts."""
-        number = self.number
-        new = [w for w in set().union(*split) if w not in number]
+    def look_up(self, distinct: pa.Array) -> tuple:
+        """Numbers of distinct words, and the arrays they point into: ids, first places, sizes, counts."""
+        at = pc.index_in(distinct, value_set=self.known)
+        fresh_words = distinct.filter(at.is_null())
+        found = at.fill_null(-1).to_numpy().astype(np.int64)
+        found[found < 0] = len(self.known) + np.arange(len(fresh_words))
+        new = fresh_words.to_pylist()
         flat, sizes, counts = self._laid_out(new) if new else (self.flat, self.sizes, self.counts)
-        taken = sum(len(w) + 200 for w in new)
-        full = taken > self.room
-        number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-        found = np.array([x for own in split for x in map(number.__getitem__, own)], np.int64)
-        if full:
-            for word in new:
-                del number[word]
-        else:
+        taken = sum(map(len, new)) + 200 * len(new)
+        if taken <= self.room:
+            self.known = pa.concat_arrays([self.known, fresh_words])
             self.flat, self.sizes, self.counts = flat, sizes, counts
             self.room -= taken
         return found, flat, np.cumsum(sizes) - sizes, sizes, counts
 
+    def lay_out(self, texts: pa.Array) -> Laid:
+        """The ids of all texts in a row, the end after each text: the end is a word of one id."""
+        own, distinct, of = words(texts)
+        found, flat, starts, sizes, counts = self.look_up(distinct)
+        n_words = np.bincount(of, minlength=len(texts))
+        ends_at = np.cumsum(n_words + 1) - 1
+        is_end = np.zeros(len(own) + len(texts), bool)
+        is_end[ends_at] = True
+        length = np.ones(len(is_end), np.int64)
+        length[~is_end] = sizes[found][own]
+        stop = np.cumsum(length)
+        begin = stop - length
+        # Place in ``flat`` of every id: that of its word's first, and on from there.
+        ids = np.full(stop[-1] if len(stop) else 0, self.coder.end, np.int64)
+        inner = np.ones(len(ids), bool)
+        inner[begin[ends_at]] = False
+        from_begin = np.zeros(len(is_end), np.int64)
+        from_begin[~is_end] = starts[found][own]
+        ids[inner] = flat[(np.arange(len(ids)) + np.repeat(from_begin - begin, length))[inner]]
+        known = np.zeros(len(is_end))
+        known[~is_end] = counts[found][own]
+        number = np.full(len(is_end), -1, np.int64)
+        number[~is_end] = own
+        return Laid(ids, begin, stop[ends_at], n_words, is_end, known, np.repeat(np.arange(len(texts)), n_words + 1), number, distinct)
+
+
+@dataclass
+class Laid:
+    """Texts as ids in a row: where words and ends begin in them, where texts end; of every word and end: whether it is an
+    end, its count if known, its text, and its place among the distinct words (-1: an end)."""
+
+    ids: np.ndarray
+    begin: np.ndarray
+    text_ends: np.ndarray
+    n_words: np.ndarray
+    is_end: np.ndarray
+    count: np.ndarray
+    text: np.ndarray
+    number: np.ndarray
+    distinct: pa.Array
+
 
 def subwords(path: str, pattern: str) -> Subwords:
     if path not in _encoders:
@@ -111,11 +171,11 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over whole texts; the end of each text counts as the word null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(words(text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*counts, None], pa.binary()).cast(pa.string()), pa.array([*counts.values(), batch.num_rows], pa.int64())], ["word", "n"])
+            for part in portions(batch, 0, COUNTED):
+                own, distinct, _ = words(part.column(0))
+                n = np.append(np.bincount(own, minlength=len(distinct)), part.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([distinct.cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(n, pa.int64())], ["word", "n"])
 
     return texts.mapInArrow(tidied(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -126,8 +186,11 @@ def count_ids(counts: DataFrame, path: str, pattern: str) -> np.ndarray:
         coder = subwords(path, pattern)
         total = np.zeros(coder.size, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                np.add.at(total, [coder.end] if word is None else coder.of(word.encode()), n)
+            n, whole = (batch.column(i) for i in (1, 0))
+            ids, sizes = coder.of(whole.drop_null().to_pylist())
+            n, ends = n.to_numpy(), whole.is_null().to_numpy(zero_copy_only=False)
+            np.add.at(total, ids, np.repeat(n[~ends], sizes))
+            total[coder.end] += n[ends].sum()
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
@@ -177,70 +240,132 @@ def fresh(prior: np.ndarray) -> Parameters:
 
 _AGO = np.arange(SPAN)[:, None] - np.arange(SPAN)[None, :]
 _LATER = _AGO < 0
+_BACK, _NOW = np.maximum(_AGO[CONTEXT:], 0).ravel(), ~_LATER[CONTEXT:].ravel()
+_SCALE = np.float32(DIM ** -0.5)
+_ONES = np.ones(BATCH * SCORED, np.float32)
+
+
+def ahead(p: Parameters) -> np.ndarray:
+    """Query and key projection in one: an input row times this meets the other input rows as they are."""
+    return p["q"] @ p["k"].T * _SCALE
+
+
+def _mask(p: Parameters) -> np.ndarray:
+    return np.where(_NOW, p["near"][_BACK], np.float32(-1e9)).reshape(SCORED, SPAN)
+
+
+def _masked(scores: np.ndarray, mask: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``scores`` where places see neither what is later nor padding before a text; padding behind it is later."""
+    scores += mask
+    padded = np.flatnonzero(rows[:, 0] < 0)
+    scores[padded] += np.where(rows[padded] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+    return scores
+
+
+def _exponentials(make: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of rows of scores and their sums.  The scores, made anew then, are shifted only if they are no small numbers."""
+    e = make()
+    with np.errstate(over="ignore"):
+        np.exp(e, out=e)
+        sums = e.reshape(-1, e.shape[-1]) @ _ONES[:e.shape[-1]]
+    if len(sums) and not (sums.min() > 1e-20 and sums.max() < 1e20):
+        e = make()
+        e -= e.max(axis=-1, keepdims=True)
+        np.exp(e, out=e)
+        sums = e.reshape(-1, e.shape[-1]) @ _ONES[:e.shape[-1]]
+    return e, sums[:, None]
+
+
+def _attended(p: Parameters, rows: np.ndarray) -> dict[str, np.ndarray]:
+    """Attention over windows of input rows, -1 is padding: the state at the last ``SCORED`` places, and what led to it."""
+    x = p["rows"].take(np.maximum(rows, 0), axis=0)
+    late, keys = np.ascontiguousarray(x[:, CONTEXT:]), np.ascontiguousarray(x.transpose(0, 2, 1))
+    q = (late.reshape(-1, DIM) @ ahead(p)).reshape(late.shape)
+    a, sums = _exponentials(lambda: _masked(q @ keys, _mask(p), rows))
+    late = late.reshape(-1, DIM)
+    mean = (a @ x).reshape(-1, DIM)
+    mean /= sums
+    h = mean @ p["v"]
+    h += late
+    return {"x": x, "keys": keys, "late": late, "q": q, "a": a, "sums": sums, "mean": mean, "h": h}
 
 
 def forward(p: Parameters, rows: np.ndarray, used: np.ndarray) -> dict[str, np.ndarray]:
-    """Log probabilities of the next class at the last ``SCORED`` places of windows of input rows; -1 is padding."""
-    x = p["rows"][np.maximum(rows, 0)]
-    q = x[:, CONTEXT:] @ p["q"] * np.float32(DIM ** -0.5)
-    k, v = x @ p["k"], x @ p["v"]
-    s = q @ k.transpose(0, 2, 1)
-    s += np.where(_LATER, np.float32(-1e9), p["near"][np.maximum(_AGO, 0)])[CONTEXT:]
-    s[np.broadcast_to((rows < 0)[:, None, :], s.shape)] = -1e9
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    h = s @ v
-    h += x[:, CONTEXT:]
-    z = h.reshape(-1, DIM)[used] @ p["out"]
+    """Log probabilities of the next class at those of the last ``SCORED`` places of windows of input rows that are ``used``."""
+    f = _attended(p, rows)
+    z = f["h"][used] @ p["out"]
     z += p["prior"]
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return {"x": x, "q": q, "k": k, "v": v, "a": s, "h": h, "z": z}
+    return f | {"z": z}
 
 
-def gradients(p: Parameters, rows: np.ndarray, classes: np.ndarray) -> tuple[float, Parameters]:
-    """Mean loss and its gradients on windows whose scored places want ``classes`` (-1: none)."""
+def gradients(p: Parameters, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, Parameters, np.ndarray]:
+    """On windows whose scored places want ``classes`` (-1: none): the probability of each wanted class, gradients of their
+    mean loss, and the input rows that ``rows`` among the gradients belongs to."""
     want = classes.reshape(-1)
-    used = np.flatnonzero(want >= 0)
-    f = forward(p, rows, used)
-    n = max(1, len(used))
-    loss = -float(f["z"][np.arange(len(used)), want[used]].sum()) / n
-    dz = np.exp(f["z"])
-    dz[np.arange(len(used)), want[used]] -= 1
-    dz /= n
-    h = f["h"].reshape(-1, DIM)
-    dh = np.zeros_like(h)
-    dh[used] = dz @ p["out"].T
-    g = {"out": h[used].T @ dz, "prior": dz.sum(axis=0)}
-    dh = dh.reshape(f["h"].shape)
-    da = dh @ f["v"].transpose(0, 2, 1)
-    ds = f["a"] * (da - (f["a"] * da).sum(axis=2, keepdims=True))
-    scale = np.float32(DIM ** -0.5)
-    dq, dk, dv = ds @ f["k"] * scale, ds.transpose(0, 2, 1) @ f["q"], f["a"].transpose(0, 2, 1) @ dh
-    flat = lambda a: a.reshape(-1, DIM)
-    late = f["x"][:, CONTEXT:]
-    g |= {"q": flat(late).T @ flat(dq), "k": flat(f["x"]).T @ flat(dk), "v": flat(f["x"]).T @ flat(dv)}
-    dx = dk @ p["k"].T + dv @ p["v"].T
-    dx[:, CONTEXT:] += dq @ p["q"].T + dh
-    g["near"] = np.bincount(np.maximum(_AGO[CONTEXT:], 0).ravel(), (ds.sum(axis=0) * ~_LATER[CONTEXT:]).ravel(), minlength=SPAN).astype(np.float32)
-    g["rows"] = np.zeros_like(p["rows"])
-    keep = rows.ravel() >= 0
-    np.add.at(g["rows"], rows.ravel()[keep], flat(dx)[keep])
-    return loss, g
+    at = np.arange(len(want))
+    f = _attended(p, rows)
+    q, a, mean, h = f["q"], f["a"], f["mean"], f["h"]
+    # Gradients at the classes are ``dz * each``, never multiplied out; places that want none have an ``each`` of nought.
+    dz, sums = _exponentials(lambda: h @ p["out"] + p["prior"])
+    chance = dz[at, want] / sums[:, 0]
+    dz[at, want] -= sums[:, 0]
+    each = np.where(want >= 0, 1 / max(1, np.count_nonzero(want >= 0)), 0).astype(np.float32)[:, None] / sums
+    dh = dz @ p["out"].T
+    dh *= each
+    dmean = dh @ p["v"].T
+    g = {"out": (h * each).T @ dz, "prior": each[:, 0] @ dz, "v": mean.T @ dh}
+    # What a place's weights have in common is its gradient times its mean; ``a`` is without its sums.
+    dmean /= f["sums"]
+    common = np.einsum("ij,ij->i", dmean, mean)
+    dmean = dmean.reshape(q.shape)
+    ds = dmean @ f["keys"]
+    ds -= common.reshape(len(rows), SCORED, 1)
+    ds *= a
+    dq = (ds @ f["x"]).reshape(-1, DIM)
+    both = f["late"].T @ dq * _SCALE
+    g |= {"q": both @ p["k"], "k": both.T @ p["q"]}
+    dx = ds.transpose(0, 2, 1) @ q
+    dx += a.transpose(0, 2, 1) @ dmean
+    dh += dq @ ahead(p).T
+    dx[:, CONTEXT:] += dh.reshape(q.shape)
+    g["near"] = np.bincount(_BACK, (_ONES[:len(rows)] @ ds.reshape(len(rows), -1)) * _NOW, minlength=SPAN).astype(np.float32)
+    # Padding has gradients of nought, so it doesn't matter that it counts as the first row here.
+    own = np.maximum(rows, 0).ravel().astype(np.int16)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    g["rows"] = np.add.reduceat(dx.reshape(-1, DIM).take(order, axis=0), first, axis=0)
+    return chance, g, own[first].astype(np.int64)
+
+
+def framed(ids: np.ndarray, ends: np.ndarray, tables: Tables, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts that lie in a row, each up to its place in ``ends``: input rows (-1: none), wanted classes (-1: none),
+    the place of every id among all scored places, and windows of each text."""
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    sizes = ends - begins
+    counts = -(-sizes // SCORED)
+    first = np.cumsum(counts) - counts
+    # Scored places of all windows in a row, texts padded to whole windows.
+    place = np.arange(len(ids)) + np.repeat(first * SCORED - begins, sizes)
+    want = np.full(counts.sum() * SCORED, -1, np.int64)
+    want[place] = tables.class_of[ids]
+    given = np.full(len(want), -1, np.int64)
+    before = np.concatenate([[end], ids[:-1]])
+    before[begins] = end
+    given[place] = tables.row_of[before]
+    given, want = given.reshape(-1, SCORED), want.reshape(-1, SCORED)
+    rows = np.full((len(given), SPAN), -1, np.int64)
+    rows[:, CONTEXT:] = given
+    rows[1:, :CONTEXT] = given[:-1, SCORED - CONTEXT:]
+    rows[first, :CONTEXT] = -1
+    return rows, want, place, counts
 
 
 def windows(ids: np.ndarray, tables: Tables, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input rows (-1: none), wanted classes (-1: none) and scored ids of the windows of a text."""
-    n = len(ids)
-    count = -(-n // SCORED)
-    inputs = np.full(CONTEXT + count * SCORED, -1, np.int64)
-    inputs[CONTEXT] = tables.row_of[end]
-    inputs[CONTEXT + 1:CONTEXT + n] = tables.row_of[ids[:-1]]
-    wanted = np.full(count * SCORED, -1, np.int64)
-    wanted[:n] = tables.class_of[ids]
-    at = np.arange(count)[:, None] * SCORED + np.arange(SPAN)
-    return inputs[at], wanted.reshape(count, SCORED), ids
+    return *framed(ids, np.array([len(ids)]), tables, end)[:2], ids
 
 
 def train(sample: DataFrame, tables: Tables, start: Parameters, path: str, pattern: str, trainers: int) -> Parameters:
@@ -254,18 +379,18 @@ def train(sample: DataFrame, tables: Tables, start: Parameters, path: str, patte
             own, fixed = shared.value
             p = {k: v.copy() for k, v in own.items()}
             seen = {k: np.full_like(v, 1e-6) for k, v in own.items()}
-            done, queue, queued = 0, [], 0
+            lexicon, done = Lexicon(coder, {}), 0
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    ids = np.concatenate([*map(coder.of, words(text)), [coder.end]]).astype(np.int64)
-                    queue.append(windows(ids, fixed, coder.end)[:2])
-                    queued += len(queue[-1][0])
-                    if queued < 4096:
-                        continue
-                    done += learn(p, seen, queue, step)
-                    queue, queued = [], 0
-            if queue:
-                done += learn(p, seen, queue, step)
+                for part in portions(batch, 0, PORTION):
+                    laid = lexicon.lay_out(part.column(0))
+                    rows, want, _, counts = framed(laid.ids, laid.text_ends, fixed, coder.end)
+                    # Whole texts at a time, up to some thousands of windows.
+                    ends, at = np.cumsum(counts), 0
+                    while at < len(rows):
+                        to = int(ends[min(np.searchsorted(ends, at + QUEUED), len(ends) - 1)])
+                        learn(p, seen, rows[at:to], want[at:to], step)
+                        at = to
+                    done += len(rows)
             if done:
                 flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -287,66 +412,50 @@ def train(sample: DataFrame, tables: Tables, start: Parameters, path: str, patte
     return p
 
 
-def learn(p: Parameters, seen: Parameters, queue: list, step: int) -> int:
-    """Steps of Adagrad over queued windows, in a mixed order; returns how many windows."""
-    rows, classes = (np.concatenate([q[i] for q in queue]) for i in (0, 1))
+def learn(p: Parameters, seen: Parameters, rows: np.ndarray, classes: np.ndarray, step: int) -> np.ndarray:
+    """Steps of Adagrad over windows, in a mixed order; returns the probability that each wanted class had before its step."""
     order = np.random.default_rng(step).permutation(len(rows))
+    chance = np.zeros((len(rows), SCORED), np.float32)
     for at in range(0, len(order), BATCH):
         own = order[at:at + BATCH]
-        _, g = gradients(p, rows[own], classes[own])
+        got, g, touched = gradients(p, rows[own], classes[own])
+        chance[own] = got.reshape(-1, SCORED)
         for name, d in g.items():
-            seen[name] += d * d
-            p[name] -= np.float32(0.08 if name == "rows" else 0.03) * d / np.sqrt(seen[name])
-    return len(rows)
+            where = touched if name == "rows" else slice(None)
+            sums = seen[name][where] + d * d
+            seen[name][where] = sums
+            p[name][where] -= np.float32(0.08 if name == "rows" else 0.03) * d / np.sqrt(sums)
+    return chance
 
 
 class Scorer:
-    """The model for scoring only: projections of every input row and the mask are computed once."""
+    """The model for scoring only: queries of every input row and the mask are computed once."""
 
     def __init__(self, p: Parameters, tables: Tables) -> None:
         self.tables = tables
-        rows = np.concatenate([p["rows"], np.zeros((1, DIM), np.float32)])  # the last stands for padding
-        self.x, self.q, self.k, self.v = rows, rows @ p["q"] * np.float32(DIM ** -0.5), rows @ p["k"], rows @ p["v"]
-        self.mask = np.where(_LATER, np.float32(-1e9), p["near"][np.maximum(_AGO, 0)])[CONTEXT:]
-        self.out, self.prior = p["out"], p["prior"]
+        self.x = np.concatenate([p["rows"], np.zeros((1, DIM), np.float32)])  # the last stands for padding
+        self.q, self.v, self.mask = self.x @ ahead(p), p["v"], _mask(p)
+        self.out, self.prior, self.odds = p["out"], p["prior"], np.exp(p["prior"])
 
     def classes(self, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
         """Log probability of the wanted class at each scored place; at places that want none, of class 0."""
-        late = rows[:, CONTEXT:]
-        s = self.q[late] @ self.k[rows].transpose(0, 2, 1)
-        s += self.mask
-        padded = np.flatnonzero(rows[:, 0] < 0)
-        s[padded] += np.where(rows[padded] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+        x = self.x.take(rows, axis=0, mode="wrap")
         # Scores are small numbers, so their exponentials need no shift; a place always sees itself.
+        s = _masked(self.q.take(rows[:, CONTEXT:], axis=0, mode="wrap") @ np.ascontiguousarray(x.transpose(0, 2, 1)), self.mask, rows)
         np.exp(s, out=s)
-        h = s @ self.v[rows]
-        h /= s.sum(axis=2, keepdims=True)
-        h += self.x[late]
-        z = h.reshape(-1, DIM) @ self.out
-        z += self.prior
-        got = z[np.arange(len(z)), np.maximum(want.reshape(-1), 0)]
+        h = (s @ x).reshape(-1, DIM)
+        h /= (s.reshape(-1, SPAN) @ _ONES[:SPAN])[:, None]
+        h = h @ self.v
+        h += x[:, CONTEXT:].reshape(-1, DIM)
+        z = h @ self.out
+        at = np.maximum(want.reshape(-1), 0)
+        got = z[np.arange(len(z)), at] + self.prior[at]
         np.exp(z, out=z)
-        return (got - np.log(z.sum(axis=1))).reshape(want.shape)
+        return (got - np.log(z @ self.odds)).reshape(want.shape)
 
     def ids(self, ids: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
         """Natural log probability of every id of texts that lie in a row, each up to its place in ``ends``."""
-        begins = np.concatenate([[0], ends[:-1]])
-        sizes = ends - begins
-        counts = -(-sizes // SCORED)
-        first = np.cumsum(counts) - counts
-        # Scored places of all windows in a row, texts padded to whole windows.
-        place = np.arange(len(ids)) + np.repeat(first * SCORED - begins, sizes)
-        want = np.full(counts.sum() * SCORED, -1, np.int64)
-        want[place] = self.tables.class_of[ids]
-        given = np.full(len(want), -1, np.int64)
-        before = np.concatenate([[end], ids[:-1]])
-        before[begins] = end
-        given[place] = self.tables.row_of[before]
-        given, want = given.reshape(-1, SCORED), want.reshape(-1, SCORED)
-        rows = np.full((len(given), SPAN), -1, np.int64)
-        rows[:, CONTEXT:] = given
-        rows[1:, :CONTEXT] = given[:-1, SCORED - CONTEXT:]
-        rows[first, :CONTEXT] = -1
+        rows, want, place, _ = framed(ids, ends, self.tables, end)
         logs = np.concatenate([self.classes(rows[at:at + BATCH], want[at:at + BATCH]) for at in range(0, len(rows), BATCH)])
         return logs.reshape(-1)[place] + self.tables.within[ids]
 
@@ -375,7 +484,7 @@ def score_texts(docs: DataFrame, held_out: Column, path: str, pattern: str, id_c
     sample = staged(rows.select("text", F.pmod(dealt(9), F.lit(ROUNDS)).alias("round"), dealt(10).alias("part")))
     model = train(sample, tables, fresh(tables.prior), path, pattern, trainers)
 
-    often = {r["word"].encode(): r["n"] for r in counts.filter((F.col("n") >= max(2, KNOWN_SHARE * total)) & F.col("word").isNotNull()).collect()}
+    often = {r["word"]: r["n"] for r in counts.filter((F.col("n") >= max(2, KNOWN_SHARE * total)) & F.col("word").isNotNull()).collect()}
     ends = counts.filter("word is null").select("n").first()
     ends = ends["n"] if ends else 0
     mix = min(MOST_MIX, max(LEAST_MIX, once / total)) if total else 1.0
@@ -384,49 +493,27 @@ def score_texts(docs: DataFrame, held_out: Column, path: str, pattern: str, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, fixed, often, ends, total, distinct, mix = shared.value
         coder = subwords(path, pattern)
-        coder.known = Remembered(CACHE_BYTES, coder.known.cost)  # of training, not needed any more
         scorer, lexicon = Scorer(own, fixed), Lexicon(coder, often)
-        bottom, end_log = math.log10(total + distinct + 1), math.log10(ends + 1)
-        part = 1024
+        bottom = math.log10(total + distinct + 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, part):
-                names, held = (batch.column(i).slice(at, part) for i in (0, 2))
-                split = [words(t) for t in batch.column(1).slice(at, part).to_pylist()]
-                found, flat, starts, sizes, counts = lexicon.look_up(split)
-                n_words = np.array([len(x) for x in split], np.int64)
-                # Every text's ids in a row, the end after each: the end is a word of one id.
-                ends_at = np.cumsum(n_words + 1) - 1
-                is_end = np.zeros(len(found) + len(split), bool)
-                is_end[ends_at] = True
-                length = np.ones(len(is_end), np.int64)
-                length[~is_end] = sizes[found]
-                stop = np.cumsum(length)
-                begin = stop - length
-                ids = np.full(stop[-1], coder.end, np.int64)
-                inner = np.repeat(~is_end, length)
-                spread = np.arange(stop[-1]) - np.repeat(begin, length)
-                source = np.zeros(len(is_end), np.int64)
-                source[~is_end] = starts[found]
-                ids[inner] = flat[(np.repeat(source, length) + spread)[inner]]
-                logs = scorer.ids(ids, stop[ends_at], coder.end)
-                alone = np.add.reduceat(logs.astype(np.float64), begin) if len(begin) else np.zeros(0)
-                n = np.full(len(is_end), float(ends))
-                n[~is_end] = counts[found]
-                here = (n > 0) | is_end
+            for part in portions(batch, 1, PORTION):
+                names, texts, held = part.columns
+                laid = lexicon.lay_out(texts)
+                logs = scorer.ids(laid.ids, laid.text_ends, coder.end)
+                alone = np.add.reduceat(logs.astype(np.float64), laid.begin)
+                n = np.where(laid.is_end, ends, laid.count)
+                here = (n > 0) | laid.is_end
                 with np.errstate(divide="ignore"):
                     mixed = np.logaddexp(alone + math.log(mix), np.log(n / max(1, total) * (1 - mix)))
-                of = np.repeat(np.arange(len(split)), n_words + 1)
-                sums = lambda x: np.bincount(of, np.where(here, x, 0.0), minlength=len(split))
-                base = sums(np.log10(n + 1)) - (n_words + 1) * bottom
-                often_n = np.bincount(of, here & (n > 0), minlength=len(split)).astype(np.int64)
+                sums = lambda x: np.bincount(laid.text, np.where(here, x, 0.0), minlength=len(texts))
+                base = sums(np.log10(n + 1)) - (laid.n_words + 1) * bottom
+                often_n = np.bincount(laid.text, here & (n > 0), minlength=len(texts)).astype(np.int64)
                 # Words not known to be frequent: listed with each occurrence's own log probability.
                 rare_at = np.flatnonzero(~here)
-                every = [w for own_words in split for w in own_words]
-                rare = [every[i] for i in (rare_at - of[rare_at]).tolist()]
-                cells = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(alone[rare_at].astype(np.float32))], ["word", "log"])
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(of[rare_at], minlength=len(split)))]).astype(np.int32)
+                cells = pa.StructArray.from_arrays([laid.distinct.take(pa.array(laid.number[rare_at])).cast(pa.string()), pa.array(alone[rare_at].astype(np.float32))], ["word", "log"])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(laid.text[rare_at], minlength=len(texts)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(n_words + 1), pa.array(often_n), pa.array(base), pa.array(sums(mixed) / LN10),
+                    [names, pa.array(laid.n_words + 1), pa.array(often_n), pa.array(base), pa.array(sums(mixed) / LN10),
                      pa.ListArray.from_arrays(pa.array(offsets), cells), held],
                     ["doc_id", "n_tokens", "n_often", "base", "score", "rare", "held_out"])
 
