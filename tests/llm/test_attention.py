@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rowwarden.llm import attention_lm as lm
 
@@ -71,3 +72,45 @@ def test_gradients_are_those_of_the_loss(far):
             slope = (up - loss()) / 2e-4
             flat[at] = old
             assert d.reshape(-1)[i] == pytest.approx(slope, abs=2e-5, rel=1e-3), name
+
+
+def test_the_weight_of_the_model_is_what_texts_it_has_not_seen_call_for(spark):
+    """Every word follows from the one before and none occurs once, so frequencies alone say little of them."""
+    rnd = random.Random(8)
+    after = {w: [*"abcdefgh"][(i * 3 + 1) % 8] for i, w in enumerate("abcdefgh")}
+    rows = []
+    for i in range(600):
+        own = [rnd.choice("abcdefgh")]
+        for _ in range(150):
+            own.append(after[own[-1]])
+        rows.append((i, " ".join(own)))
+    held = F.col("doc_id") >= 540
+    found = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), held, *ARGS).filter("held_out").collect()
+    assert len(found) == 60
+    assert sum(r["score"] for r in found) > 0.6 * sum(r["base_score"] for r in found)
+
+
+def test_a_text_is_judged_by_the_counts_of_the_others():
+    lexicon = lm.Lexicon(lm.subwords(*ARGS), {"the": 9})
+    laid = lexicon.lay_out(pa.array(["the the new", "the", ""]))
+    alone = np.log(np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]))
+    likely, other = lm.judge(laid, alone, 5, 100)
+    share = [7 / 96, 7 / 96, 4 / 96, 8 / 98, 4 / 98, 4 / 99]
+    by_hand = [sum(np.log(g * a + (1 - g) * u) for a, u in zip([0.1, 0.2, 0.4, 0.5, 0.6, 0.7], share, strict=True)) for g in lm.WEIGHTS]
+    assert np.allclose(likely, by_hand)
+    assert [(r["word"], round(r["log"], 4), r["own"], r["size"]) for r in other.to_pylist()] == [("new", round(np.log(0.3), 4), 1, 4)]
+
+
+def test_the_fitted_weight_takes_words_of_unknown_counts_into_account(spark):
+    judged = lm._evidence(i=-1 - np.arange(len(lm.WEIGHTS)), x=np.log(1 - lm.WEIGHTS))
+    rare = lm._evidence(word=["x"] * 3, log=[np.log(0.5)] * 3, own=[1] * 3, size=[2] * 3)
+    whole = spark.createDataFrame([("x", 1), ("y", 4)], "word string, n long")
+    at = lambda *b: lm.fitted(spark.createDataFrame([r for x in b for r in x.to_pylist()], lm.EVIDENCE), whole, 50)
+    assert at(judged) == lm.WEIGHTS[0] and at(judged, rare) == 0.75 and at() is None
+
+
+def test_what_only_training_reads_is_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("rowwarden.llm.batches.staging_folder", lambda _: str(tmp_path / f"llm-{len([*tmp_path.iterdir()])}-{random.random()}"))
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")
+    found = lm.score_texts(docs, F.col("doc_id") < 4, *ARGS)
+    assert found.count() == 40 and len([*tmp_path.iterdir()]) == 2
