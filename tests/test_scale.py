@@ -1,11 +1,15 @@
 """What would not grow well: one window over all rows, one file read by one task, texts worked on twice."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rowwarden.llm import byte_bpe
 from rowwarden.queries import mess, registry
+from rowwarden.session import dropped, staged
 from rowwarden.sources import exports
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -47,6 +51,22 @@ def test_rows_of_a_plan_are_not_broadcast_to_what_they_meet(spark, name):
     assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
 
 
+def test_what_was_shuffled_for_a_written_table_is_deleted(spark):
+    def shuffled():
+        return sum(".data" in str(f) for f in (files.apply(i) for i in range(files.size()))) if (files := disk.getAllFiles()) else 0
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = shuffled()
+    table = staged(spark.range(1000).repartition(7).groupBy((F.col("id") % 5).alias("k")).count())
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before and table.count() == 5
+    dropped(table)
+    assert not any(Path(f.removeprefix("file://")).exists() for f in table.inputFiles())
+
+
 def test_no_file_of_a_csv_export_is_long(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(exports, "CSV_ROWS", 7)
     table = spark.range(50).coalesce(1).select("id", F.concat(F.lit("a\n"), F.col("id").cast("string")).alias("t"))
