@@ -16,7 +16,7 @@ from rowwarden.functions import filenames as fn
 from rowwarden.functions import text as tx
 from rowwarden.functions.links import normalize_shared_link
 from rowwarden.operators.wordfit import fitting_tokens
-from rowwarden.session import by_merge, staged
+from rowwarden.session import by_merge, dropped, staged
 
 FILE_FIELDS = ("path", "name", "link", "link_existed", "recorded_at", "environment", "expression", "token", "fuzzy")
 # Files whose names are joined to one text before the texts are joined: no list of names is longer.
@@ -127,16 +127,10 @@ def wanted_expression_class(wanted: Column) -> Column:
     return F.lower(wanted)
 
 
-def by_slot(videos: DataFrame, env: Column, expr: Column) -> DataFrame:
-    """Every row once per slot class that its place ``env`` and expression ``expr``, both in small letters, satisfy."""
-    env_classes = F.when(env.isNull(), F.array(*[F.lit(c) for c in ("", "indoor", "outdoor", "other")])).otherwise(F.array(F.lit(""), env))
-    return videos.withColumn("env_class", F.explode(env_classes)).withColumn("expr_class", F.explode(F.array(F.lit(""), expr)))
-
-
-def slot_facts(facts: DataFrame) -> DataFrame:
-    """(_SLOT, token, n, fid) of the videos of named participants."""
-    videos = facts.filter((F.col("kind") == "video") & F.col("name_key").isNotNull())
-    return by_slot(videos, F.col("env"), F.col("expr")).select(*_SLOT, "token", "n", "fid")
+def satisfies(env: Column, expr: Column, env_class: Column, expr_class: Column) -> Column:
+    """Whether a video of this place and expression, both in small letters, is a candidate of a slot class."""
+    fits_env = env.isNull() | (env_class == "") | (env_class == env)
+    return fits_env & ((expr_class == "") | F.coalesce(expr_class == expr, F.lit(False)))
 
 
 def row_asks(rows: DataFrame) -> DataFrame:
@@ -183,24 +177,61 @@ def participants(facts: DataFrame, asks: DataFrame, files: DataFrame) -> DataFra
         of("folder", "folder").alias("folder"), of("icf", "file").alias("icf"), of("assent", "file").alias("assent"), F.first("first_row").alias("first_row"))
 
 
+def _places(facts: DataFrame) -> DataFrame:
+    """(name_key, places): per participant the few places and expressions its videos have, with their number and the first."""
+    videos = facts.filter((F.col("kind") == "video") & F.col("name_key").isNotNull())
+    each = videos.groupBy("name_key", "env", "expr").agg(F.sum("n").alias("n"), F.min("fid").alias("fid"))
+    return each.groupBy("name_key").agg(F.collect_list(F.struct("env", "expr", "n", "fid")).alias("places"))
+
+
 def answer_asks(asks: DataFrame, files: DataFrame, facts: DataFrame, preset: Preset) -> DataFrame:
-    """One row per ask of a participant with files: the ask, folder, icf, assent, first_row, n_videos, video, video_reason.
+    """One row per ask of a participant with files: the ask, folder, icf, assent, n_videos, video, video_reason and ``_judged``.
 
-    ``asks`` has _ASK, first (the first row that asks so) and ask_id.
+    ``asks`` has _ASK, first (the first row that asks so) and ask_id.  Every step is written before the next is shuffled.
     """
-    videos = slot_facts(facts)
-    slots = videos.groupBy(*_SLOT).agg(F.sum("n").alias("n_videos"), F.min("fid").alias("only_fid"))
-    placed = staged(_classed(asks).join(by_merge(slots), _SLOT, "left").withColumn("n_videos", F.coalesce("n_videos", F.lit(0))))
+    fitting = F.filter("places", lambda p: satisfies(p.env, p.expr, F.col("env_class"), F.col("expr_class")))
+    placed = _classed(asks).join(by_merge(_places(facts)), "name_key", "left").withColumn("places", fitting).withColumns({
+        "n_videos": F.coalesce(F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p.n), F.lit(0)),
+        "only_fid": F.array_min(F.transform("places", lambda p: p.fid)),
+    })
+    placed = staged(placed.drop("places", "first"))
     contested = placed.filter((F.col("n_videos") > 1) & (F.col("wanted") != "")).select(*_SLOT, "ask_id", "wanted")
-    hits = fitting_tokens(contested, videos.filter(F.col("token") != ""), _SLOT, "ask_id", preset.fuzzy)
+    tokens = facts.filter((F.col("kind") == "video") & F.col("name_key").isNotNull() & (F.col("token") != ""))
+    hits = fitting_tokens(contested, tokens, ["name_key"], "ask_id", preset.fuzzy, ["env", "expr"],
+                          satisfies(*map(F.col, ("env", "expr", "env_class", "expr_class"))))
     n, hit = F.col("n_videos"), F.when(F.col("n_hits") == 1, F.col("hit"))
     reason = F.when(n == 0, "none").when(n == 1, "unique").when(hit.isNotNull(), "column-k").otherwise("ambiguous")
     # Asks without a video get a number of their own that no file has, so that they don't meet in one task as nulls would.
     fid = F.when(n == 1, F.col("only_fid")).when(n > 1, hit)
-    decided = placed.join(by_merge(hits), "ask_id", "left").select(
-        *_ASK, n.alias("n_videos"), F.coalesce(fid, -1 - F.col("ask_id")).alias("fid"), reason.alias("video_reason"))
+    decided = staged(placed.join(by_merge(hits), "ask_id", "left").select(
+        *_ASK, n.alias("n_videos"), F.coalesce(fid, -1 - F.col("ask_id")).alias("fid"), reason.alias("video_reason")))
     picked = files.filter("kind = 'video'").select("fid", F.struct(*FILE_FIELDS).alias("video"))
-    return decided.join(by_merge(picked), "fid", "left").drop("fid").join(by_merge(participants(facts, asks, files)), "name_key")
+    dropped(placed)
+    people = staged(participants(facts, asks, files))
+    shown = staged(decided.join(by_merge(picked), "fid", "left").drop("fid"))
+    dropped(decided)
+    answers = staged(_judged(shown.join(by_merge(people), "name_key")))
+    dropped(shown, people)
+    return answers
+
+
+def _judged(answers: DataFrame) -> DataFrame:
+    """Answers with what follows from them for any row: ask_status, ask_problems, and icf_row and assent_row, the row a paper is shown in first."""
+    video, icf, assent = F.col("video"), F.col("icf"), F.col("assent")
+    shown_env = F.when(F.col("want_env") == "", "?").otherwise(F.col("want_env"))
+    shown_expr = F.when(F.col("want_expr") == "", "?").otherwise(F.col("want_expr"))
+    problems = F.array_compact(F.array(
+        F.when(F.col("video_reason") == "ambiguous",
+               F.format_string(PROBLEM_AMBIGUOUS, F.col("n_videos"), F.col("want_env"), F.col("want_expr")))
+        .when(F.col("video_reason") == "none", F.format_string(PROBLEM_NO_VIDEO, shown_env, shown_expr)),
+        F.when(icf.isNull(), PROBLEM_NO_ICF),
+        F.when(assent.isNull(), PROBLEM_NO_ASSENT),
+    ))
+    return answers.withColumns({
+        "ask_status": plan_status(F.lit(True), video, icf, assent), "ask_problems": problems,
+        "icf_row": F.when(icf.isNotNull(), F.col("first_row")), "assent_row": F.when(assent.isNotNull(), F.col("first_row")),
+        "video_reason": F.when(F.col("video_reason").isin("unique", "column-k"), F.col("video_reason")),
+    }).drop("first_row")
 
 
 def plan_rows(rows: DataFrame, files: DataFrame, preset: Preset, position: str = "merged_row", facts: DataFrame | None = None) -> DataFrame:
@@ -213,31 +244,18 @@ def plan_rows(rows: DataFrame, files: DataFrame, preset: Preset, position: str =
     asked = row_asks(rows)
     asks = asked.filter(F.col("name_key").isNotNull()).groupBy(*_ASK).agg(F.min(position).cast("long").alias("first"))
     asks = staged(asks.withColumn("ask_id", F.monotonically_increasing_id()))
-    planned = asked.join(by_merge(answer_asks(asks, files, facts, preset)), _ASK, "left")
-
-    found = F.col("folder").isNotNull()
-    video, icf, assent = F.col("video"), F.col("icf"), F.col("assent")
-    shown_env = F.when(F.col("want_env") == "", "?").otherwise(F.col("want_env"))
-    shown_expr = F.when(F.col("want_expr") == "", "?").otherwise(F.col("want_expr"))
-    problems = F.array_compact(F.array(
-        F.when(~found, PROBLEM_NO_FOLDER),
-        F.when(found & (F.col("video_reason") == "ambiguous"),
-               F.format_string(PROBLEM_AMBIGUOUS, F.col("n_videos"), F.col("want_env"), F.col("want_expr")))
-        .when(found & (F.col("video_reason") == "none"), F.format_string(PROBLEM_NO_VIDEO, shown_env, shown_expr)),
-        F.when(found & icf.isNull(), PROBLEM_NO_ICF),
-        F.when(found & assent.isNull(), PROBLEM_NO_ASSENT),
-    ))
-    later = F.col("first_row") < F.col(position)
+    answers = answer_asks(asks, files, facts, preset)
+    dropped(asks)
+    planned = asked.join(by_merge(answers), _ASK, "left")
     return (
         planned.withColumns({
-            "status": plan_status(found, video, icf, assent),
-            "problems": problems,
-            "icf_repeat_of": F.when(later & icf.isNotNull(), F.col("first_row")),
-            "assent_repeat_of": F.when(later & assent.isNotNull(), F.col("first_row")),
-            "video_reason": F.when(F.col("video_reason").isin("unique", "column-k"), F.col("video_reason")),
+            "status": F.coalesce("ask_status", F.lit("skipped")),
+            "problems": F.coalesce("ask_problems", F.array(F.lit(PROBLEM_NO_FOLDER))),
+            "icf_repeat_of": F.when(F.col("icf_row") < F.col(position), F.col("icf_row")),
+            "assent_repeat_of": F.when(F.col("assent_row") < F.col(position), F.col("assent_row")),
             "matched_folder": F.col("folder"),
         })
-        .drop("folder", "first_row", "wanted")
+        .drop("folder", "ask_status", "ask_problems", "icf_row", "assent_row", "wanted")
     )
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_functions import osa
 
 from rowwarden import fixed
@@ -237,3 +238,40 @@ def test_the_name_filter_meets_batches_of_texts(spark):
     assert {(i, "ann lee") for i in range(3000)} <= found and (None, "bo") in found
     met = pieces._jdf.queryExecution().analyzed().toString()
     assert " AS texts#" in met
+
+
+def test_words_of_a_small_slot_are_not_cut_to_pieces(spark):
+    wants = spark.createDataFrame([("s", "grinn", 0), ("s", "zzzzzzzz", 1)], "slot string, wanted string, at bigint")
+    tokens = spark.createDataFrame([("s", t, 1, i) for i, t in enumerate(("grin", "frown", "grim"))], "slot string, token string, n int, fid bigint")
+    found = wordfit.fitting_tokens(wants, tokens, ["slot"], "at", True)
+    assert [tuple(r) for r in found.collect()] == [(0, 2, 0)]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_slots_in_rounds_like_brute_force(spark, monkeypatch):
+    for name, value in (("FEW", 3), ("TOKENS_AT_ONCE", 40), ("ROUNDS", 4)):
+        monkeypatch.setattr(wordfit, name, value)
+    draw = random.Random(6)
+
+    def word():
+        return "".join(draw.choices("abc", k=draw.randint(2, 7)))
+
+    tokens = [(s, word(), draw.choice(["x", None]), 1 + i % 2, i) for i, s in enumerate(["hot"] * 120 + ["cold"] * 30 + ["mild"] * 20 + ["few"] * 3)]
+    wants = [(draw.choice(["hot", "cold", "mild", "few", "none"]), word(), draw.choice(["", "x"]), i) for i in range(120)]
+    got = {r["at"]: (r["n_hits"], r["hit"]) for r in wordfit.fitting_tokens(
+        spark.createDataFrame(wants, "slot string, wanted string, place string, at bigint"),
+        spark.createDataFrame(tokens, "slot string, token string, env string, n int, fid bigint"), ["slot"], "at", True, ["env"],
+        F.expr("place = '' or env is null")).collect()}
+    for slot, w, place, at in wants:
+        hits = [(n, fid) for s, t, env, n, fid in tokens if s == slot and (place == "" or env is None) and (t in w or w in t or osa(t, w) <= 2)]
+        assert got.get(at, (0, None)) == (sum(n for n, _ in hits), min((f for _, f in hits), default=None)), (slot, w)
+
+
+def test_videos_are_not_copied_for_every_slot(scenario, monkeypatch):
+    rows, media, plan = scenario
+    written = []
+    monkeypatch.setattr(match, "staged", lambda df: written.append(df._jdf.queryExecution().analyzed().toString()) or staged(df))
+    members = match.guard_members(media, rows, match.plan_rows(rows, media, PRESET))
+    assert sorted(m["name"] for m in members.collect()) == [
+        "ICF 1.pdf", "ICF 2.pdf", "KIT_MOOR_INDOOR_FROWNING.mp4", "KIT_MOOR_INDOOR_SMILING.mp4"]
+    assert not any("explode(" in p for p in [*written, members._jdf.queryExecution().analyzed().toString()])
